@@ -19,21 +19,26 @@ def _micros(column: str) -> F.Column:
     return F.when(~F.isnan(c) & (F.abs(c) < 9e12), F.round(c * 1_000_000).cast("bigint"))
 
 
-def channel_readings(spark: SparkSession, d: str) -> DataFrame:
-    """session_id, channel, t, id, v of all five channels."""
+def signal_readings(spark: SparkSession, d: str) -> DataFrame:
+    """session_id, channel, t, id, v of the range and inertial signals."""
     lidar = read_table(spark, d, "lidar_signals").select(
         "session_id", F.lit("lidar_v").alias("channel"), _micros("lidar_t").alias("t"), F.col("lidar_id").alias("id"), F.col("lidar_v").alias("v")
     )
     imu = read_table(spark, d, "imu_signals").select(
         "session_id", F.lit("imu_v").alias("channel"), _micros("imu_t").alias("t"), F.col("imu_id").alias("id"), F.col("imu_v").alias("v")
     )
+    return lidar.unionByName(imu)
+
+
+def channel_readings(spark: SparkSession, d: str) -> DataFrame:
+    """session_id, channel, t, id, v of all five channels."""
     parts = [F.struct(F.lit(f"acc_{a}").alias("channel"), F.col(f"linear_acceleration.{a}").alias("v")) for a in "xyz"]
     acc = (
         read_table(spark, d, "imu_messages")
         .select("session_id", F.col("stamp_ns").alias("t"), F.col("msg_id").alias("id"), F.explode(F.array(*parts)).alias("c"))
         .select("session_id", "c.channel", F.expr("t div 1000").alias("t"), "id", "c.v")
     )
-    return lidar.unionByName(imu).unionByName(acc)
+    return signal_readings(spark, d).unionByName(acc)
 
 
 def channel_limits(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +58,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:
     """The regular series: value, uncertainty, number of readings and missing mark of every slot."""
-    both = channel_readings(spark, d).where(F.col("channel").isin("lidar_v", "imu_v"))
-    readings = both.withColumn("sensor", F.substring_index("channel", "_", 1)).drop("channel")
+    readings = signal_readings(spark, d).withColumn("sensor", F.substring_index("channel", "_", 1)).drop("channel")
     return regular_series(readings, SLOTS)
 
 
