@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.llm.clusters import Clusters
 from pointloom.llm.mix import Mix, sized_records
 from pointloom.llm.nearest_time import nearest_in_time
 from pointloom.llm.nngraph import point_neighbours, vector_neighbours
@@ -31,6 +32,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("left_id").alias("lidar_id"), F.col("right_id").alias("match_id"))
 
 
+def _clusters(spark: SparkSession, d: str) -> Clusters:
+    return Clusters(read_table(spark, d, "pointcloud_points"), group="frame_id", id="point_id", eps=0.25, least=15)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).points().select("cluster_id", "point_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster with its size, number of communities and three most typical points."""
+    return _clusters(spark, d).described().withColumnRenamed("grp", "frame_id")
+
+
+def p3_communities(spark: SparkSession, d: str) -> DataFrame:
+    """The communities inside the clusters with size and most typical points."""
+    return _clusters(spark, d).described(by="community").withColumnRenamed("grp", "frame_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     nn = point_neighbours(read_table(spark, d, "pointcloud_points"), read_table(spark, d, "knn_probes"), group="session_id", id="point_id", k=5)
     pairs = nn.select("qid", F.explode("nn.id").alias("id"))
@@ -62,6 +81,9 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
+    "p3_communities": p3_communities,
     "p4_found": p4_found,
     "p4_vectors": p4_vectors,
     "p7_found": p7_found,
