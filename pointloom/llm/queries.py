@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.clusters import Clusters
+from pointloom.llm.leaks import leaked_items
 from pointloom.llm.mix import Mix, sized_records
 from pointloom.llm.nearest_time import nearest_in_time
 from pointloom.llm.nngraph import point_neighbours, vector_neighbours
@@ -62,6 +63,22 @@ def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
     return nn.select(F.col("qid").alias("vec_id"), F.posexplode("nn")).select("vec_id", (F.col("pos") + 1).cast("bigint").alias("place"), F.col("col.id").alias("near_id"))
 
 
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked passages with their length in words and number of differences."""
+    return leaked_items(
+        read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text"
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("item_id", "doc_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and the longest passage."""
+    return p6_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
+
+
 def _mix(spark: SparkSession, d: str) -> Mix:
     sizes = sized_records(read_table(spark, d, "documents"), id="doc_id", source="source", text="text", tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return Mix(sizes, read_table(spark, d, "mix_targets"))
@@ -86,6 +103,9 @@ QUERIES = {
     "p3_communities": p3_communities,
     "p4_found": p4_found,
     "p4_vectors": p4_vectors,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p6_items": p6_items,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
