@@ -26,7 +26,7 @@ MIN_WORDS, ONE_IN, SEED = 20, 10, 4
 ITEMS_AT_ONCE = 2000
 _BITMAP = 22
 
-_SET_OFF = re.compile(r"(?<!\S)\((?:[^()\[\]]|\[[^\[\]]*\]|\([^()]*\))*\)|\[[^\[\]]*\]|<<[^<>]*>>")
+_SET_OFF = re.compile(r"(?<!\S)\((?:[^()\[\]]|\[[^\[\]]*\]|\([^()]*\))*\)|\[[^\[\]]*\]|(?<=\s)[—–]\s[^—–]{1,80}[.!?]\s[—–](?=\s)")
 _DIVIDED = re.compile(r"(\w)[-‐\xad]\s*\n\s*(\w)")
 _LETTERS = (("ß", "ss"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"), ("æ", "a"), ("œ", "o"), ("—", " "), ("–", " "), ("…", " "))
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"/\t\n\r\v\f" else c for c in range(256))

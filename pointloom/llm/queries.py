@@ -12,6 +12,7 @@ from pointloom.llm.leaks import leaked_items
 from pointloom.llm.mix import Mix, sized_records
 from pointloom.llm.nearest_time import nearest_in_time
 from pointloom.llm.nngraph import point_neighbours, vector_neighbours
+from pointloom.llm.pii import find_personal, redact
 from pointloom.session import read_table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -96,6 +97,20 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).records()
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "kind", "surface").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every place with its score."""
+    return find_personal(read_table(spark, d, "documents"), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with placeholders."""
+    return redact(read_table(spark, d, "documents"), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -109,6 +124,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p8_redacted": p8_redacted,
 }
 
 
