@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as geo
+from pointloom.operators import fit
 from pointloom.operators import series as ser
 from pointloom.operators import spatial as spa
 from pointloom.operators.percentiles import exact_percentiles
@@ -766,3 +767,44 @@ def angular_gaps(spark, d):
     g = a.withColumn("gap", F.lead("a").over(w) - F.col("a"))
     out = g.groupBy("frame_id", "ring").agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(TAU) + F.min("a") - F.max("a")).alias("widest")).where("n >= 4")
     return _r(out, "widest", k=5)
+
+
+# --- fits ------------------------------------------------------------------------------------------------
+
+
+@query("rigid_fits", f"""WITH {PTS}, f AS (SELECT session_id, frame_id, row_number() OVER (PARTITION BY session_id ORDER BY frame_id) - 1 AS k FROM (SELECT DISTINCT session_id, frame_id FROM pts)), n AS (SELECT frame_id, count(*) AS n FROM ok GROUP BY 1)
+SELECT frame_id, n, round(degrees(0.01*k), 4) AS yaw, CAST(round(0.1*k, 4) AS DOUBLE) AS tx, CAST(round(-0.05*k, 4) AS DOUBLE) + CAST(0 AS DOUBLE) AS ty, true AS exact FROM f JOIN n USING (frame_id) WHERE n >= 50""")
+def rigid_fits(spark, d):
+    """Each frame is moved by a known transform and the transform is found again from the point pairs."""
+    frames = read_table(spark, d, "pointcloud_points").select("session_id", "frame_id").distinct()
+    k = frames.withColumn("k", (F.row_number().over(Window.partitionBy("session_id").orderBy("frame_id")) - 1).cast("bigint"))
+    a = 0.01 * F.col("k")
+    m = [[F.cos(a), -F.sin(a), 0.0, 0.1 * F.col("k")], [F.sin(a), F.cos(a), 0.0, -0.05 * F.col("k")], [0.0, 0.0, 1.0, 0.0]]
+    x, y, z = geo.rigid(m)
+    pairs = good(spark, d).join(k, ["session_id", "frame_id"]).select("frame_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), x.alias("bx"), y.alias("by"), z.alias("bz"))
+    r = fit.rigid_fit(pairs, ["frame_id"]).where("n >= 50")
+    return r.select("frame_id", "n", F.round(F.degrees(F.atan2(F.col("r")[3], F.col("r")[0])), 4).alias("yaw"), (F.round(F.col("t")[0], 4) + 0.0).alias("tx"), (F.round(F.col("t")[1], 4) + 0.0).alias("ty"), (F.col("rms") < 1e-4).alias("exact"))
+
+
+@query("frame_planes")
+def frame_planes(spark, d):
+    """The plane with most inliers in every frame, refitted."""
+    return _r(fit.ransac_planes(good(spark, d), ["frame_id"], "point_id", 0.05), "a", "b", "c", "d")
+
+
+@query("session_planes")
+def session_planes(spark, d):
+    """Up to three planes per session, found one after the other."""
+    return _r(fit.peel_planes(good(spark, d), ["session_id"], "point_id", 0.05, most=3, least=50), "a", "b", "c", "d")
+
+
+@query("frame_hulls")
+def frame_hulls(spark, d):
+    """Corners of each frame's outline in x, y."""
+    return fit.convex_hulls(good(spark, d).select("frame_id", "x", "y"), ["frame_id"])
+
+
+@query("signal_peaks")
+def signal_peaks(spark, d):
+    """Peaks of the range at least 4 samples apart with 5 cm prominence."""
+    return fit.series_peaks(_valued(spark, d), ["session_id"], "lidar_id", 4, 0.05)
