@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from pointloom.session import materialize
 
-BLOCK, RUN, DEGREE, BEAM = 4096, 65_536, 8, 16
+BLOCK, RUN, DEGREE, BEAM, PIVOTS = 4096, 65_536, 8, 16, 192
 _IDX = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def morton_key(x: str, y: str, z: str, cell: float = 0.0625) -> F.Column:
+def morton_key(x: str, y: str, z: str, cell: float = 0.0078125) -> F.Column:
     """Bits of the three cell numbers interleaved; near points get near keys."""
 
     def spread(c: str) -> F.Column:
@@ -53,13 +53,26 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
     return keys[:, :k]
 
 
-def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 4) -> np.ndarray:
-    """Neighbour lists (n, k) of a block, nearest first, -1 where there are fewer other points."""
+def _turned_order(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Points in Morton order of a random projection to three axes: another cut of space into near runs."""
+    axes = np.linalg.qr(rng.standard_normal((x.shape[1], 3) if x.shape[1] > 3 else (3, 3)))[0][: x.shape[1]]
+    p = x @ axes
+    p -= p.min(axis=0)
+    v = (p / max(float(p.max()), 1e-30) * 900_000 + rng.uniform(0, 100_000, 3)).astype(np.int64)
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = (v | (v << shift)) & mask
+    return np.argsort(v[:, 0] | v[:, 1] << 1 | v[:, 2] << 2, kind="stable")
+
+
+def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 12, width: int = 6, orders: int = 3) -> np.ndarray:
+    """Neighbour lists (n, k) of a block, nearest first, -1 where there are fewer other points. It starts from
+    runs of points in ``orders`` turned orders besides their own; each round tries ``width``² points met by two
+    steps along the lists, either way."""
     n = len(x)
     if n < 2:
         return np.full((n, k), -1, np.int32)
     x = x.astype(np.float32)
-    me = np.arange(n)
+    me, rng = np.arange(n), np.random.default_rng(n)
 
     def lengths(cand: np.ndarray) -> np.ndarray:
         d2 = np.zeros(cand.shape, np.float32)
@@ -78,22 +91,30 @@ def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 4) -> np.ndarray:
         keys[cand == me[:, None]] = _NONE
         return keys
 
-    reach = [o for o in (*range(-6, 0), *range(1, 7), n // 3, n // 2)]
-    lists = _best(as_keys((me[:, None] + np.array(reach)) % n), k)
+    side = max(6, k // 2 + 1)
+    reach = [*range(-side, 0), *range(1, side + 1), n // 3, n // 2]
+    first = [(me[:, None] + np.array(reach)) % n]
+    for _ in range(orders):
+        order = _turned_order(x, rng)
+        place = np.empty(n, np.int64)
+        place[order] = me
+        first.append(order[(place[:, None] + np.array([*range(-4, 0), *range(1, 5)])) % n])
+    lists = _best(as_keys(np.concatenate(first, axis=1)), k)
     for _ in range(rounds):
         known = (lists & _LOW).astype(np.int64)
         known[lists == _NONE] = 0
         known = np.where(lists == _NONE, me[:, None], known)
-        near = known[:, : min(6, k)]
-        of_near = near[near[:, :5]].reshape(n, -1)
-        # one of those that have this point in their list, for each place in the list
-        back = np.repeat(me[:, None], near.shape[1], axis=1)
-        for c in range(near.shape[1]):
-            back[near[:, c], c] = me
-        new = _best(np.concatenate([lists, as_keys(np.concatenate([of_near, back], axis=1))], axis=1), k)
+        # lists both ways: of those that have this point at one place of their list, one is taken
+        back = np.repeat(me[:, None], k, axis=1)
+        for c in range(known.shape[1]):
+            back[known[:, c], c] = me
+        around = np.concatenate([known, back], axis=1)
+        through = around[:, rng.permutation(around.shape[1])[:width]]
+        onward = around[:, rng.permutation(around.shape[1])[:width]]
+        new = _best(np.concatenate([lists, as_keys(np.concatenate([onward[through].reshape(n, -1), back[:, :2]], axis=1))], axis=1), k)
         changed = (new != lists).sum()
         lists = new
-        if changed <= 0.002 * n * k:
+        if changed <= 0.01 * n * k:  # points in order of locality get there in two or three rounds
             break
     out = (lists & _LOW).astype(np.int32)
     out[lists == _NONE] = -1
@@ -102,6 +123,19 @@ def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 4) -> np.ndarray:
     return out
 
 
+def both_ways(nbr: np.ndarray) -> np.ndarray:
+    """Neighbour lists, followed by as many of the points that have this one in their list."""
+    n, k = nbr.shape
+    src, dst = np.repeat(np.arange(n), k), nbr.ravel().astype(np.int64)
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order], dst[order]
+    rank = np.arange(len(dst)) - np.searchsorted(dst, dst, "left")
+    out = np.full((n, k), -1, np.int64)
+    out[dst[rank < k], rank[rank < k]] = src[rank < k]
+    return np.concatenate([nbr.astype(np.int64), out], axis=1)
+
+
 def greedy_search(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Positions (len(q), beam) found by walking the graph from ``start`` (len(q), s); -1 where none."""
     n, rows = len(x), np.arange(len(q))
@@ -216,7 +250,7 @@ def _answer(x: np.ndarray, ids: np.ndarray, nbr: np.ndarray, q: np.ndarray, qid:
 
     ``check``: points nearer than the k-th found are counted; where the walk missed one, the list is corrected.
     """
-    found = greedy_search(x, nbr, q, start)
+    found = greedy_search(x, nbr, q, start, max(BEAM, 2 * k + 8))
     big = np.iinfo(np.int64).max
     x64, q64 = x.astype(np.float64), q.astype(np.float64)
     fid = np.where(found < 0, big, ids[np.maximum(found, 0)])
@@ -243,13 +277,13 @@ def _answer(x: np.ndarray, ids: np.ndarray, nbr: np.ndarray, q: np.ndarray, qid:
 
 
 def _pivots(n: int, q: int) -> np.ndarray:
-    return np.tile(np.unique(np.linspace(0, n - 1, min(n, 24)).astype(np.int64)), (q, 1))
+    return np.tile(np.unique(np.linspace(0, n - 1, min(n, PIVOTS)).astype(np.int64)), (q, 1))
 
 
 _QUERY = pa.list_(pa.struct([("qid", pa.int64()), ("vec", pa.list_(pa.float32())), ("nn", pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64())])))]))
 
 
-def knn_index(points: DataFrame, *, group: str, id: str, coords: list[str] | str, key: F.Column, query: str, k: int, check: bool = True, partitions: int | None = None) -> DataFrame:
+def knn_index(points: DataFrame, *, group: str, id: str, coords: list[str] | str, key: F.Column, query: str, k: int, check: bool = True, partitions: int | None = None, block: int = BLOCK) -> DataFrame:
     """Blocks with their graphs; ``query`` names a boolean column: those points also get their nearest
     neighbours inside the block (array ``q``)."""
     gtype = points.schema[group].dataType.simpleString()
@@ -259,17 +293,18 @@ def knn_index(points: DataFrame, *, group: str, id: str, coords: list[str] | str
     ddl = f"grp {gtype}, bid bigint, lo array<float>, hi array<float>, min_id bigint, dim int, ids binary, x binary, nbr binary, q array<struct<qid:bigint,vec:array<float>,nn:array<struct<d2:double,id:bigint>>>>"
 
     def handler(grp, bid: int, ids: np.ndarray, x: np.ndarray, flags: np.ndarray) -> dict:
-        nbr = nn_descent(x)
+        nbr = nn_descent(x, max(DEGREE, k + 2))
+        walk = both_ways(nbr) if flags.any() else nbr
         at = np.flatnonzero(flags)
         q = []
         for lo in range(0, len(at), 512):
             part = at[lo : lo + 512]
             start = np.concatenate([part[:, None], nbr[part]], axis=1)
-            bi, bd = _answer(x, ids, nbr, x[part], ids[part], start, k, check)
+            bi, bd = _answer(x, ids, walk, x[part], ids[part], start, k, check)
             q += [{"qid": int(ids[p]), "vec": x[p].tolist(), "nn": [{"d2": d, "id": i} for d, i in zip(dd, ii, strict=True) if i >= 0]} for p, ii, dd in zip(part, bi.tolist(), bd.tolist(), strict=True)]
         return {"grp": grp, "bid": bid, "lo": x.min(axis=0), "hi": x.max(axis=0), "min_id": int(ids.min()), "dim": x.shape[1], "ids": ids.astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(), "nbr": nbr.astype("<i2").tobytes(), "q": q}
 
-    return form_blocks(points, handler, schema, ddl, group=group, id=id, coords=coords, key=key, flag=query, partitions=partitions)
+    return form_blocks(points, handler, schema, ddl, group=group, id=id, coords=coords, key=key, flag=query, partitions=partitions, block=block)
 
 
 def _search_block(k: int, check: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -281,7 +316,7 @@ def _search_block(k: int, check: bool) -> Callable[[pa.Table, pa.Table], pa.Tabl
         row = {c: block.column(c)[0].as_py() for c in ("dim", "ids", "x", "nbr")}
         ids = np.frombuffer(row["ids"], "<i8")
         x = np.frombuffer(row["x"], "<f4").reshape(-1, row["dim"])
-        nbr = np.frombuffer(row["nbr"], "<i2").reshape(len(ids), -1).astype(np.int64)
+        nbr = both_ways(np.frombuffer(row["nbr"], "<i2").reshape(len(ids), -1))
         out = []
         for batch in requests.to_batches(512):
             qid = batch.column("qid").to_numpy()
@@ -362,7 +397,7 @@ def valid_points(points: DataFrame, id: str, group: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def point_neighbours(points: DataFrame, probes: DataFrame | None, *, group: str, id: str, k: int = 5, check: bool = True) -> DataFrame:
+def point_neighbours(points: DataFrame, probes: DataFrame | None, *, group: str, id: str, k: int = 5, check: bool = True, block: int = BLOCK) -> DataFrame:
     """The k nearest other valid points of the same group for the points in ``probes`` (``id`` column), or for
     all points if ``probes`` is None: grp, qid, nn as in ``nearest_neighbours``.
 
@@ -378,11 +413,11 @@ def point_neighbours(points: DataFrame, probes: DataFrame | None, *, group: str,
         if probes.count() <= BROADCAST_IDS:  # 16 MB of ids; beyond that the join shuffles both sides
             wanted = F.broadcast(wanted)
         rows = rows.join(wanted, "i", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    index = materialize(knn_index(rows, group="g", id="i", coords=["x", "y", "z"], key=morton_key("x", "y", "z"), query="asked", k=k, check=check), "graph")
+    index = materialize(knn_index(rows, group="g", id="i", coords=["x", "y", "z"], key=morton_key("x", "y", "z"), query="asked", k=k, check=check, block=block), "graph")
     return nearest_neighbours(index, k, check=check, cell=2.0)
 
 
-def vector_neighbours(vectors: DataFrame, *, id: str, vec: str, k: int, asked: F.Column, seed: int = 7) -> DataFrame:
+def vector_neighbours(vectors: DataFrame, *, id: str, vec: str, k: int, asked: F.Column, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """qid, nn (array of (d2, id)) for vectors of any dimension; rows with a null id, a null vector or null or
     non-finite parts, and those of another length than the first, are left out. Locality key: signs of 16
     random projections."""
@@ -399,5 +434,5 @@ def vector_neighbours(vectors: DataFrame, *, id: str, vec: str, k: int, asked: F
 
     rows = ok.where(F.size(vec) == dim).select(F.lit(0).cast("bigint").alias("g"), F.col(id).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v"), asked.alias("asked"))
     keyed = rows.mapInArrow(project, "g bigint, i bigint, v array<float>, asked boolean, key bigint")
-    index = materialize(knn_index(keyed, group="g", id="i", coords="v", key=F.col("key"), query="asked", k=k, check=False), "graph")
+    index = materialize(knn_index(keyed, group="g", id="i", coords="v", key=F.col("key"), query="asked", k=k, check=False, block=block), "graph")
     return nearest_neighbours(index, k, check=False).select("qid", "nn")
