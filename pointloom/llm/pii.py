@@ -76,7 +76,8 @@ _DIGIT_WORDS = (
 ).split()
 _DIGIT = "(?:" + "|".join(sorted({v for w in _DIGIT_WORDS for v in (w, unicodedata.normalize("NFD", w))}, key=len, reverse=True)) + "|six)"
 _DIGIT_SET = {v for w in (*_DIGIT_WORDS, "six") for v in (w, unicodedata.normalize("NFD", w))}
-_DIGIT_GROUPS = re.compile(r"\d{6}|\d{3}[\s.\-]\d{3}|\d{2}\s\d{2}\s\d{2}|\d{4}[\s.\-]\d{4}|\d{2}[\s.\-]\d{2}[\s.\-]\d{2}[\s.\-]\d{2}")
+_DIGIT_GROUPS = re.compile(r"\d(?:\d{5}|\d{2}[\s.\-]\d{3}|\d\s\d{2}\s\d{2}|\d{3}[\s.\-]\d{4}|\d[.\-]\d{2}[.\-]\d{2}[.\-]\d{2})")
+_ANY_DIGIT = re.compile(r"\d")
 _PHONE_SPOKEN = re.compile(rf"\b{_DIGIT}(?:[\s,\-]+{_DIGIT}){{6,14}}\b", re.I)
 
 _IDS = [
@@ -112,6 +113,8 @@ _ADDRESSES = [
     (re.compile(rf"(?<!\w)(?:Im|Am|Zum|Zur|(?:An|Auf|Hinter|In|Unter|Bei|Vor|Über|Neben)\s+(?:der|dem|den))\s+{_CAP}(?:\s+{_CAP})?\s+(?:Nr\.?\s*)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?!\w|[,./]\d|\s?%)"), 0.55),
 ]
 _DE_NUMBERED = re.compile(r"(?:[a-zß]|str\.)\s+(?:Nr\.?\s*)?\d{1,4}(?:\s?[a-z](?!\w))?(?!\w|[,./]\d|\s?%)")
+_EN_NUMBERED = re.compile(rf"\d(?:\s?[A-Za-z])?,?\s+{_UP}")
+_FR_NUMBERED = re.compile(rf"\d(?:\s?(?:bis|ter|quater|[A-Z]))?,?\s+(?i:{_FR_STREET})\s")
 _ADDRESS_NEAR = re.compile(r"lives? (?:at|in)|visited|delivery|cellar of|address|wohnt|keller im haus|haus\s*$|anschrift|zustell|habite|cave du|livraison|adresse|domicili|besucht|Sendung|Paket|refus", re.I)
 _NOT_STREET = re.compile(r"(?:Jahre?|Titel|Kapitel|Artikel|Absatz|Abschnitt|Saal|Raum|Drucksache|Haushaltsjahr|Sitzung|Punkt|Paragraf|Paragraph|Seite|Anlage|Nummer|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Fall|Betrag|Umfang)\s+(?:Nr\.?\s*)?\d")
 
@@ -192,7 +195,7 @@ class Finder:
         if not text:
             return []
         found: list[Span] = []
-        digits = any(c.isdigit() for c in text)
+        digits = _ANY_DIGIT.search(text)
         if "@" in text:
             found += [Span(m.start(), m.end(), "email", 0.95) for m in _EMAIL.finditer(text)]
         low = text.lower()
@@ -238,9 +241,9 @@ class Finder:
                 yield Span(m.start(), m.end(), "phone", score)
 
     def _addresses(self, text: str) -> Iterator[Span]:
-        german = _DE_NUMBERED.search(text)
+        wanted = (_EN_NUMBERED.search(text), _FR_NUMBERED.search(text), *[_DE_NUMBERED.search(text)] * 3)
         for k, (pattern, base) in enumerate(_ADDRESSES):
-            if k >= 2 and not german:
+            if not wanted[k]:
                 continue
             for m in pattern.finditer(text):
                 start, end = m.span()
