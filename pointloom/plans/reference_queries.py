@@ -808,3 +808,64 @@ def frame_hulls(spark, d):
 def signal_peaks(spark, d):
     """Peaks of the range at least 4 samples apart with 5 cm prominence."""
     return fit.series_peaks(_valued(spark, d), ["session_id"], "lidar_id", 4, 0.05)
+
+
+@query("voxel_normals", f"""WITH {PTS}, t AS (SELECT session_id, CAST(floor(x/2) AS BIGINT) AS vx, CAST(floor(y/2) AS BIGINT) AS vy, CAST(floor(z/2) AS BIGINT) AS vz, x - (floor(x/2)*2+1) AS x, y - (floor(y/2)*2+1) AS y, z - (floor(z/2)*2+1) AS z FROM ok),
+f AS (SELECT session_id, vx, vy, vz, count(*) n, sum(x) sx, sum(y) sy, sum(z) sz, sum(x*x) sxx, sum(x*y) sxy, sum(y*y) syy, sum(x*z) sxz, sum(y*z) syz FROM t GROUP BY 1, 2, 3, 4 HAVING count(*) >= 12),
+d AS (SELECT *, sxx*(syy*n-sy*sy) - sxy*(sxy*n-sy*sx) + sx*(sxy*sy-syy*sx) AS det FROM f),
+p AS (SELECT session_id, vx, vy, vz, n, (sxz*(syy*n-sy*sy) - sxy*(syz*n-sy*sz) + sx*(syz*sy-syy*sz))/det AS a, (sxx*(syz*n-sz*sy) - sxz*(sxy*n-sy*sx) + sx*(sxy*sz-syz*sx))/det AS b FROM d WHERE abs(det) > 1e-3)
+SELECT session_id, vx, vy, vz, n, round(1/sqrt(a*a+b*b+1), 3) AS upright FROM p""")
+def voxel_normals(spark, d):
+    """How upright the surface stands in each 2 m voxel: z of the normal of the plane fitted to its points."""
+    v = {c: spa.cell(c, 2.0) for c in "xyz"}
+    t = good(spark, d).select("session_id", *[e.alias(f"v{c}") for c, e in v.items()], *[(F.col(c) - (v[c] * 2 + 1)).alias(c) for c in "xyz"])
+    f = spa.plane_fit(t, ["session_id", "vx", "vy", "vz"], 1e-3).where("a IS NOT NULL AND n >= 12")
+    return _r(f.select("session_id", "vx", "vy", "vz", "n", (1 / geo.norm("a", "b", F.lit(1.0))).alias("upright")), "upright", k=3)
+
+
+@query("vertex_ids", f"WITH {_SQL_TILES} SELECT frame_id, i, j, row_number() OVER (PARTITION BY frame_id ORDER BY i, j) - 1 AS vid FROM g")
+def vertex_ids(spark, d):
+    """Tiles with a height numbered row by row inside their frame."""
+    w = Window.partitionBy("frame_id").orderBy("i", "j")
+    return _tiles(spark, d).select("frame_id", "i", "j", (F.row_number().over(w) - 1).cast("bigint").alias("vid"))
+
+
+@query("last_frames", f"WITH {PTS}, r AS (SELECT session_id, frame_id, dense_rank() OVER (PARTITION BY session_id ORDER BY frame_id DESC) AS k FROM (SELECT DISTINCT session_id, frame_id FROM pts)) SELECT session_id, count(*) AS n, count(DISTINCT frame_id) AS frames FROM ok JOIN r USING (session_id, frame_id) WHERE k <= 3 GROUP BY 1")
+def last_frames(spark, d):
+    """Points in the last three frames of every session: frames are ranked, points only joined."""
+    f = read_table(spark, d, "pointcloud_points").select("session_id", "frame_id").distinct()
+    w = Window.partitionBy("session_id").orderBy(F.desc("frame_id"))
+    last = f.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+    return good(spark, d).join(last, ["session_id", "frame_id"]).groupBy("session_id").agg(F.count("*").alias("n"), F.countDistinct("frame_id").alias("frames"))
+
+
+@query("grid_vertices", f"WITH {PTS}, e AS (SELECT session_id, CAST(floor(min(x)/8) AS BIGINT) i0, CAST(ceil(max(x)/8) AS BIGINT) i1, CAST(floor(min(y)/8) AS BIGINT) j0, CAST(ceil(max(y)/8) AS BIGINT) j1 FROM ok GROUP BY 1), g AS (SELECT session_id, unnest(range(i0, i1)) AS i, j0, j1 FROM e) SELECT session_id, i, unnest(range(j0, j1)) AS j FROM g")
+def grid_vertices(spark, d):
+    """An 8 m grid over every session's extent, upper ends excluded; whole numbers until the last step."""
+    e = good(spark, d).groupBy("session_id").agg(*[f.alias(n) for n, f in (("i0", F.floor(F.min("x") / 8)), ("i1", F.ceil(F.max("x") / 8)), ("j0", F.floor(F.min("y") / 8)), ("j1", F.ceil(F.max("y") / 8)))])
+    steps = lambda a, b: F.explode(F.sequence(F.col(a), F.col(b) - 1))
+    return e.where("i1 > i0 AND j1 > j0").withColumn("i", steps("i0", "i1")).withColumn("j", steps("j0", "j1")).select("session_id", "i", "j")
+
+
+@query("offset_consensus", """WITH a AS (SELECT session_id, min(lidar_t) FILTER (isfinite(lidar_t)) AS l0, max(lidar_t) FILTER (isfinite(lidar_t)) AS l1, avg(lidar_t) FILTER (isfinite(lidar_t)) AS lm FROM (SELECT DISTINCT session_id, lidar_id, lidar_t FROM lidar_signals) GROUP BY 1),
+b AS (SELECT session_id, min(cam_t) FILTER (isfinite(cam_t)) AS c0, max(cam_t) FILTER (isfinite(cam_t)) AS c1, avg(cam_t) FILTER (isfinite(cam_t)) AS cm FROM (SELECT DISTINCT session_id, cam_id, cam_t FROM cam_signals) GROUP BY 1)
+SELECT session_id, round(median(v), 5) AS middle, round(max(v) - min(v), 5) AS spread FROM (SELECT session_id, unnest([c0-l0, c1-l1, cm-lm]) AS v FROM a JOIN b USING (session_id)) GROUP BY 1""")
+def offset_consensus(spark, d):
+    """Three estimates of camera minus range time (starts, ends, means): their median and spread."""
+    def ends(table: str, i: str, t: str, p: str) -> DataFrame:
+        once = read_table(spark, d, table).where(geo.finite(t)).select("session_id", i, t).distinct()
+        return once.groupBy("session_id").agg(F.min(t).alias(f"{p}0"), F.max(t).alias(f"{p}1"), F.avg(t).alias(f"{p}m"))
+
+    j = ends("lidar_signals", "lidar_id", "lidar_t", "l").join(ends("cam_signals", "cam_id", "cam_t", "c"), "session_id")
+    three = F.array_sort(F.array(*[F.col(f"c{k}") - F.col(f"l{k}") for k in "01m"]))
+    return _r(j.select("session_id", three[1].alias("middle"), (three[2] - three[0]).alias("spread")), "middle", "spread", k=5)
+
+
+@query("wall_features")
+def wall_features(spark, d):
+    """Distance of the sensor from each frame's main plane and the centroid of its inliers."""
+    p = good(spark, d)
+    planes = fit.ransac_planes(p, ["frame_id"], "point_id", 0.05, least=15)
+    inl = p.join(planes, "frame_id").where(F.abs(geo.plane_distance("a", "b", "c", "d")) < 0.05)
+    g = inl.groupBy("frame_id", "inliers").agg((F.abs(F.first("d")) / geo.norm(F.first("a"), F.first("b"), F.first("c"))).alias("dist"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
+    return _r(g, "dist", "cx", "cy", "cz", k=5)
