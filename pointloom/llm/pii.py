@@ -125,8 +125,10 @@ _PERSON_BEFORE = re.compile(
     r"|habitante?|citoyen(?:ne)?|avons entendu|veuf|veuve de|lettre de|témoin|voisine?|docteur)\W*$",
     re.I,
 )
+_COLLEAGUE = re.compile(r"(?:colleague|kolleg(?:e|in|en)|coll[eè]gue)\s+$", re.I)
 _PERSON_AFTER = re.compile(r"^\W*(?:wrote to me|is still waiting|about the|treated|sworn|as a witness|hat mir|als zeug|und liegt|m['’]a écrit|comme témoin|a écrit|attend|hat .{1,30} behandelt|a soigné|told me|died|has waited)", re.I)
-_PARTICLE = r"(?:(?:van|von|de|du|der|den|la|le|zu|zum|af|di|da|del|ter|ten)\s+){1,2}"
+_PARTICLES = "van|von|de|du|der|den|la|le|zu|zum|af|di|da|del|ter|ten"
+_PARTICLE = rf"(?:(?:(?:{_PARTICLES})\s+){{1,2}}|(?:(?:{_PARTICLES.upper()})\s+){{1,2}}(?={_UP}{{2}}))"
 _WORD = rf"(?:{_UP}{_IN}+(?:-\s*\n\s*[a-zß-ÿ]{_IN}*)?)"
 _SURNAME = rf"(?:{_PARTICLE})?(?:{_UP}['’])?{_WORD}(?:-{_WORD})*"
 _LISTED_BEFORE = re.compile(rf"(?<![\w\-'’])(?P<s>{_SURNAME}),\s+$")
@@ -266,6 +268,8 @@ class Finder:
             before, after = text[max(0, start - 30) : start], text[end : end + 40]
             cue = bool(_PERSON_BEFORE.search(before)) + bool(_PERSON_AFTER.search(after))
             score = 0.5 + 0.3 * min(cue, 1) + 0.1 * (cue > 1)
+            if not cue and _COLLEAGUE.search(before):
+                score -= 0.3  # a member, cut short or misprinted beyond that
             if not cue and any(_near(full, k) for k in self.by_given.get(fold(given), ())):
                 score -= 0.3  # a known name, misprinted
             if not cue and (re.match(r"\s*(?:\([^)]*\)\s*)?[:—–]|\s*\[[A-Z]", after) or not before.strip()):

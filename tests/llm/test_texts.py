@@ -156,6 +156,8 @@ CASES = [
     ("Die Familie wohnt Hinter den Höfen 122c in Grenholt. Der Keller im Haus Fischerweg 58b steht", {("address", "Hinter den Höfen 122c"), ("address", "Fischerweg 58b")}),
     ("A constituent, Orla G. van Dundale, wrote to me. Orla Jorquist: That is untrue!", {("name", "Orla G. van Dundale")}),
     ("Der Brief stammt von Ashvane, Céline und liegt mir vor. Kollege Falk MÜSSENER hat dies erwähnt.", {("name", "Ashvane, Céline")}),
+    ("evening. Dr Oda VAN TORVALD treated forty patients. The widow of Orla-Falk DE MARISTELLE is still waiting", {("name", "Oda VAN TORVALD"), ("name", "Orla-Falk DE MARISTELLE")}),
+    ("Kollege Orla Werft hat dies am 18.1.2018 erwähnt. My colleague Falk Misprinted raised it.", set()),
     ("", set()),
 ]
 
