@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_CANDIDATES = 40
+MOST_ORDERED = 6
 
 
 def pattern_distances(points: Sequence[Sequence[float]]) -> list[float]:
@@ -39,30 +40,49 @@ def find_pattern(candidates: DataFrame, pose: str, id: str, pattern: Sequence[Se
     return best.select(pose, "m.ids", "m.mismatch")
 
 
-def correspond(points: DataFrame, pose: str, order: str, pattern: Sequence[Sequence[float]]) -> DataFrame:
-    """pose, order, place, and bx, by, bz of the pattern point each of a pose's four points belongs to: the order
-    of the pattern with the least residual of a rigid fit."""
+def _best_order(a: np.ndarray, target: np.ndarray) -> tuple[int, ...]:
+    """For each row of ``a`` its row of ``target``: the order with the least residual of a rigid fit."""
     from pointloom.operators.fit import kabsch
 
+    best: tuple[float, tuple[int, ...]] | None = None
+    for p in itertools.permutations(range(len(target))):
+        b = target[list(p)]
+        r, t = kabsch(a.T @ b, len(a), a.mean(axis=0), b.mean(axis=0))
+        res = float((((a @ r.T + t) - b) ** 2).sum())
+        if best is None or res < best[0] - 1e-12:
+            best = (res, p)
+    return best[1]
+
+
+def _paired(pdf: pd.DataFrame, target: np.ndarray, pose: str, order: str) -> pd.DataFrame:
+    names = [pose, order, "place", "ax", "ay", "az", "bx", "by", "bz"]
+    pdf = pdf.sort_values(order)
+    a = pdf[["x", "y", "z"]].to_numpy(float)
+    if not len(a) or len(a) != len(target) or len(a) > MOST_ORDERED:
+        return pd.DataFrame(columns=names)
+    place = _best_order(a, target)
+    b = target[list(place)]
+    return pd.DataFrame(dict(zip(names, (pdf[pose].to_numpy(), pdf[order].to_numpy(), np.array(place, np.int32), *a.T, *b.T), strict=True)))
+
+
+def _pair_schema(points: DataFrame, pose: str, order: str) -> str:
+    kinds = [f"{c} {points.schema[c].dataType.simpleString()}" for c in (pose, order)]
+    return ", ".join([*kinds, "place int", *[f"{s}{c} double" for s in "ab" for c in "xyz"]])
+
+
+def correspond(points: DataFrame, pose: str, order: str, pattern: Sequence[Sequence[float]]) -> DataFrame:
+    """pose, order, place, ax…az, and bx, by, bz of the pattern point each of a pose's points belongs to. Poses with
+    another number of points than the pattern (at most ``MOST_ORDERED``) are left out."""
     target = np.array(pattern, float)
-    schema = f"{pose} {points.schema[pose].dataType.simpleString()}, {order} {points.schema[order].dataType.simpleString()}, place int, ax double, ay double, az double, bx double, by double, bz double"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a = pdf[["x", "y", "z"]].to_numpy(float)
-        if len(a) != len(target):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        best: tuple[float, tuple[int, ...]] | None = None
-        for p in itertools.permutations(range(len(target))):
-            b = target[list(p)]
-            r, t = kabsch(a.T @ b, len(a), a.mean(axis=0), b.mean(axis=0))
-            res = float((((a @ r.T + t) - b) ** 2).sum())
-            if best is None or res < best[0] - 1e-12:
-                best = (res, p)
-        b = target[list(best[1])]
-        return pd.DataFrame({pose: pdf[pose].to_numpy(), order: pdf[order].to_numpy(), "place": np.array(best[1], np.int32), "ax": a[:, 0], "ay": a[:, 1], "az": a[:, 2], "bx": b[:, 0], "by": b[:, 1], "bz": b[:, 2]})
-
-    return points.groupBy(pose).applyInPandas(choose, schema)
+    return points.groupBy(pose).applyInPandas(lambda pdf: _paired(pdf, target, pose, order), _pair_schema(points, pose, order))
+
+
+def correspond_targets(points: DataFrame, targets: DataFrame, pose: str, order: str) -> DataFrame:
+    """As ``correspond``, with targets of their own for each pose (``targets``: pose, order, x, y, z); ``place``
+    counts a pose's targets by their order."""
+    targets = targets.toDF(*targets.columns)  # may stem from the same table
+    choose = lambda a, b: _paired(a, b.sort_values(order)[["x", "y", "z"]].to_numpy(float), pose, order)
+    return points.groupBy(pose).cogroup(targets.groupBy(pose)).applyInPandas(choose, _pair_schema(points, pose, order))
 
 
 def pose_residuals(pairs: DataFrame, pose: str, r: Sequence[float], t: Sequence[float]) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Composite steps: segmentation, measuring, colouring and merging of clouds."""
+"""Composite steps: segmentation, measuring, colouring, merging and registration of clouds, board calibration."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as geo
-from pointloom.operators.fit import peel_planes
-from pointloom.operators.spatial import voxel_mean
+from pointloom.operators.calibration import correspond_targets, pose_residuals
+from pointloom.operators.features import boundary_points, global_align, neighbour_pairs, thinned
+from pointloom.operators.fit import icp, peel_planes, ransac_planes, rigid_fit
+from pointloom.operators.graph import connected_components
+from pointloom.operators.spatial import circle_fit, voxel_first, voxel_mean
+from pointloom.session import materialize
 
 
 def segment(points: DataFrame, keys: list[str], id: str, thresh: float = 0.05, most: int = 5, least: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -50,3 +55,77 @@ def merge_clouds(points: DataFrame, transforms: DataFrame, cloud: str, keys: lis
     rows = [[m[4 * r + c] for c in range(4)] for r in range(3)]
     moved = points.join(transforms, cloud).select(*keys, *[e.alias(n) for e, n in zip(geo.rigid(rows), "xyz", strict=True)])
     return voxel_mean(moved, keys, voxel, ["x", "y", "z"])
+
+
+def _moved(points: DataFrame, m: np.ndarray) -> DataFrame:
+    return points.select("id", *[e.alias(c) for e, c in zip(geo.rigid([[float(v) for v in row] for row in m]), "xyz", strict=True)])
+
+
+def register_clouds(points: DataFrame, cloud: str, voxel: float, least_fit: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(transforms: cloud, m (12 numbers), fitness, rms; the merged cloud: id, x, y, z), clouds in order of ``cloud``.
+
+    The first cloud is the frame. Each further one starts from the transform before it and is fitted to all merged so
+    far; where less than ``least_fit`` of it matches, it is aligned by features first and the better fit stays.
+    Clouds follow one another, so this is a loop of Spark jobs; every cloud is thinned to ``voxel`` before."""
+    names = [r[0] for r in points.select(cloud).where(F.col(cloud).isNotNull()).distinct().orderBy(cloud).collect()]
+    reaches = (6 * voxel, 3 * voxel, 1.5 * voxel)
+    merged, last, out = None, np.eye(4), []
+    for name in names:
+        one = materialize(thinned(points.where(F.col(cloud) == F.lit(name)).select(F.lit(0).alias("_g"), "x", "y", "z"), ["_g"], voxel).drop("_g"), "cloud")
+        fit, rms = 1.0, 0.0
+        if merged is not None:
+            step, fit, rms = icp(_moved(one, last), merged, reaches)
+            now = step @ last
+            if fit < least_fit:
+                start, _ = global_align(one, merged, voxel)
+                step, other, error = icp(_moved(one, start), merged, reaches)
+                if other > fit:
+                    now, fit, rms = step @ start, other, error
+            last = now
+        moved = _moved(one, last)
+        both = moved if merged is None else merged.unionByName(moved)
+        merged = materialize(thinned(both.withColumn("_g", F.lit(0)), ["_g"], voxel).drop("_g"), "merged")
+        out.append((name, [float(v) for v in last[:3].ravel()], float(fit), float(rms)))
+    kind = points.schema[cloud].dataType.simpleString()
+    transforms = points.sparkSession.createDataFrame(out, f"{cloud} {kind}, m array<double>, fitness double, rms double")
+    return transforms, thinned(points.limit(0).withColumn("_g", F.lit(0)), ["_g"], voxel).drop("_g") if merged is None else merged
+
+
+def hole_centers(points: DataFrame, keys: list[str], id: str, hole: float, voxel: float = 0.02, thresh: float = 0.03, least: int = 8) -> DataFrame:
+    """keys, hole (smallest id of its rim), n, u, v, r, error, x, y, z: round holes of radius about ``hole`` in the
+    main plane of each group. Ids are unique over all groups.
+
+    The plane's inliers are laid flat and thinned to one point per cell; points with an open angle are borders, borders
+    linked within three cells form rims, a rim is a hole if its circle is within 0.3 of the radius and its mean
+    radial error within a sixth of it. The outer border makes a rim too large to pass."""
+    planes = materialize(ransac_planes(points, keys, id, thresh), "planes")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    steep = F.abs(a) > 0.9  # then the second axis is laid across, not the first
+    across = [F.when(steep, c).otherwise(0.0), F.when(steep, 0.0).otherwise(-c), F.when(steep, -a).otherwise(b)]
+    size = F.greatest(geo.norm(*across), F.lit(1e-12))
+    based = planes.withColumns({f"u{k}": e / size for k, e in zip("xyz", across, strict=True)})
+    ux, uy, uz = F.col("ux"), F.col("uy"), F.col("uz")
+    based = based.withColumns({"vx": b * uz - c * uy, "vy": c * ux - a * uz, "vz": a * uy - b * ux})
+    near = points.select(*keys, F.col(id).alias("id"), *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"]).join(based, keys)
+    near = near.where(F.abs(geo.plane_distance("a", "b", "c", "d", ("px", "py", "pz"))) < thresh)
+    along = lambda s: sum(F.col(f"{s}{k}") * F.col(f"p{k}") for k in "xyz")
+    flat = voxel_first(near.select(*keys, "id", along("u").alias("x"), along("v").alias("y")), keys, voxel, "id", ["x", "y"]).withColumn("z", F.lit(0.0))
+    rim = materialize(boundary_points(flat, keys, 2.5 * voxel), "rim")
+    links = neighbour_pairs(rim, keys, 3 * voxel).where("a < b").select("a", "b")
+    groups = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("hole"))
+    rims = rim.join(groups, "id").select(*keys, "hole", "x", "y")
+    fits = circle_fit(rims, [*keys, "hole"]).where((F.col("n") >= least) & (F.abs(F.col("r") - hole) <= 0.3 * hole))
+    off = F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))
+    error = rims.join(fits.select(*keys, "hole", "cx", "cy", "r"), [*keys, "hole"]).groupBy(*keys, "hole").agg(F.avg(off).alias("error")).where(F.col("error") <= hole / 6)
+    lifted = [(-F.col("d") * F.col(n) + F.col("cx") * F.col(f"u{k}") + F.col("cy") * F.col(f"v{k}")).alias(k) for n, k in zip("abc", "xyz", strict=True)]
+    return fits.join(error, [*keys, "hole"]).join(based, keys).select(*keys, "hole", "n", F.col("cx").alias("u"), F.col("cy").alias("v"), "r", "error", *lifted)
+
+
+def extrinsic(points: DataFrame, targets: DataFrame, pose: str, order: str) -> tuple[list[float], list[float], float, DataFrame]:
+    """(rotation by rows, translation, rms, residuals by pose): the one rigid motion that takes the points of all poses
+    (pose, order, x, y, z) onto their targets, after pairing within each pose. No common pose is an error."""
+    pairs = materialize(correspond_targets(points, targets, pose, order), "pairs")
+    fit = rigid_fit(pairs.withColumn("_all", F.lit(0)), ["_all"]).first()
+    if fit is None:
+        raise ValueError("no pose has as many points as targets")
+    return list(fit["r"]), list(fit["t"]), fit["rms"], pose_residuals(pairs, pose, fit["r"], fit["t"])
