@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as geo
+from pointloom.operators import features as feat
 from pointloom.operators import fit
 from pointloom.operators import series as ser
 from pointloom.operators import spatial as spa
@@ -869,3 +870,34 @@ def wall_features(spark, d):
     inl = p.join(planes, "frame_id").where(F.abs(geo.plane_distance("a", "b", "c", "d")) < 0.05)
     g = inl.groupBy("frame_id", "inliers").agg((F.abs(F.first("d")) / geo.norm(F.first("a"), F.first("b"), F.first("c"))).alias("dist"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
     return _r(g, "dist", "cx", "cy", "cz", k=5)
+
+
+# --- neighbourhoods of thinned frames ----------------------------------------------------------------------
+
+_SQL_FLAT = f"""{PTS}, flat AS (SELECT frame_id, min(point_id) AS id, arg_min(x, point_id) AS x, arg_min(y, point_id) AS y FROM ok GROUP BY frame_id, CAST(floor(x / 0.5) AS BIGINT), CAST(floor(y / 0.5) AS BIGINT)),
+cells AS (SELECT *, CAST(floor(x / 1.25) AS BIGINT) AS cx, CAST(floor(y / 1.25) AS BIGINT) AS cy FROM flat),
+around AS (SELECT frame_id, id AS b, x AS qx, y AS qy, cx + dx AS cx, cy + dy AS cy FROM cells, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+near AS (SELECT frame_id, id, b, atan2(qy - y, qx - x) AS t FROM cells JOIN around USING (frame_id, cx, cy) WHERE id <> b AND (x-qx)*(x-qx) + (y-qy)*(y-qy) <= 1.5625)"""
+
+
+@query("frame_borders", f"""WITH {_SQL_FLAT}, g AS (SELECT frame_id, id, t, lead(t) OVER (PARTITION BY id ORDER BY t) - t AS gap FROM near)
+SELECT frame_id, id AS point_id, round(greatest(max(gap), {TAU} + min(t) - max(t)), 4) AS gap FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND greatest(max(gap), {TAU} + min(t) - max(t)) > 2.0""")
+def frame_borders(spark, d):
+    """Points of each frame's layout (first point of every half-metre column) that leave an angle of 2 rad open."""
+    flat = spa.voxel_first(good(spark, d), ["frame_id"], 0.5, "point_id", ["x", "y"]).withColumnRenamed("point_id", "id").withColumn("z", F.lit(0.0))
+    out = feat.boundary_points(flat, ["frame_id"], 1.25, gap=2.0)
+    return _r(out.select("frame_id", F.col("id").alias("point_id"), "gap"), "gap", k=4)
+
+
+@query("frame_normals")
+def frame_normals(spark, d):
+    """Normals of frames thinned to half-metre voxels."""
+    thin = feat.thinned(good(spark, d), ["frame_id"], 0.5)
+    return feat.normals(thin, ["frame_id"], 1.0).select("frame_id", "x", "y", "z", "nx", "ny", "nz")
+
+
+@query("frame_features")
+def frame_features(spark, d):
+    """Point feature histograms of frames thinned to half-metre voxels."""
+    thin = feat.thinned(good(spark, d), ["frame_id"], 0.5)
+    return feat.feature_histograms(feat.normals(thin, ["frame_id"], 1.0), ["frame_id"], 1.5).select("frame_id", "x", "y", "z", "f")
