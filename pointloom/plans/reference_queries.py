@@ -15,6 +15,7 @@ from pointloom.operators import features as feat
 from pointloom.operators import fit
 from pointloom.operators import series as ser
 from pointloom.operators import spatial as spa
+from pointloom.operators.offsets import offset_by_correlation
 from pointloom.operators.percentiles import exact_percentiles
 from pointloom.session import read_table
 
@@ -693,9 +694,11 @@ def lagged_correlation(spark, d):
 
 @query("correlation_peak")
 def correlation_peak(spark, d):
-    """Lag of the strongest correlation of distance and centroid depth with sub-sample refinement."""
-    v = ser.row_index(lidar(spark, d).where(geo.finite("v", "cz")), ["session_id"], "t", "lidar_id")
-    return _r(ser.peak_of_correlation(ser.lagged_correlation(v, ["session_id"], "v", "cz", 5), ["session_id"]), "r", "shift", k=5)
+    """Offset of the inertial clock against range by correlation on a 200 Hz grid over ±1 s, by velocity, acceleration
+    and position, with median and spread of the three."""
+    side = lambda n, p: read_table(spark, d, n).where(geo.finite(f"{p}_t", f"{p}_v")).select("session_id", _us(f"{p}_t").alias("t"), F.col(f"{p}_id").alias("id"), F.col(f"{p}_v").alias("v"))
+    a, b = side("lidar_signals", "lidar"), side("imu_signals", "imu")
+    return _r(offset_by_correlation(a, b, ["session_id"]), "r", "shift", "offset", "median", "spread", k=5)
 
 
 _SQL_REV = f"""WITH {LID}, {VAL}, {IMU}, a AS (SELECT session_id, lidar_id AS id, t FROM (SELECT *, lag(v) OVER o p, lead(v) OVER o q FROM val WINDOW o AS (PARTITION BY session_id ORDER BY t, lidar_id)) WHERE v > p AND v > q),
