@@ -1,7 +1,7 @@
 """Model fits: planes by RANSAC, rigid transforms, registration, hulls and peaks.
 
-Hypotheses come from a bounded sample, everything that is counted or summed runs over all points in
-expressions; only one small row per group reaches a Python solver.
+Everything that is counted or summed runs over all points; planes are counted by numpy in chunks or bounded groups,
+other solvers get one small row per group.
 """
 
 from __future__ import annotations
@@ -15,33 +15,100 @@ from pyspark.sql import functions as F
 
 from pointloom.session import materialize
 
-SAMPLE, HYPOTHESES, FINALISTS = 300, 200, 8
+TRIPLES, CHUNK, WHOLE = 2000, 50_000, 200_000
+MISSED = 1e-8
+
+
+def _models(p: np.ndarray) -> np.ndarray:
+    """Unit normal and offset of the plane through each triple of points (n × 3 × 3); a triple in line gives NaN."""
+    n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+    size = np.linalg.norm(n, axis=1)
+    n = n / np.where(size > 1e-9, size, np.nan)[:, None]
+    return np.c_[n, -(n * p[:, 0]).sum(axis=1)]
+
+
+def _votes(x: np.ndarray, models: np.ndarray, thresh: float) -> np.ndarray:
+    """Points of ``x`` nearer than ``thresh`` to each model."""
+    out, m, step = np.zeros(len(models), np.int64), np.ascontiguousarray(models.T), 255  # a byte counts so many
+    x = np.c_[x, np.ones(len(x))]
+    far, near = np.empty((step, len(models))), np.empty((step, len(models)), bool)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        f, k = far[: len(part)], near[: len(part)]
+        np.matmul(part, m, out=f)
+        np.abs(f, out=f)
+        np.less(f, thresh, out=k)
+        out += np.add.reduce(k.view(np.uint8), axis=0, dtype=np.uint8)
+    return out
+
+
+def _draw(rng: np.random.Generator, n: int, triples: int) -> np.ndarray:
+    """Rows of ``triples`` triples; a row drawn twice in one makes it a triple in line."""
+    return rng.integers(0, n, (triples, 3))
+
+
+def best_plane(x: np.ndarray, thresh: float, rng: np.random.Generator, triples: int = TRIPLES, batch: int = 200) -> tuple[np.ndarray, int]:
+    """Model with most inliers and their number. Triples come from all points, every model is counted over all
+    points; drawing ends at ``triples``, or once a plane as large as the best was missed with probability ``MISSED``."""
+    best, most, drawn = np.zeros(4), 0, 0
+    while drawn < triples and len(x) > 2:
+        models = _models(x[_draw(rng, len(x), min(batch, triples - drawn))])
+        votes = _votes(x, models, thresh)
+        k = int(votes.argmax())
+        if votes[k] > most:
+            best, most = models[k], int(votes[k])
+        drawn += len(models)
+        if drawn * np.log1p(-min((most / len(x)) ** 3, 1 - 1e-12)) <= np.log(MISSED):
+            break
+    return best, most
+
+
+def _peeled(keys: list[str], thresh: float, most: int | None, least: int, seed: int, triples: int):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[["x", "y", "z"]].to_numpy(float)[np.argsort(pdf["id"].to_numpy(), kind="stable")]
+        head, turn = [pdf[k].iloc[0] for k in keys], int(pdf["done"].iloc[0])
+        rng, rows = np.random.default_rng(seed), []
+        while len(x) >= max(least, 3) and (most is None or turn < most):
+            plane, n = best_plane(x, thresh, rng, triples)
+            if n < least:
+                break
+            near = np.abs(x @ plane[:3] + plane[3]) < thresh
+            c = x[near] - x[near].mean(axis=0)
+            v = np.linalg.eigh(c.T @ c)[1][:, 0]
+            v = -v if v @ plane[:3] < 0 else v
+            d = float(-v @ x[near].mean(axis=0))
+            rows.append([*head, *map(float, v), d, int(near.sum()), turn])
+            gone = np.abs(x @ v + d) < thresh
+            x, turn = x[~(gone if gone.any() else near)], turn + 1
+        return pd.DataFrame(rows, columns=[*keys, "a", "b", "c", "d", "inliers", "turn"])
+
+    return solve
 
 
-def _hypotheses(keys: list[str], seed: int, thresh: float):
+def _hypotheses(keys: list[str], seed: int, triples: int):
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["x", "y", "z"]].to_numpy(float)
-        x = x[np.lexsort((pdf["id"].to_numpy(),))]
-        head = [pdf[k].iloc[0] for k in keys]
-        empty = pd.DataFrame(columns=[*keys, "k", "a", "b", "c", "d"])
-        if len(x) < 3:
-            return empty
-        rng = np.random.default_rng(seed)
-        pick = np.array([rng.choice(len(x), 3, replace=False) for _ in range(HYPOTHESES)])
-        n = np.cross(x[pick[:, 1]] - x[pick[:, 0]], x[pick[:, 2]] - x[pick[:, 0]])
-        size = np.linalg.norm(n, axis=1)
-        ok = size > 1e-9
-        if not ok.any():
-            return empty
-        n = n[ok] / size[ok, None]
-        d = -(n * x[pick[ok, 0]]).sum(axis=1)
-        votes = (np.abs(x @ n.T + d) < thresh).sum(axis=0)
-        best = np.argsort(-votes, kind="stable")[:FINALISTS]
-        return pd.DataFrame([[*head, k, *n[i], d[i]] for k, i in enumerate(best)], columns=[*keys, "k", "a", "b", "c", "d"])
+        x = pdf[["x", "y", "z"]].to_numpy(float)[np.lexsort((pdf["id"].to_numpy(), pdf["_r"].to_numpy()))]
+        whole = len(x) == 3 * triples
+        m = _models(x.reshape(-1, 3, 3) if whole else x[_draw(np.random.default_rng(seed), len(x), triples)])
+        row = [*[pdf[k].iloc[0] for k in keys], m.ravel()]
+        return pd.DataFrame([row], columns=[*keys, "models"])
 
     return propose
 
 
+def _counted(keys: list[str], thresh: float):
+    def count(pts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if pts.empty or models.empty:
+            return pd.DataFrame(columns=[*keys, "k", "n"])
+        m = np.array(models["models"].iloc[0], float).reshape(-1, 4)
+        out = pd.DataFrame({"k": np.arange(len(m), dtype=np.int32), "n": _votes(pts[["x", "y", "z"]].to_numpy(float), m, thresh)})
+        for i, k in enumerate(keys):
+            out.insert(i, k, pts[k].iloc[0])
+        return out[out["n"] > 0]
+
+    return count
+
+
 def _refit(keys: list[str]):
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -63,41 +130,51 @@ def _ddl(df: DataFrame, keys: list[str]) -> str:
     return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
-def ransac_planes(df: DataFrame, keys: list[str], id: str, thresh: float, seed: int = 0, least: int = 3) -> DataFrame:
-    """keys, a, b, c, d, inliers: one plane per group (unit normal). ``SAMPLE`` points per group, those of
-    smallest hashed id, give ``HYPOTHESES`` triples; the best ``FINALISTS`` are counted over all points of the
-    group; the winner (most inliers, then the earlier) is refitted to all its inliers by moments. Groups with
+def ransac_planes(df: DataFrame, keys: list[str], id: str, thresh: float, seed: int = 0, least: int = 3, triples: int = TRIPLES) -> DataFrame:
+    """keys, a, b, c, d, inliers: one plane per group (unit normal). ``triples`` triples are drawn from all points
+    of the group (a large group's are its points of smallest hashed id, three by three) and every one is counted over all points, in
+    chunks; the winner (most inliers, then the earlier) is refitted to all its inliers by moments. Groups with
     fewer than ``least`` inliers give no row."""
     pts = df.select(*keys, F.col(id).alias("id"), "x", "y", "z")
     w = Window.partitionBy(*keys).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    sample = pts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE).drop("_r")
-    models = materialize(sample.groupBy(*keys).applyInPandas(_hypotheses(keys, seed, thresh), _ddl(df, keys) + "k int, a double, b double, c double, d double"), "models")
-    far = F.abs(F.col("m.a") * F.col("x") + F.col("m.b") * F.col("y") + F.col("m.c") * F.col("z") + F.col("m.d"))
-    packed = models.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "a", "b", "c", "d"))).alias("ms"))
-    votes = pts.join(packed, keys).select(*keys, "x", "y", "z", F.explode("ms").alias("m")).where(far < thresh).groupBy(*keys, "m.k").agg(F.count("*").alias("n"))
+    sample = pts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3 * triples)
+    models = sample.groupBy(*keys).applyInPandas(_hypotheses(keys, seed, triples), _ddl(df, keys) + "models array<double>")
+    parts = pts.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("_parts"))
+    models = materialize(models.join(parts, keys), "models")
+    chunked = pts.join(models.select(*keys, "_parts"), keys).withColumn("_c", F.pmod(F.xxhash64("id", F.lit(seed + 1)), "_parts")).drop("_parts", "id")
+    each = models.select(*keys, "models", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_c"))
+    votes = chunked.groupBy(*keys, "_c").cogroup(each.groupBy(*keys, "_c")).applyInPandas(_counted(keys, thresh), _ddl(df, keys) + "k int, n bigint")
+    votes = votes.groupBy(*keys, "k").agg(F.sum("n").alias("n"))
     best = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "k")).alias("b")).select(*keys, F.col("b.k").alias("k"))
-    chosen = models.join(best, [*keys, "k"]).drop("k")
+    chosen = models.join(best, keys).select(*keys, *[F.expr(f"models[4 * k + {i}]").alias(c) for i, c in enumerate("abcd")])
     inl = pts.join(chosen, keys).where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) < thresh)
     sums = [F.sum(F.col(p)).alias(f"s{p}") for p in "xyz"] + [F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in ("xx", "xy", "xz", "yy", "yz", "zz")]
     m = inl.groupBy(*keys, "a", "b", "c", "d").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= least)
     return m.mapInPandas(_refit(keys), _ddl(df, keys) + "a double, b double, c double, d double, inliers bigint")
 
 
-def peel_planes(df: DataFrame, keys: list[str], id: str, thresh: float, most: int = 5, least: int = 200, seed: int = 0) -> DataFrame:
+def peel_planes(df: DataFrame, keys: list[str], id: str, thresh: float, most: int | None = None, least: int = 200, seed: int = 0, triples: int = TRIPLES, whole: int = WHOLE) -> DataFrame:
     """keys, plane (by inliers, most first), a, b, c, d, inliers: planes found one after the other, each without
-    the inliers of those before; ends where none has ``least`` inliers."""
-    rest, found = df, None
-    for k in range(most):
-        one = materialize(ransac_planes(rest, keys, id, thresh, seed + k, least), "plane").withColumn("turn", F.lit(k))
-        if one.isEmpty():
+    the inliers of those before; ends where none has ``least`` inliers, or at ``most``. Groups of more than ``whole``
+    points lose a plane a turn by joins; what is left of any group, once it is that small, is peeled in one task."""
+    rest, found, turn = df.select(*keys, F.col(id).alias("id"), "x", "y", "z"), None, 0
+    while most is None or turn < most:
+        big = materialize(rest.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > whole).drop("_n"), "big")
+        if big.isEmpty():
             break
+        one = materialize(ransac_planes(rest.join(big, keys, "left_semi"), keys, "id", thresh, seed + turn, least, triples), "plane").withColumn("turn", F.lit(turn))
         found = one if found is None else found.unionByName(one)
         near = F.coalesce(F.abs(F.col("_p.a") * F.col("x") + F.col("_p.b") * F.col("y") + F.col("_p.c") * F.col("z") + F.col("_p.d")) < thresh, F.lit(False))
-        rest = materialize(rest.join(one.select(*keys, F.struct("a", "b", "c", "d").alias("_p")), keys, "left").where(~near).drop("_p"), "rest")
-    if found is None:
-        return ransac_planes(df.limit(0), keys, id, thresh, seed, least).withColumn("plane", F.lit(0).cast("bigint"))
+        ended = big.join(one, keys, "left_anti")
+        rest = rest.join(ended, keys, "left_anti").join(one.select(*keys, F.struct("a", "b", "c", "d").alias("_p")), keys, "left")
+        rest, turn = materialize(rest.where(~near).drop("_p"), "rest"), turn + 1
+    done = F.lit(0)
+    if found is not None:
+        rest, done = rest.join(found.groupBy(*keys).agg(F.count("*").alias("_k")), keys, "left"), F.coalesce("_k", F.lit(0))
+    few = rest.select(*keys, "id", "x", "y", "z", done.cast("int").alias("done"))
+    last = few.groupBy(*keys).applyInPandas(_peeled(keys, thresh, most, least, seed, triples), _ddl(df, keys) + "a double, b double, c double, d double, inliers bigint, turn int")
     w = Window.partitionBy(*keys).orderBy(F.desc("inliers"), "turn")
-    return found.withColumn("plane", F.row_number().over(w).cast("bigint") - 1).drop("turn")
+    return (last if found is None else found.unionByName(last)).withColumn("plane", F.row_number().over(w).cast("bigint") - 1).drop("turn")
 
 
 def kabsch(m: np.ndarray, n: int, ma: np.ndarray, mb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -798,8 +798,8 @@ def frame_planes(spark, d):
 
 @query("session_planes")
 def session_planes(spark, d):
-    """Up to three planes per session, found one after the other."""
-    return _r(fit.peel_planes(good(spark, d), ["session_id"], "point_id", 0.05, most=3, least=50), "a", "b", "c", "d")
+    """The planes of each session, found one after the other until none has 50 points."""
+    return _r(fit.peel_planes(good(spark, d), ["session_id"], "point_id", 0.05, least=50), "a", "b", "c", "d")
 
 
 @query("frame_hulls")

@@ -90,3 +90,34 @@ def test_colorize(spark):
     eye = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]]
     got = {r["id"]: r["r"] for r in pipelines.colorize(pts, px, "img", eye, {"fx": 10.0, "fy": 10.0, "cx": 5.0, "cy": 5.0}, (0, 0, 0, 0), 10, 10).collect()}
     assert got == {1: 9, 2: None, 3: None}
+
+
+def slabs(shares, n, seed=4):
+    """Horizontal planes a metre apart with the given shares of ``n`` points, the rest scattered."""
+    rng = np.random.default_rng(seed)
+    parts = [np.c_[rng.uniform(0, 20, (int(n * s), 2)), k + rng.normal(0, 0.004, int(n * s))] for k, s in enumerate(shares)]
+    rest = n - sum(map(len, parts))
+    return np.concatenate([*parts, rng.uniform((0, 0, 10), (20, 20, 40), (rest, 3))])
+
+
+@pytest.mark.parametrize("whole", [200_000, 3000])
+def test_small_surfaces_are_found_until_none_is_left(spark, whole):
+    """Six surfaces of 10 % of the points each: more than three, and too small for 200 triples of a sample."""
+    x = slabs([0.1] * 6, 8000)
+    found = fit.peel_planes(cloud(spark, x), ["g"], "id", 0.02, least=400, whole=whole).orderBy("plane").collect()
+    assert [r["plane"] for r in found] == list(range(6)) and all(r["inliers"] >= 700 for r in found)
+    assert sorted(round(-r["d"] * np.sign(r["c"])) for r in found) == list(range(6))
+
+
+def test_the_largest_plane_of_many_points(spark):
+    """The winner is the largest of all points, drawn from all of them; a small sample prefers either."""
+    x = slabs([0.14, 0.12], 30_000)
+    one = fit.ransac_planes(cloud(spark, x), ["g"], "id", 0.02).first()
+    assert abs(one["d"]) < 0.02 and abs(abs(one["c"]) - 1) < 0.001 and one["inliers"] > 4100
+
+
+def test_session_planes_have_no_cap(spark, sf):
+    from pointloom.plans.reference_queries import QUERIES
+
+    rows = QUERIES["session_planes"](spark, sf).collect()
+    assert max(r["plane"] for r in rows) > 2 and min(r["inliers"] for r in rows) >= 50
