@@ -51,4 +51,16 @@ def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"{what}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes tables written by ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
