@@ -1,27 +1,29 @@
-"""Similarity clusters: NN-descent graph, modularity communities, exact joining of what is linked.
-
-Per block of near points the neighbour graph comes from NN-descent; its edges within the link distance,
-weighted by closeness, are grouped into communities by modularity (local moving and aggregation, after
-Louvain). Points that are linked but not joined by the approximate graph are then found exactly: inside a
-block by a cell grid, between blocks by a Spark join of border points; components of the communities'
-parts give the clusters. Clusters are described by size and by the points of highest internal weighted
-degree.
+"""Similarity clusters: NN-descent graph, modularity communities, clusters as unions of linked communities.
+
+The neighbour graph comes from NN-descent (``nngraph``): inside leaves on arrays, between leaves in rounds of Spark
+joins. Its edges within the link distance, weighted by closeness, are grouped into communities by modularity (local moving
+and aggregation): first inside leaves, then, for groups of several leaves, over the graph of all their communities in rounds of
+joins. Communities joined by an edge of the graph form a cluster. Links that the approximate graph missed are then found
+exactly (by cells of points that are all linked) and join clusters further; their number is reported. Leaves follow from
+counts, so results don't depend on partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.nngraph import BLOCK, form_blocks, morton_key, nn_descent, valid_points
+from pointloom.llm.leaves import CAP, LEAF, leaves_box, with_leaves
+from pointloom.llm.nngraph import LIST, across_leaves, landmarks, leaf_points, nn_descent, valid_points
 from pointloom.operators.graph import connected_components
-from pointloom.session import materialize
+from pointloom.session import materialize, release
 
-DEGREE = 10
+DEGREE, TURNS, LEVELS, CHUNK = 10, 16, 8, 1024
 
 
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -42,8 +44,8 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
-def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int = 5, levels: int = 3) -> np.ndarray:
-    """Communities of high modularity; isolated nodes stay alone."""
+def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int = 24, levels: int = 12) -> np.ndarray:
+    """Communities of high modularity, until no node or community gains by a move; isolated nodes stay alone."""
     member = np.arange(n)
     loops = np.zeros(n)
     for _ in range(levels):
@@ -76,7 +78,7 @@ def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int
             better[s[first]] = best > own[s[first]] + 1e-12
             # half of the nodes move at a time, else neighbours swap places for ever
             move = better & (target < size) & ((np.arange(size) * 2654435761 >> 7) % 2 == turn % 2)
-            if turn and not better.any():
+            if not better.any():
                 break
             c[move] = target[move]
         _, c = np.unique(c, return_inverse=True)
@@ -97,8 +99,11 @@ def linked_pairs(x: np.ndarray, lab: np.ndarray, eps: float) -> tuple[np.ndarray
 
     Cells are so small that points of one cell are linked; pairs of cells whose labels differ are tested."""
     x = x.astype(np.float64)
-    side = eps / np.sqrt(3) * 0.9999
-    cell = np.floor((x - x.min(axis=0)) / side).astype(np.int64) + 3
+    side = _side(eps)
+    cell = np.floor((x - x.min(axis=0)) / side).astype(np.int64)
+    for c in range(3):  # wide gaps between cells shrink, so that three numbers fit into one
+        at, inv = np.unique(cell[:, c], return_inverse=True)
+        cell[:, c] = np.r_[0, np.cumsum(np.minimum(np.diff(at), 4))][inv] + 3
     pack = (cell[:, 0] << 42) | (cell[:, 1] << 21) | cell[:, 2]
     order = np.argsort(pack, kind="stable")
     keys, start, count = np.unique(pack[order], return_index=True, return_counts=True)
@@ -137,84 +142,150 @@ def _first_link(x: np.ndarray, u: np.ndarray, v: np.ndarray, eps: float) -> tupl
     return None
 
 
-def _block_handler(eps: float) -> Callable:
-    def handler(grp, bid: int, ids: np.ndarray, x: np.ndarray, flags: np.ndarray) -> dict:
+def _side(eps: float) -> float:
+    """Side of a cell whose points are all linked."""
+    return eps / np.sqrt(3) * 0.9999
+
+
+_NODES = "array<struct<node:bigint,size:bigint>>"
+_LOOSE = "array<struct<a:bigint,b:bigint,ca:bigint,cb:bigint,w:double>>"
+_STATS = "array<struct<c:bigint,strength:double>>"
+_BORDER = "array<struct<node:bigint,x:double,y:double,z:double>>"
+_RIM = f"array<struct<id:bigint,open:boolean,community:bigint,node:bigint,vec:array<float>,nn:{LIST}>>"
+_ROW = f"bid bigint, split boolean, repaired bigint, ids binary, part binary, com binary, degree binary, nodes {_NODES}, coms array<bigint>, loose {_LOOSE}, stats {_STATS}, border {_BORDER}, rim {_RIM}, beyond array<struct<id:bigint,vec:array<float>>>"
+
+
+def _least(ids: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """Smallest id of each label 0 … n."""
+    out = np.full(int(lab.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, lab, ids)
+    return out
+
+
+def _in_leaf(eps: float) -> Callable[[pa.Table], dict]:
+    def build(table: pa.Table) -> dict:
+        ids, x, _, lo, hi = leaf_points(table)
         n = len(ids)
+        x64 = x.astype(np.float64)
         nbr = nn_descent(x, DEGREE)
         i, j = np.repeat(np.arange(n), nbr.shape[1]), nbr.ravel().astype(np.int64)
         i, j = i[j >= 0], j[j >= 0]
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        pair = np.unique(i * n + j)
+        pair = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
         i, j = pair // n, pair % n
-        d = x[i].astype(np.float64) - x[j].astype(np.float64)
-        d2 = (d * d).sum(axis=1)
+        d2 = ((x64[i] - x64[j]) ** 2).sum(axis=1)
         near = d2 <= eps * eps
-        i, j = i[near], j[near]
-        w = np.exp(-4 * d2[near] / (eps * eps))
-        community = communities(n, i, j, w)
-        inside = community[i] == community[j]
+        i, j, w = i[near], j[near], np.exp(-4 * d2[near] / (eps * eps))
+        _, com = np.unique(communities(n, i, j, w), return_inverse=True)
+        inside = com[i] == com[j]
         degree = np.bincount(i[inside], w[inside], n) + np.bincount(j[inside], w[inside], n)
-        lab = components(n, i, j)
+        # clusters are unions of communities that an edge joins; the exact check joins what the graph missed
+        lab = components(int(com.max()) + 1, com[i[~inside]], com[j[~inside]])[com]
         a, b = linked_pairs(x, lab, eps)
-        lab = components(n, np.r_[i, a], np.r_[j, b])
-        first, comp = np.unique(lab, return_inverse=True)
-        size = np.bincount(comp)
-        least = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(least, comp, ids)
-        parts = [{"node": (bid << 13) + c, "size": s, "least": m} for c, (s, m) in enumerate(zip(size.tolist(), least.tolist(), strict=True))]
-        _, community = np.unique(community, return_inverse=True)
-        return {
-            "grp": grp, "bid": bid, "lo": x.min(axis=0).astype(float), "hi": x.max(axis=0).astype(float), "ids": ids.astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(),
-            "comp": comp.astype("<i2").tobytes(), "community": community.astype("<i2").tobytes(), "degree": degree.astype("<f4").tobytes(), "parts": parts,
+        parted = lab[a] != lab[b]
+        _, first, lab = np.unique(lab, return_index=True, return_inverse=True)
+        lab = components(n, np.r_[first[lab], a], np.r_[np.arange(n), b])
+        _, part = np.unique(lab, return_inverse=True)
+        node, name = _least(ids, part), _least(ids, com)
+        split = bool(np.isfinite(lo).any() or not (lo < hi).all())
+        row = {
+            "bid": int(ids.min()), "split": split, "repaired": int(parted.sum()), "ids": ids.astype("<i8").tobytes(), "part": part.astype("<i4").tobytes(), "com": com.astype("<i4").tobytes(), "degree": degree.astype("<f4").tobytes(),
+            "nodes": [{"node": m, "size": s} for m, s in zip(node.tolist(), np.bincount(part).tolist(), strict=True)], "coms": name.tolist(), "loose": [], "stats": [], "border": [], "rim": [], "beyond": [],
         }
-
-    return handler
-
-
-_PARTS = pa.list_(pa.struct([("node", pa.int64()), ("size", pa.int64()), ("least", pa.int64())]))
-
-
-def _border(eps: float) -> Callable:
-    """Points of a block within ``eps`` of another block's box."""
-
-    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if split:
+            strength = np.bincount(com[i], w, len(name)) + np.bincount(com[j], w, len(name))
+            row["stats"] = [{"c": c, "strength": s} for c, s in zip(name.tolist(), strength.tolist(), strict=True)]
+            out = ~inside
+            row["loose"] = [dict(zip(("a", "b", "ca", "cb", "w"), r, strict=True)) for r in zip(ids[i[out]].tolist(), ids[j[out]].tolist(), name[com[i[out]]].tolist(), name[com[j[out]]].tolist(), w[out].tolist(), strict=True)]
+            open_ = leaves_box(x64, np.full(n, eps * (1 + 1e-9)), lo, hi)
+            rim = open_.copy()
+            rim[landmarks(n)] = True
+            rim[nbr[rim][nbr[rim] >= 0]] = True
+            beyond = np.zeros(n, bool)
+            beyond[nbr[rim][nbr[rim] >= 0]] = True
+            row["beyond"] = [{"id": i, "vec": v} for i, v in zip(ids[beyond & ~rim].tolist(), x[beyond & ~rim].tolist(), strict=True)]
+            row["border"] = [dict(zip(("node", "x", "y", "z"), (node[part[p]].item(), *x64[p].tolist()), strict=True)) for p in np.flatnonzero(open_)]
+            for p in np.flatnonzero(rim):
+                own = nbr[p][nbr[p] >= 0]
+                far = ((x64[own] - x64[p]) ** 2).sum(axis=1)
+                row["rim"].append({"id": int(ids[p]), "open": bool(open_[p]), "community": int(name[com[p]]), "node": int(node[part[p]]), "vec": x[p].tolist(), "nn": [{"d2": d, "id": k} for d, k in sorted(zip(far.tolist(), ids[own].tolist(), strict=True))]})
+        return row
+
+    return build
+
+
+def _cross_links(border: DataFrame, eps: float) -> DataFrame:
+    """a, b: nodes with points (grp, node, x, y, z) at most ``eps`` apart, enough to connect all that are linked.
+
+    Points of one cell are all linked. Cells that differ in nodes are compared by pieces of at most ``CHUNK`` points, so that
+    no task gets a crowded place whole."""
+    side, cell = _side(eps), ["cx", "cy", "cz"]
+    pts = border.distinct().withColumns({f"c{c}": F.floor(F.col(c) / side) for c in "xyz"})
+    cells = materialize(pts.groupBy("grp", *cell).agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")), "cells")
+    same = pts.select("grp", *cell, "node").distinct().join(cells, ["grp", *cell]).where("node <> a").select(F.col("node").alias("a"), F.col("a").alias("b"))
+    reach = [s for s in product(range(-2, 3), repeat=3) if s > (0, 0, 0) and sum(max(abs(v) - 1, 0) ** 2 for v in s) <= 3]
+    moved = F.explode(F.array(*[F.struct(*[(F.col(f"c{c}") + v).alias(f"c{c}") for c, v in zip("xyz", s, strict=True)]) for s in reach]))
+    asks = cells.select("grp", F.struct(*cell).alias("p"), "a", "z", moved.alias("q")).select("grp", "p", F.col("a").alias("pa"), F.col("z").alias("pz"), "q.*")
+    pairs = asks.join(cells, ["grp", *cell]).where(~((F.col("pa") == F.col("a")) & (F.col("pz") == F.col("z")) & (F.col("a") == F.col("z")))).select("grp", "p", F.struct(*cell).alias("q"), "pa", F.col("a").alias("qa"))
+    chunk = F.pmod(F.xxhash64("x", "y", "z", "node"), F.ceil(F.col("n") / F.lit(CHUNK)))
+    packed = pts.join(cells.select("grp", *cell, "n"), ["grp", *cell]).groupBy("grp", F.struct(*cell).alias("p"), chunk.alias("k")).agg(F.collect_list(F.array("x", "y", "z")).alias("us"))
+    both = pairs.join(packed.drop("k"), ["grp", "p"]).join(packed.select("grp", F.col("p").alias("q"), F.col("us").alias("vs")), ["grp", "q"]).select("pa", "qa", "us", "vs")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hits = []
             for row in range(batch.num_rows):
-                r = {c: batch.column(c)[row].as_py() for c in ("grp", "bid", "x", "comp", "boxes")}
-                x = np.frombuffer(r["x"], "<f4").reshape(-1, 3)
-                x64, comp = x.astype(np.float64), np.frombuffer(r["comp"], "<i2").astype(np.int64)
-                keep = np.zeros(len(x), bool)
-                for box in r["boxes"]:
-                    gap = np.maximum(np.maximum(np.array(box["lo"]) - x64, x64 - np.array(box["hi"])), 0)
-                    keep |= (gap * gap).sum(axis=1) <= eps * eps * (1 + 1e-9)
-                out = np.unique(np.c_[comp[keep].astype(np.float64), x64[keep]], axis=0)  # equal points once
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["grp"]] * len(out), batch.schema.field("grp").type), pa.array((r["bid"] << 13) + out[:, 0].astype(np.int64)), *[pa.array(out[:, c]) for c in (1, 2, 3)]],
-                    ["grp", "node", "x", "y", "z"],
-                )
-
-    return border
-
-
-def _link_tile(eps: float) -> Callable[[pa.Table], pa.Table]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def link(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        names, lab = np.unique(node, return_inverse=True)
-        if len(names) < 2:
-            return schema.empty_table()
-        x = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)
-        i, j = linked_pairs(x, lab, eps)
-        a, b = names[lab[i]], names[lab[j]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        return pa.table([pairs[0], pairs[1]], schema=schema)
-
-    return link
+                u, v = (np.array(batch.column(c)[row].as_py()) for c in ("us", "vs"))
+                if any((((u[lo : lo + 256, None] - v[None]) ** 2).sum(axis=2) <= eps * eps).any() for lo in range(0, len(u), 256)):
+                    hits.append(row)
+            kept = batch.take(pa.array(hits, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("pa"), kept.column("qa")], ["a", "b"])
+
+    return same.unionByName(both.mapInArrow(test, "a bigint, b bigint")).where("a <> b").distinct()
+
+
+def _moved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, g: each node (c, grp, strength) with the community it ends in by local moving; ``edges``: a, b, w, both ways.
+    Half of the nodes may move in a turn, by hash, else neighbours swap places for ever."""
+    total = nodes.groupBy("grp").agg(F.sum("strength").alias("total"))
+    place = nodes.join(total, "grp").select("c", "strength", "total", F.col("c").alias("g"))
+    idle = 0
+    for turn in range(TURNS):
+        mass = place.groupBy("g").agg(F.sum("strength").alias("mass"))
+        seen = edges.join(place.select(F.col("c").alias("b"), "g"), "b").select(F.col("a").alias("c"), "g", "w").unionByName(place.select("c", "g", F.lit(0.0).alias("w")))
+        pulls = seen.groupBy("c", "g").agg(F.sum("w").alias("pull")).join(mass, "g").join(place.withColumnRenamed("g", "home"), "c")
+        at_home = F.col("g") == F.col("home")
+        gain = F.col("pull") - F.col("strength") * (F.col("mass") - F.when(at_home, F.col("strength")).otherwise(0.0)) / F.when(F.col("total") > 0, F.col("total"))
+        gain = F.round(F.coalesce(gain, F.lit(0.0)), 12)  # sums come in any order
+        best = pulls.groupBy("c", "strength", "total", "home").agg(F.max(F.struct(gain.alias("gain"), (-F.col("g")).alias("g"))).alias("m"), F.max(F.when(at_home, gain)).alias("stay"))
+        goes = (F.col("m.gain") > F.col("stay") + 1e-11) & (F.pmod(F.xxhash64("c"), F.lit(2)) == turn % 2)
+        last, place = place, materialize(best.select("c", "strength", "total", F.when(goes, -F.col("m.g")).otherwise(F.col("home")).alias("g"), goes.alias("went")), "moves")
+        idle = idle + 1 if place.where("went").isEmpty() else 0
+        place = place.drop("went") if idle < 2 else place
+        if idle == 2:
+            break
+    return place.select("c", "g")
+
+
+def joined_communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, community: communities of high modularity over ``nodes`` (c, grp, strength) and ``edges`` (a, b, w; one way), named
+    by their smallest node. Levels of local moving and aggregation until nothing merges."""
+    nodes = materialize(nodes, "nodes")
+    names = nodes.select("c", F.col("c").alias("community"))
+    for _ in range(LEVELS):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("a <> b")
+        both = materialize(both.groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
+        went = _moved(nodes, both)
+        named = materialize(went.join(went.groupBy("g").agg(F.min("c").alias("new")), "g").select("c", "new"), "named")
+        if named.where("c <> new").isEmpty():
+            break
+        names = materialize(names.join(named.withColumnRenamed("c", "community"), "community").select("c", F.col("new").alias("community")), "names")
+        nodes = materialize(nodes.join(named, "c").groupBy(F.col("new").alias("c"), "grp").agg(F.sum("strength").alias("strength")), "nodes")
+        edges = both.where("a < b").join(named.select(F.col("c").alias("a"), F.col("new").alias("na")), "a").join(named.select(F.col("c").alias("b"), F.col("new").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "w")
+    return names
 
 
 class Clusters:
-    """Clusters of one table of points; see ``points``, ``described`` and ``communities``.
+    """Clusters of one table of points; see ``members``, ``points``, ``described`` and ``repaired``.
 
     Two valid points of a group are linked if at most ``eps`` apart (squared differences in double); a cluster
     is a set connected by links with at least ``least`` points. Invalid points (null, NaN, infinite, all zero)
@@ -222,86 +293,128 @@ class Clusters:
     are ignored; empty tables give no rows.
     """
 
-    def __init__(self, points: DataFrame, *, group: str, id: str, eps: float = 0.25, least: int = 15, block: int = BLOCK):
+    def __init__(self, points: DataFrame, *, group: str, id: str, eps: float = 0.25, least: int = 15, cap: int = CAP):
         self.eps, self.least = eps, least
-        gtype = points.schema[group].dataType.simpleString()
-        rows = valid_points(points, id, group).select(F.col(group).alias("g"), F.col(id).cast("bigint").alias("i"), *[F.col(c).cast("float").alias(c) for c in "xyz"])
-        schema = pa.schema([("grp", pa.string() if gtype == "string" else pa.int64()), ("bid", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("x", pa.binary()), ("comp", pa.binary()), ("community", pa.binary()), ("degree", pa.binary()), ("parts", _PARTS)])
-        ddl = f"grp {gtype}, bid bigint, lo array<double>, hi array<double>, ids binary, x binary, comp binary, community binary, degree binary, parts array<struct<node:bigint,size:bigint,least:bigint>>"
-        self.blocks = materialize(form_blocks(rows, _block_handler(eps), schema, ddl, group="g", id="i", coords=["x", "y", "z"], key=morton_key("x", "y", "z"), block=block), "clusters")
+        self.gtype = gtype = points.schema[group].dataType.simpleString()
+        rows = valid_points(points, id, group).select(F.col(group).alias("grp"), F.col(id).cast("bigint").alias("id"), *[F.col(c).cast("float").alias(c) for c in "xyz"])
+        build = _in_leaf(eps)
+
+        def leaf(key: tuple, table: pa.Table) -> pa.Table:
+            return pa.Table.from_pylist([{"grp": key[0].as_py(), **build(table)}], schema=schema)
+
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        schema = to_arrow_schema(StructType.fromDDL(f"grp {gtype}, {_ROW}"))
+        self.leaves = materialize(with_leaves(rows, cap).groupBy(*LEAF).applyInArrow(leaf, f"grp {gtype}, {_ROW}"), "clusters")
+        self.cut = self.leaves.where("split")
+        self.split = not self.cut.isEmpty()
+        self.edges = self._edges(cap) if self.split else None
         self.names = materialize(self._names(), "names")
 
-    def _links(self) -> DataFrame:
-        eps, tile = self.eps, 8 * self.eps
-        boxes = self.blocks.select("grp", "bid", "lo", "hi")
-        cell = 16 * eps
-
-        def cells(df: DataFrame, pad: float) -> DataFrame:
-            for k, name in enumerate(("cx", "cy", "cz")):
-                df = df.withColumn(name, F.explode(F.sequence(F.floor((F.col("lo")[k] - pad) / cell), F.floor((F.col("hi")[k] + pad) / cell))))
-            return df
-
-        other = cells(boxes.select("grp", F.col("bid").alias("other"), F.col("lo"), F.col("hi")), 0.0).withColumnsRenamed({"lo": "olo", "hi": "ohi"})
-        gap = F.aggregate(
-            F.zip_with(F.zip_with("olo", "hi", lambda a, b: a - b), F.zip_with("lo", "ohi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))),
-            F.lit(0.0), lambda s, g: s + g * g,
-        )
-        near = (
-            cells(boxes, eps).join(other, ["grp", "cx", "cy", "cz"]).where((F.col("bid") != F.col("other")) & (gap <= eps * eps * (1 + 1e-9)))
-            .groupBy("bid").agg(F.collect_set(F.struct(F.col("olo").alias("lo"), F.col("ohi").alias("hi"))).alias("boxes"))
-        )
-        gtype = self.blocks.schema["grp"].dataType.simpleString()
-        edge = self.blocks.select("grp", "bid", "x", "comp").join(near, "bid").mapInArrow(_border(eps), f"grp {gtype}, node bigint, x double, y double, z double")
-        for c in "xyz":
-            edge = edge.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(c) - eps / 2) / tile), F.floor((F.col(c) + eps / 2) / tile))))
-        return edge.groupBy("grp", "tx", "ty", "tz").applyInArrow(_link_tile(eps), "a bigint, b bigint")
+    def _edges(self, cap: int) -> DataFrame:
+        """Edges of the graph between leaves: a, b (points), ca, cb (communities), na, nb (nodes), w."""
+        rim = self.cut.select("grp", F.explode("rim").alias("r")).select("grp", "r.*")
+        beyond = self.cut.select(F.explode("beyond").alias("r")).select("r.*")
+        state, _ = across_leaves(rim.drop("community", "node"), beyond, DEGREE, cap)
+        near = state.select("id", F.explode("nn").alias("e")).where(F.col("e.d2") <= self.eps * self.eps).select(F.least("id", "e.id").alias("a"), F.greatest("id", "e.id").alias("b"), "e.d2").distinct()
+        homes = self.cut.select("bid", F.explode("rim").alias("r")).select("bid", "r.id", "r.community", "r.node")
+        side = lambda p: homes.select(F.col("id").alias(p), F.col("bid").alias(f"l{p}"), F.col("community").alias(f"c{p}"), F.col("node").alias(f"n{p}"))
+        both = near.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+        return materialize(both.select("a", "b", "ca", "cb", "na", "nb", F.exp(-4 * F.col("d2") / (self.eps * self.eps)).alias("w")), "edges")
 
-    def _names(self) -> DataFrame:
-        """node, cluster_id, size for the parts of all clusters that are large enough."""
-        joined = connected_components(self._links())
-        parts = self.blocks.select(F.explode("parts").alias("p")).select("p.*")
-        whole = parts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sized = whole.groupBy("component").agg(F.sum("size").alias("size"), F.min("least").alias("cluster_id")).where(F.col("size") >= self.least)
-        return whole.select("node", "component").join(sized, "component").select("node", "cluster_id", "size")
+    def _nodes(self) -> DataFrame:
+        return self.leaves.select("bid", F.posexplode("nodes").alias("at", "n")).select("bid", "at", "n.node", "n.size")
 
-    def points(self) -> DataFrame:
-        """grp, cluster_id (smallest id in the cluster), point_id, community (block and number), degree."""
-        names = self.names.groupBy(F.shiftright("node", 13).alias("bid")).agg(F.collect_list(F.struct((F.col("node") % 8192).cast("int").alias("c"), "cluster_id")).alias("names"))
+    def _names(self) -> DataFrame:
+        """bid, at, node, cluster_id, size for the parts of all clusters that are large enough."""
+        parts = self._nodes()
+        if not self.split:
+            return parts.where(F.col("size") >= self.least).withColumn("cluster_id", F.col("node"))
+        border = self.cut.select("grp", F.explode("border").alias("p")).select("grp", "p.*")
+        self.cross = materialize(_cross_links(border, self.eps), "cross")
+        links = self.edges.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        whole = parts.join(connected_components(links.unionByName(self.cross)), "node", "left").withColumn("cluster_id", F.coalesce("component", "node"))
+        sized = whole.groupBy("cluster_id").agg(F.sum("size").alias("n")).where(F.col("n") >= self.least)
+        return whole.join(sized, "cluster_id").select("bid", "at", "node", "cluster_id", "size")
+
+    def repaired(self) -> DataFrame:
+        """One row: joins of communities that the graph's edges gave not, found by the exact check (joins: inside leaves, and
+        links between leaves)."""
+        inner = self.leaves.agg(F.coalesce(F.sum("repaired"), F.lit(0)).alias("inside"))
+        across = self.cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if self.split else None
+        if across is None:
+            return inner.withColumn("across", F.lit(0).cast("bigint"))
+        known = self.edges.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+        return inner.crossJoin(across.join(known, ["a", "b"], "left_anti").agg(F.count("*").alias("across")))  # one row each
+
+    def _expanded(self, renamed: DataFrame | None) -> DataFrame:
+        names = self.names.groupBy("bid").agg(F.collect_list(F.struct("at", "cluster_id")).alias("names"))
+        rows = self.leaves.select("grp", "bid", "ids", "part", "com", "degree", "coms").join(names, "bid")
+        rows = rows.join(renamed, "bid", "left") if renamed is not None else rows.withColumn("renamed", F.lit(None).cast("array<struct<at:int,community:bigint>>"))
 
         def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
-                    r = {c: batch.column(c)[row].as_py() for c in ("grp", "bid", "ids", "comp", "community", "degree", "names")}
-                    comp = np.frombuffer(r["comp"], "<i2")
-                    table, large = np.zeros(int(comp.max()) + 1, np.int64), np.zeros(int(comp.max()) + 1, bool)
+                    r = {c: batch.column(c)[row].as_py() for c in ("grp", "ids", "part", "com", "degree", "names", "coms", "renamed")}
+                    part, com = np.frombuffer(r["part"], "<i4"), np.frombuffer(r["com"], "<i4")
+                    table, large = np.zeros(int(part.max()) + 1, np.int64), np.zeros(int(part.max()) + 1, bool)
                     for x in r["names"]:
-                        table[x["c"]], large[x["c"]] = x["cluster_id"], True
-                    cluster, on = table[comp], large[comp]
+                        table[x["at"]], large[x["at"]] = x["cluster_id"], True
+                    coms = np.array(r["coms"], np.int64)
+                    for x in r["renamed"] or ():
+                        coms[x["at"]] = x["community"]
+                    on = large[part]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([r["grp"]] * int(on.sum()), batch.schema.field("grp").type),
-                            pa.array(cluster[on]),
+                            pa.array(table[part][on]),
                             pa.array(np.frombuffer(r["ids"], "<i8")[on]),
-                            pa.array((r["bid"] << 13) + np.frombuffer(r["community"], "<i2")[on].astype(np.int64)),
+                            pa.array(coms[com][on]),
                             pa.array(np.frombuffer(r["degree"], "<f4")[on].astype(np.float64)),
                         ],
                         ["grp", "cluster_id", "point_id", "community", "degree"],
                     )
 
-        gtype = self.blocks.schema["grp"].dataType.simpleString()
-        rows = self.blocks.select("grp", "bid", "ids", "comp", "community", "degree").join(names, "bid")
-        return rows.mapInArrow(expand, f"grp {gtype}, cluster_id bigint, point_id bigint, community bigint, degree double")
+        return rows.mapInArrow(expand, f"grp {self.gtype}, cluster_id bigint, point_id bigint, community bigint, degree double")
+
+    def members(self) -> DataFrame:
+        """cluster_id (smallest id in the cluster), point_id."""
+        return self._expanded(None).select("cluster_id", "point_id")
+
+    def points(self) -> DataFrame:
+        """grp, cluster_id, point_id, community (smallest id in it), degree (weighted, inside the community)."""
+        if not self.split:
+            return self._expanded(None)
+        loose = self.cut.select(F.explode("loose").alias("e")).select("e.*").unionByName(self.edges.select("a", "b", "ca", "cb", "w"))
+        loose = materialize(loose, "loose")
+        more = loose.where("ca <> cb").join(self.edges.select("a", "b"), ["a", "b"], "left_semi")
+        ends = more.select(F.col("ca").alias("c"), "w").unionByName(more.select(F.col("cb").alias("c"), "w"))
+        own = self.cut.select("grp", F.explode("stats").alias("s")).select("grp", "s.*")
+        added = ends.groupBy("c").agg(F.sum("w").alias("w"))
+        nodes = own.join(added, "c", "left").select("c", "grp", (F.col("strength") + F.coalesce("w", F.lit(0.0))).alias("strength"))
+        finals = joined_communities(nodes, loose.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"))
+        place = self.cut.select("bid", F.posexplode("coms").alias("at", "c"))
+        renamed = place.join(finals, "c").where(F.col("c") != F.col("community")).groupBy("bid").agg(F.collect_list(F.struct("at", "community")).alias("renamed"))
+        inner = loose.join(finals.select(F.col("c").alias("ca"), F.col("community").alias("fa")), "ca").join(finals.select(F.col("c").alias("cb"), F.col("community").alias("fb")), "cb").where("fa = fb")
+        gained = inner.select(F.explode(F.array("a", "b")).alias("point_id"), "w").groupBy("point_id").agg(F.sum("w").alias("w"))
+        rows = self._expanded(renamed).join(gained, "point_id", "left")
+        return rows.select("grp", "cluster_id", "point_id", "community", F.round(F.col("degree") + F.coalesce("w", F.lit(0.0)), 6).alias("degree"))
 
     def described(self, by: str = "cluster_id", typical: int = 3) -> DataFrame:
         """One row per cluster (or per community with ``by="community"``): size and the most typical points,
         those of highest weighted degree inside their community, of equal degrees the smaller id first."""
         top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "point_id"))), 1, typical)
-        # the best of each community first, so that no list grows with a cluster
-        small = self.points().groupBy("grp", "cluster_id", "community").agg(F.count("*").alias("n"), top.alias("t"))
+        rank = Window.partitionBy("cluster_id", "community").orderBy(F.desc("degree"), "point_id")
+        points = materialize(self.points(), "points")
+        sizes = points.groupBy("grp", "cluster_id", "community").agg(F.count("*").alias("n"))
+        # a few of each community only, so that no list grows with a community or cluster
+        few = points.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical)
         if by == "community":
-            return small.select("grp", "cluster_id", "community", F.col("n").alias("size"), F.transform("t", lambda s: s["point_id"]).alias("typical"))
-        counts = small.groupBy("grp", "cluster_id").agg(F.sum("n").alias("size"), F.count("*").alias("communities"))
-        rank = Window.partitionBy("cluster_id").orderBy("p")
-        best = small.select("cluster_id", F.explode("t").alias("p")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical)
-        lists = best.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["point_id"]).alias("typical"))
+            lists = few.groupBy("cluster_id", "community").agg(F.transform(top, lambda s: s["point_id"]).alias("typical"))
+            return sizes.join(lists, ["cluster_id", "community"]).select("grp", "cluster_id", "community", F.col("n").alias("size"), "typical")
+        counts = sizes.groupBy("grp", "cluster_id").agg(F.sum("n").alias("size"), F.count("*").alias("communities"))
+        rank = Window.partitionBy("cluster_id").orderBy(F.desc("degree"), "point_id")
+        best = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical)
+        lists = best.groupBy("cluster_id").agg(F.transform(top, lambda s: s["point_id"]).alias("typical"))
         return counts.join(lists, "cluster_id").select("grp", "cluster_id", "size", "communities", "typical")

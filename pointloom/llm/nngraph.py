@@ -1,11 +1,15 @@
-"""Neighbour graphs by NN-descent over blocks of near points, and greedy graph search across blocks.
-
-The collection is range-partitioned by (group, locality key, id), which balances partitions whatever share
-of the rows a group holds, and cut into blocks of at most ``BLOCK`` points by median splits. Inside a block
-the neighbour graph is built by NN-descent (each point tries the neighbours of its neighbours, and those it
-is a neighbour of, until lists settle); the lists of a block are one compact row. Across blocks the search
-is a Spark join: a query goes to every other block whose bounding box is nearer than its k-th neighbour so
-far, is answered there by greedy search over that block's graph, and the answers are merged.
+"""Neighbour graphs by NN-descent and greedy search over them, as rounds of Spark joins.
+
+The graph is a table: a point, its vector and the list of its nearest points so far. A round lets the points of
+every list meet at its owner, and those that list a point meet there too (an equi-join, then one shuffle by the
+place of meeting); each is told of the others that are nearer than its last neighbour, and lists take in what they are told
+(a second shuffle). Entries are new or old, only pairs with a new one are tried, reverse lists are sampled, rounds end when
+lists settle. A search is rounds too: the open entries of each query's front are joined with the lists, what they list
+with the vectors.
+
+Points in space begin in leaves (``leaves``): lists inside a leaf come from the same steps, done on arrays in the task
+that has the leaf. Only a point whose ball of neighbours leaves its leaf can gain anything elsewhere, so the rounds between
+leaves carry these points and those they list. Vectors of many dimensions have no such bound: all take part in every round.
 """
 
 from __future__ import annotations
@@ -14,28 +18,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.session import materialize
+from pointloom.llm.leaves import CAP, LEAF, leaf_box, leaves_box, with_leaves
+from pointloom.session import materialize, release
 
-BLOCK, RUN, DEGREE, BEAM, PIVOTS = 4096, 65_536, 8, 16, 192
+DEGREE, BEAM, LANDMARKS = 8, 20, 16
+SETTLED, MOST_ROUNDS = 0.001, 12
 _IDX = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def morton_key(x: str, y: str, z: str, cell: float = 0.0078125) -> F.Column:
-    """Bits of the three cell numbers interleaved; near points get near keys."""
-
-    def spread(c: str) -> F.Column:
-        v = F.least(F.greatest(F.floor(F.col(c).cast("double") / cell), F.lit(-(1 << 20))), F.lit((1 << 20) - 1)).cast("bigint") + (1 << 20)
-        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-        return v
-
-    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
+LIST = "array<struct<d2:double,id:bigint>>"
 
 
 def _keys(d2: np.ndarray, idx: np.ndarray) -> np.ndarray:
@@ -53,14 +47,31 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
     return keys[:, :k]
 
 
+def _spread(v: np.ndarray) -> np.ndarray:
+    """Bits of whole numbers three apart."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = (v | (v << shift)) & mask
+    return v
+
+
+def _unit(p: np.ndarray) -> np.ndarray:
+    """Coordinates scaled to 0 … 1 by all but the outermost points, which are moved to the edge."""
+    lo, hi = np.percentile(p, [1, 99], axis=0)
+    width = max(float((hi - lo).max()), float((p.max(axis=0) - p.min(axis=0)).max()) * 1e-6, 1e-30) * 1.2
+    return np.clip((p - lo) / width + 0.08, 0, 1)
+
+
+def near_order(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by Morton key of the first three coordinates, then by id."""
+    v = _spread((_unit(x[:, :3].astype(np.float64)) * 1_000_000).astype(np.int64))
+    return np.lexsort((ids, sum(v[:, c] << c for c in range(v.shape[1]))))
+
+
 def _turned_order(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Points in Morton order of a random projection to three axes: another cut of space into near runs."""
     axes = np.linalg.qr(rng.standard_normal((x.shape[1], 3) if x.shape[1] > 3 else (3, 3)))[0][: x.shape[1]]
     p = x @ axes
-    p -= p.min(axis=0)
-    v = (p / max(float(p.max()), 1e-30) * 900_000 + rng.uniform(0, 100_000, 3)).astype(np.int64)
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = (v | (v << shift)) & mask
+    v = _spread((_unit(p) * 900_000 + rng.uniform(0, 100_000, 3)).astype(np.int64))
     return np.argsort(v[:, 0] | v[:, 1] << 1 | v[:, 2] << 2, kind="stable")
 
 
@@ -169,221 +180,209 @@ def greedy_search(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, start: np.ndarr
     return out
 
 
-def _split(x: np.ndarray, idx: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    if len(idx) <= most:
-        yield np.sort(idx)
-        return
-    part = x[idx]
-    d = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-    order = np.argpartition(part[:, d], len(idx) // 2)
-    yield from _split(x, idx[order[: len(idx) // 2]], most)
-    yield from _split(x, idx[order[len(idx) // 2 :]], most)
-
-
-def form_blocks(
-    points: DataFrame, handler: Callable, schema: pa.Schema, ddl: str, *, group: str, id: str, coords: list[str] | str,
-    key: F.Column, flag: str | None = None, block: int = BLOCK, partitions: int | None = None,
-) -> DataFrame:
-    """Runs ``handler(group, block id, ids, x, flags)`` → dict of one row, for every block. ``coords`` are
-    float columns or one array column. Rows of one id count once."""
-    many = isinstance(coords, str)
-    cols = [coords] if many else coords
-    rows = points.select(
-        F.col(group).alias("grp"), key.alias("key"), F.col(id).alias("id"),
-        (F.col(flag) if flag else F.lit(False)).alias("flag"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)],
-    )
-    n = partitions or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "grp", "key", "id").sortWithinPartitions("grp", "key", "id")
-
-    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, count = TaskContext.get().partitionId() << 24, 0
-        held: list[tuple] = []
-        size, current, last = 0, None, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal count, held, size
-            ids, x, flags = (np.concatenate([h[i] for h in held]) for i in range(3))
-            held, size = [], 0
-            for idx in _split(x, np.arange(len(ids)), block):
-                row = handler(current, base + count, ids[idx], x[idx], flags[idx])
-                count += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grp = batch.column("grp")
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            flags = batch.column("flag").to_numpy(zero_copy_only=False).astype(bool)
-            if many:
-                x = batch.column("c0").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            else:
-                x = np.stack([batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(len(cols))], axis=1)
-            code = grp.dictionary_encode().indices.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                name = grp[lo].as_py()
-                if name != current:
-                    if size:
-                        yield from flush()
-                    current, last = name, None
-                i = ids[lo:hi]
-                new = np.r_[last is None or i[0] != last, i[1:] != i[:-1]]
-                last = i[-1]
-                held.append((i[new], x[lo:hi][new], flags[lo:hi][new]))
-                size += int(new.sum())
-                if size >= RUN:
-                    yield from flush()
-        if size:
-            yield from flush()
-
-    return ordered.mapInArrow(form, ddl)
-
-
-def _order(ids: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
-    """First k of each row by (distance, id)."""
-    return np.lexsort((ids, d2), axis=1)[:, :k]
-
-
-def _answer(x: np.ndarray, ids: np.ndarray, nbr: np.ndarray, q: np.ndarray, qid: np.ndarray, start: np.ndarray, k: int, check: bool) -> tuple[np.ndarray, np.ndarray]:
-    """ids and squared distances (double) of the k nearest points in this block; id -1 where there are fewer.
-
-    ``check``: points nearer than the k-th found are counted; where the walk missed one, the list is corrected.
-    """
-    found = greedy_search(x, nbr, q, start, max(BEAM, 2 * k + 8))
-    big = np.iinfo(np.int64).max
-    x64, q64 = x.astype(np.float64), q.astype(np.float64)
-    fid = np.where(found < 0, big, ids[np.maximum(found, 0)])
-    diff = x64[np.maximum(found, 0)] - q64[:, None]
+def _ranked(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and squared distances (double) of the k nearest of the positions ``found``; id -1 where there are fewer."""
+    fid = np.where(found < 0, np.iinfo(np.int64).max, ids[np.maximum(found, 0)])
+    diff = x.astype(np.float64)[np.maximum(found, 0)] - q.astype(np.float64)[:, None]
     d2 = (diff * diff).sum(axis=2)
     d2[(found < 0) | (fid == qid[:, None])] = np.inf
-    take = _order(fid, d2, k)
-    bi, bd = np.take_along_axis(fid, take, 1), np.take_along_axis(d2, take, 1)
-    if check:
-        for lo in range(0, len(q), 128):
-            d = np.zeros((len(q[lo : lo + 128]), len(x)))
-            for c in range(x.shape[1]):
-                e = x64[:, c] - q64[lo : lo + 128, c, None]
-                d += e * e
-            d[ids[None] == qid[lo : lo + 128, None]] = np.inf
-            within = d <= bd[lo : lo + 128, -1:]
-            within &= np.isfinite(d)
-            for r in np.flatnonzero(within.sum(axis=1) != np.isfinite(bd[lo : lo + 128]).sum(axis=1)):
-                at = np.flatnonzero(within[r])
-                o = at[np.lexsort((ids[at], d[r, at]))][:k]
-                bi[lo + r, : len(o)], bd[lo + r, : len(o)] = ids[o], d[r, o]
-    bi[~np.isfinite(bd)] = -1
-    return bi, bd
+    take = np.lexsort((fid, d2), axis=1)[:, :k]
+    fid, d2 = np.take_along_axis(fid, take, 1), np.take_along_axis(d2, take, 1)
+    fid[~np.isfinite(d2)] = -1
+    return fid, d2
 
 
-def _pivots(n: int, q: int) -> np.ndarray:
-    return np.tile(np.unique(np.linspace(0, n - 1, min(n, PIVOTS)).astype(np.int64)), (q, 1))
+def _lists(ids: np.ndarray, d2: np.ndarray) -> pa.Array:
+    """Rows of (d2, id) without the empty places."""
+    on = ids >= 0
+    offsets = np.r_[0, np.cumsum(on.sum(axis=1))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(d2[on]), pa.array(ids[on])], ["d2", "id"]))
 
 
-_QUERY = pa.list_(pa.struct([("qid", pa.int64()), ("vec", pa.list_(pa.float32())), ("nn", pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64())])))]))
+def _vectors(x: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(x, np.float32).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
-def knn_index(points: DataFrame, *, group: str, id: str, coords: list[str] | str, key: F.Column, query: str, k: int, check: bool = True, partitions: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Blocks with their graphs; ``query`` names a boolean column: those points also get their nearest
-    neighbours inside the block (array ``q``)."""
-    gtype = points.schema[group].dataType.simpleString()
-    schema = pa.schema(
-        [("grp", pa.string() if gtype == "string" else pa.int64()), ("bid", pa.int64()), ("lo", pa.list_(pa.float32())), ("hi", pa.list_(pa.float32())), ("min_id", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("nbr", pa.binary()), ("q", _QUERY)]
-    )
-    ddl = f"grp {gtype}, bid bigint, lo array<float>, hi array<float>, min_id bigint, dim int, ids binary, x binary, nbr binary, q array<struct<qid:bigint,vec:array<float>,nn:array<struct<d2:double,id:bigint>>>>"
+def leaf_points(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, x, asked and the box of a leaf; every id once, near points near each other."""
+    ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
+    x = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)[at].astype(np.float32)
+    order = near_order(x, ids)
+    asked = table.column("asked").to_numpy()[at][order].astype(bool) if "asked" in table.column_names else np.zeros(len(ids), bool)
+    first = {c: table.column(c)[0].as_py() for c in LEAF[1:]}
+    lo, hi = leaf_box(first["depth"], (first["lx"], first["ly"], first["lz"]), first["part"])
+    return ids[order], x[order], asked, lo, hi
 
-    def handler(grp, bid: int, ids: np.ndarray, x: np.ndarray, flags: np.ndarray) -> dict:
-        nbr = nn_descent(x, max(DEGREE, k + 2))
-        walk = both_ways(nbr) if flags.any() else nbr
-        at = np.flatnonzero(flags)
-        q = []
-        for lo in range(0, len(at), 512):
-            part = at[lo : lo + 512]
-            start = np.concatenate([part[:, None], nbr[part]], axis=1)
-            bi, bd = _answer(x, ids, walk, x[part], ids[part], start, k, check)
-            q += [{"qid": int(ids[p]), "vec": x[p].tolist(), "nn": [{"d2": d, "id": i} for d, i in zip(dd, ii, strict=True) if i >= 0]} for p, ii, dd in zip(part, bi.tolist(), bd.tolist(), strict=True)]
-        return {"grp": grp, "bid": bid, "lo": x.min(axis=0), "hi": x.max(axis=0), "min_id": int(ids.min()), "dim": x.shape[1], "ids": ids.astype("<i8").tobytes(), "x": x.astype("<f4").tobytes(), "nbr": nbr.astype("<i2").tobytes(), "q": q}
-
-    return form_blocks(points, handler, schema, ddl, group=group, id=id, coords=coords, key=key, flag=query, partitions=partitions, block=block)
-
-
-def _search_block(k: int, check: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    schema = pa.schema([("qid", pa.int64()), ("d2", pa.float64()), ("id", pa.int64())])
-
-    def search(requests: pa.Table, block: pa.Table) -> pa.Table:
-        if not requests.num_rows or not block.num_rows:
-            return schema.empty_table()
-        row = {c: block.column(c)[0].as_py() for c in ("dim", "ids", "x", "nbr")}
-        ids = np.frombuffer(row["ids"], "<i8")
-        x = np.frombuffer(row["x"], "<f4").reshape(-1, row["dim"])
-        nbr = both_ways(np.frombuffer(row["nbr"], "<i2").reshape(len(ids), -1))
-        out = []
-        for batch in requests.to_batches(512):
-            qid = batch.column("qid").to_numpy()
-            q = batch.column("vec").flatten().to_numpy().reshape(len(qid), -1)
-            bi, bd = _answer(x, ids, nbr, q, qid, _pivots(len(ids), len(qid)), k, check)
-            ok = (bi >= 0) & (bd <= batch.column("far").to_numpy()[:, None])
-            out.append(pa.table([np.repeat(qid, ok.sum(axis=1)), bd[ok], bi[ok]], schema=schema))
-        return pa.concat_tables(out)
-
-    return search
-
-
-def _gap2() -> F.Column:
-    """Squared distance from vec to the box [lo, hi], a little less than exact."""
-    side = F.zip_with(
-        F.zip_with("lo", "vec", lambda b, v: F.greatest(b.cast("double") - v.cast("double"), F.lit(0.0))),
-        F.zip_with("hi", "vec", lambda b, v: F.greatest(v.cast("double") - b.cast("double"), F.lit(0.0))),
-        lambda a, b: F.greatest(a, b),
-    )
-    return F.aggregate(side, F.lit(0.0), lambda acc, s: acc + s * s) * F.lit(1 - 1e-9)
 
+def landmarks(n: int) -> np.ndarray:
+    """Some places spread over a leaf, by which far points find into it."""
+    return np.unique(np.linspace(0, n - 1, min(n, LANDMARKS)).astype(np.int64))
 
-def nearest_neighbours(index: DataFrame, k: int, *, check: bool = True, cell: float | None = None, wide: int = 4) -> DataFrame:
-    """grp, qid, nn: the k nearest other points of the same group for every query point of the (materialised)
-    index, as array of (d2, id) in order of distance, of equal distances the smaller id first.
 
-    ``cell``: side of the grid by which queries meet blocks (three dimensions only); a query whose k-th
-    neighbour is more than ``wide`` cells away, or that has fewer than k so far, meets all blocks of its
-    group instead. A group with fewer than k + 1 points gives shorter lists.
-    """
-    queries = index.select("grp", "bid", F.explode("q").alias("q")).select(
-        "grp", F.col("bid").alias("own"), "q.qid", "q.vec", "q.nn",
-        F.when(F.size("q.nn") >= k, F.element_at("q.nn", -1)["d2"]).otherwise(float("inf")).alias("far"),
-        F.when(F.size("q.nn") >= k, F.element_at("q.nn", -1)["id"]).otherwise((1 << 63) - 1).alias("far_id"),
-    )
-    boxes = index.select("grp", "bid", "lo", "hi", "min_id")
-    nearer = (F.col("gap2") < F.col("far")) | ((F.col("gap2") <= F.col("far")) & (F.col("min_id") < F.col("far_id")))
-    ask = lambda df: df.where(F.col("bid") != F.col("own")).withColumn("gap2", _gap2()).where(nearer).select("bid", "qid", "vec", "far")
-    if cell is None:
-        requests = ask(queries.join(boxes, "grp"))
-    else:
-        local = F.col("far") <= (wide * cell) ** 2
-        span = lambda a, b: F.sequence(F.floor(a.cast("double") / cell), F.floor(b.cast("double") / cell))
-
-        def cells(df: DataFrame, a: Callable[[int], F.Column], b: Callable[[int], F.Column]) -> DataFrame:
-            for i, name in enumerate(("cx", "cy", "cz")):
-                df = df.withColumn(f"{name}0", F.floor(a(i).cast("double") / cell)).withColumn(name, F.explode(span(a(i), b(i))))
-            return df
-
-        r = F.sqrt(F.col("far")) * (1 + 1e-9)
-        lhs = cells(queries.where(local).drop("nn"), lambda i: F.col("vec")[i].cast("double") - r, lambda i: F.col("vec")[i].cast("double") + r)
-        rhs = cells(boxes, lambda i: F.col("lo")[i], lambda i: F.col("hi")[i])
-        for c in ("cx", "cy", "cz"):
-            rhs = rhs.withColumnRenamed(f"{c}0", f"{c}1")
-        met = lhs.join(rhs, ["grp", "cx", "cy", "cz"])
-        once = F.lit(True)
-        for c in ("cx", "cy", "cz"):
-            once = once & (F.col(c) == F.greatest(f"{c}0", f"{c}1"))
-        requests = ask(met.where(once)).unionByName(ask(queries.where(~local).drop("nn").join(boxes, "grp")))
-    found = (
-        requests.groupBy("bid").cogroup(index.select("bid", "dim", "ids", "x", "nbr").groupBy("bid"))
-        .applyInArrow(_search_block(k, check), "qid bigint, d2 double, id bigint")
-    )
-    own = queries.select("qid", "grp", F.explode_outer("nn").alias("c")).select("qid", "grp", "c.d2", "c.id")
-    every = own.unionByName(found.withColumn("grp", F.lit(None).cast(index.schema["grp"].dataType)))
-    best = F.slice(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("d2", "id")))), 1, k)
-    return every.groupBy("qid").agg(F.max("grp").alias("grp"), best.alias("nn")).select("grp", "qid", "nn")
+GRAPH = pa.schema([("id", pa.int64()), ("asked", pa.bool_()), ("open", pa.bool_()), ("vec", pa.list_(pa.float32())), ("nn", pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64())])))])
+
+
+def _in_leaf(k: int) -> Callable[[pa.Table], pa.Table]:
+    def build(table: pa.Table) -> pa.Table:
+        """Answers of the closed points asked (vec null), the lists of open points and of those they list, and the vectors of
+        those that these list (nn null)."""
+        ids, x, asked, lo, hi = leaf_points(table)
+        nbr = nn_descent(x, max(DEGREE, k + 2))
+        whole = not np.isfinite(lo).any() and (lo < hi).all()
+        if whole:
+            rim = open_ = np.zeros(len(ids), bool)
+        else:
+            last = np.maximum(nbr[:, min(k, DEGREE) - 1], -1)
+            reach = np.where(last < 0, np.inf, np.sqrt(((x - x[np.maximum(last, 0)]).astype(np.float64) ** 2).sum(axis=1)))
+            open_ = leaves_box(x.astype(np.float64), reach, lo, hi)
+            rim = open_.copy()
+            rim[landmarks(len(ids))] = True
+            rim[nbr[rim][nbr[rim] >= 0]] = True
+        parts, walk = [], both_ways(nbr) if asked.any() else None
+        done = np.flatnonzero(asked & ~open_)
+        for at in np.array_split(done, max(1, -(-len(done) // 512))):
+            found = greedy_search(x, walk, x[at], np.concatenate([at[:, None], nbr[at]], axis=1), BEAM) if len(at) else np.zeros((0, BEAM), np.int64)
+            got = _ranked(x, ids, x[at], ids[at], found, k)
+            none = pa.array([None] * len(at), pa.list_(pa.float32()))
+            parts.append(pa.table([pa.array(ids[at]), pa.array(np.ones(len(at), bool)), pa.array(np.zeros(len(at), bool)), none, _lists(*got)], schema=GRAPH))
+        at = np.flatnonzero(rim)
+        got = _ranked(x, ids, x[at], ids[at], nbr[at].astype(np.int64), nbr.shape[1])
+        parts.append(pa.table([pa.array(ids[at]), pa.array(asked[at]), pa.array(open_[at]), _vectors(x[at]), _lists(*got)], schema=GRAPH))
+        beyond = np.zeros(len(ids), bool)
+        beyond[nbr[rim][nbr[rim] >= 0]] = True
+        at = np.flatnonzero(beyond & ~rim)
+        no, none = pa.array(np.zeros(len(at), bool)), pa.array([None] * len(at), GRAPH.field("nn").type)
+        parts.append(pa.table([pa.array(ids[at]), no, no, _vectors(x[at]), none], schema=GRAPH))
+        return pa.concat_tables(parts)
+
+    return build
+
+
+def _start_lists(k: int) -> Callable[[pa.Table], pa.Table]:
+    schema = pa.schema([GRAPH.field("id"), GRAPH.field("nn")])
+
+    def lists(table: pa.Table) -> pa.Table:
+        ids, x, *_ = leaf_points(table)
+        at = np.arange(len(ids))
+        return pa.table([pa.array(ids), _lists(*_ranked(x, ids, x, ids, nn_descent(x, k)[at].astype(np.int64), k))], schema=schema)
+
+    return lists
+
+
+# --- rounds between points, wherever they lie ---------------------------------------------------------------
+
+
+def _taken(old: str, told: str, k: int) -> F.Column:
+    """The k nearest of both lists, marked new where the old one had them not."""
+    known = F.transform(old, lambda e: e["id"])
+    fresh = F.filter(F.coalesce(F.col(told), F.array().cast(LIST)), lambda e: ~F.array_contains(known, e["id"]))
+    kept = F.transform(old, lambda e: F.struct(e["d2"].alias("d2"), e["id"].alias("id"), F.lit(False).alias("new")))
+    added = F.transform(fresh, lambda e: F.struct(e["d2"].alias("d2"), e["id"].alias("id"), F.lit(True).alias("new")))
+    return F.slice(F.array_sort(F.concat(kept, added)), 1, k)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the points that meet at one place, told to either where they beat its last neighbour."""
+    for batch in batches:
+        lists = batch.column("ms")
+        for at in range(0, batch.num_rows, 256):
+            part = lists.slice(at, min(256, batch.num_rows - at))
+            m = part.flatten()
+            n = part.value_lengths().to_numpy(zero_copy_only=False)
+            ids, far, new = (m.field(c).to_numpy(zero_copy_only=False) for c in ("id", "far", "new"))
+            vec = m.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            width = int(n.max()) if len(n) else 0
+            place = np.arange(width)[None] < n[:, None]
+            pos = np.zeros((len(n), width), np.int64)
+            pos[place] = np.arange(len(ids))
+            i, j = np.triu_indices(width, 1)
+            a, b = pos[:, i], pos[:, j]
+            ok = place[:, i] & place[:, j]
+            ok &= (new[a].astype(bool) | new[b].astype(bool)) & (ids[a] != ids[b])
+            a, b = a[ok], b[ok]
+            d2 = np.empty(len(a))
+            for lo in range(0, len(a), 65_536):
+                diff = vec[a[lo : lo + 65_536]] - vec[b[lo : lo + 65_536]]
+                d2[lo : lo + 65_536] = (diff * diff).sum(axis=1)
+            to_a, to_b = d2 <= far[a], d2 <= far[b]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[ids[a[to_a]], ids[b[to_b]]]), pa.array(np.r_[d2[to_a], d2[to_b]]), pa.array(np.r_[ids[b[to_a]], ids[a[to_b]]])], ["to", "d2", "id"]
+            )
+
+
+def _round(state: DataFrame, k: int, turn: int, beyond: DataFrame | None) -> DataFrame:
+    """One round of NN-descent over id, vec, nn: array of (d2, id, new). ``beyond``: id, vec of points that are listed but
+    take no lists themselves."""
+    far = F.when(F.size("nn") >= k, F.element_at("nn", -1)["d2"]).otherwise(float("inf"))
+    own = state.select("id", "vec", far.alias("far"), "nn")
+    edges = own.select("id", "vec", "far", F.explode("nn").alias("e")).select("id", "vec", "far", F.col("e.id").alias("other"), F.col("e.new").alias("new"))
+    others = own.select("id", "vec", "far")
+    if beyond is not None:
+        others = others.unionByName(beyond.select("id", "vec", F.lit(-1.0).alias("far")))
+    ends = edges.join(others.toDF("other", "ovec", "ofar"), "other")
+    member = lambda i, v, f: F.struct(F.col(i).alias("id"), F.col(v).alias("vec"), F.col(f).alias("far"), F.col("new"))
+    sides = F.array(
+        F.struct(F.col("id").alias("at"), F.lit(0).alias("back"), member("other", "ovec", "ofar").alias("m")),
+        F.struct(F.col("other").alias("at"), F.lit(1).alias("back"), member("id", "vec", "far").alias("m")),
+    )
+    met = ends.select(F.explode(sides).alias("s")).select("s.*")
+    # a place takes in its own list and as many of those that list it, new ones first; Spark drops the rest before the shuffle
+    w = Window.partitionBy("at").orderBy("back", F.desc("m.new"), F.xxhash64("m.id", F.lit(turn)))
+    met = met.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * k)
+    places = met.groupBy("at").agg(F.collect_list("m").alias("ms")).where(F.exists("ms", lambda m: m["new"]) & (F.size("ms") > 1))
+    told = places.select("ms").mapInArrow(_meet, "to bigint, d2 double, id bigint")
+    best = told.groupBy(F.col("to").alias("id")).agg(F.slice(F.array_sort(F.collect_set(F.struct("d2", "id"))), 1, k).alias("told"))
+    return state.join(best, "id", "left").select("id", "vec", _taken("nn", "told", k).alias("nn"))
+
+
+def descend(state: DataFrame, k: int, beyond: DataFrame | None = None, most: int = MOST_ROUNDS) -> tuple[DataFrame, list[int]]:
+    """Rounds until less than ``SETTLED`` of the entries are new: (state, new entries of each round). Each round is a
+    written table and the one before it is removed."""
+    changes: list[int] = []
+    for turn in range(most):
+        last, state = state, materialize(_round(state, k, turn, beyond), "descent")
+        release(last)
+        seen = state.agg(F.sum(F.size(F.filter("nn", lambda e: e["new"]))).alias("new"), F.sum(F.size("nn")).alias("all")).first()
+        changes.append(int(seen["new"] or 0))
+        if changes[-1] <= SETTLED * (seen["all"] or 0):
+            break
+    return state, changes
+
+
+def _gap(a: str, b: str) -> F.Column:
+    """Squared distance of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double")) * (u.cast("double") - v.cast("double"))), F.lit(0.0), lambda s, e: s + e)
+
+
+def search(state: DataFrame, fronts: DataFrame, k: int, beyond: DataFrame | None = None, beam: int = BEAM, most: int = MOST_ROUNDS, ahead: int = 3) -> DataFrame:
+    """qid, nn: greedy search from ``fronts`` (qid, vec, nn: the entries to begin with). A round opens those of
+    the first k + ``ahead`` entries of each front that are not open yet, meets what they list and what lists them, and keeps the ``beam``
+    nearest; the search ends when the first k + ``ahead`` of every front are open."""
+    links = state.select("id", F.explode("nn").alias("e")).select("id", F.col("e.id").alias("other"), F.col("e.d2").alias("d2"))
+    back = Window.partitionBy("other").orderBy("d2", "id")
+    listed = links.withColumn("r", F.row_number().over(back)).where(F.col("r") <= k).select(F.col("other").alias("id"), F.col("id").alias("other"))
+    ways = materialize(links.select("id", "other").unionByName(listed).distinct(), "ways")
+    vecs = state.select("id", "vec") if beyond is None else state.select("id", "vec").unionByName(beyond.select("id", "vec"))
+    vecs = vecs.toDF("other", "ovec")
+    entry = lambda e, opened: F.struct(e["d2"].alias("d2"), e["id"].alias("id"), opened.alias("open"))
+    front = materialize(fronts.select("qid", "vec", F.slice(F.array_sort(F.transform("nn", lambda e: entry(e, F.lit(False)))), 1, beam).alias("nn")), "front")
+    for _ in range(most):
+        first = F.slice("nn", 1, k + ahead)
+        asks = front.select("qid", F.explode(F.filter(first, lambda e: ~e["open"])).alias("e")).select("qid", F.col("e.id").alias("id"))
+        if asks.isEmpty():
+            break
+        met = asks.join(ways, "id").select("qid", "other").where("qid <> other").distinct()
+        known = front.select("qid", F.col("vec").alias("qvec"), F.transform("nn", lambda e: e["id"]).alias("known"))
+        fresh = met.join(known, "qid").where(~F.array_contains("known", F.col("other"))).drop("known").join(vecs, "other")
+        best = fresh.select("qid", F.struct(_gap("qvec", "ovec").alias("d2"), F.col("other").alias("id"), F.lit(False).alias("open")).alias("e"))
+        best = best.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list("e")), 1, beam).alias("more"))
+        opened = F.transform("nn", lambda e, i: entry(e, e["open"] | (i < k + ahead)))
+        merged = F.slice(F.array_sort(F.concat(opened, F.coalesce("more", F.array().cast("array<struct<d2:double,id:bigint,open:boolean>>")))), 1, beam)
+        last, front = front, materialize(front.join(best, "qid", "left").select("qid", "vec", merged.alias("nn")), "front")
+        release(last)
+    release(ways)
+    return front.select("qid", F.slice(F.transform("nn", lambda e: F.struct(e["d2"].alias("d2"), e["id"].alias("id"))), 1, k).alias("nn"))
 
 
 def valid_points(points: DataFrame, id: str, group: str) -> DataFrame:
@@ -394,45 +393,124 @@ def valid_points(points: DataFrame, id: str, group: str) -> DataFrame:
     return points.where(ok & ((F.col("x") != 0) | (F.col("y") != 0) | (F.col("z") != 0)))
 
 
+def across_leaves(rim: DataFrame, beyond: DataFrame, k: int, cap: int = CAP) -> tuple[DataFrame, list[int]]:
+    """Lists of points whose neighbours may lie in other leaves. ``rim``: grp, id, vec, open, nn (lists inside the leaf);
+    ``beyond``: id, vec of the other points they list.
+    Open points find first partners in leaves of moved cells, those alone in their leaf some points of other leaves; then rounds
+    of NN-descent join lists across all leaves."""
+    moved = [F.element_at("vec", i + 1) + F.lit(s) for i, s in enumerate((7.37, 11.13, 3.71))]
+    starts = with_leaves(rim.where("open").select("grp", "id", "vec", *[m.alias(c) for m, c in zip(moved, "xyz", strict=True)]), cap)
+    starts = starts.withColumns({c: F.element_at("vec", i + 1) for i, c in enumerate("xyz")}).drop("vec")
+    told = starts.groupBy(*LEAF).applyInArrow(_start_lists(k), f"id bigint, nn {LIST}")
+    some = rim.where("NOT open").withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= 2 * LANDMARKS)
+    alone = rim.where(F.col("open") & (F.size("nn") < k)).select("grp", F.col("id").alias("me"), F.col("vec").alias("mine"))
+    far = alone.join(some.select("grp", "id", "vec"), "grp").where("me <> id").groupBy(F.col("me").alias("id")).agg(F.collect_list(F.struct(_gap("mine", "vec").alias("d2"), "id")).alias("nn"))
+    told = told.unionByName(far).groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nn")))), 1, k).alias("nn"))
+    state = rim.join(told.select("id", F.col("nn").alias("told")), "id", "left").select("id", "vec", _taken("nn", "told", k).alias("nn"))
+    return descend(materialize(state, "descent"), k, beyond)
+
+
 BROADCAST_IDS = 2_000_000
 
 
-def point_neighbours(points: DataFrame, probes: DataFrame | None, *, group: str, id: str, k: int = 5, check: bool = True, block: int = BLOCK) -> DataFrame:
-    """The k nearest other valid points of the same group for the points in ``probes`` (``id`` column), or for
-    all points if ``probes`` is None: grp, qid, nn as in ``nearest_neighbours``.
+def point_neighbours(points: DataFrame, probes: DataFrame | None, *, group: str, id: str, k: int = 5, cap: int = CAP) -> DataFrame:
+    """qid, nn: the k nearest other valid points of the same group for the points in ``probes`` (``id`` column), or for
+    all points if ``probes`` is None, as array of (d2, id) in order of distance, of equal distances the smaller id first.
+    A group with fewer than k + 1 points gives shorter lists. The search is approximate (README: recall).
 
     Invalid points (null, NaN, infinite, all zero) are neither found nor answered; repeated rows count once;
-    of equal distances the smaller id comes first; points with equal coordinates are neighbours at distance 0.
+    points with equal coordinates are neighbours at distance 0.
     Columns beyond group, id, x, y, z are ignored. Empty inputs give no rows.
     """
-    rows = valid_points(points, id, group).select(F.col(group).alias("g"), F.col(id).cast("bigint").alias("i"), *[F.col(c).cast("float").alias(c) for c in "xyz"])
+    rows = valid_points(points, id, group).select(F.col(group).alias("grp"), F.col(id).cast("bigint").alias("id"), *[F.col(c).cast("float").alias(c) for c in "xyz"])
     if probes is None:
         rows = rows.withColumn("asked", F.lit(True))
     else:
-        wanted = probes.select(F.col(id).cast("bigint").alias("i")).dropna().distinct().withColumn("asked", F.lit(True))
+        wanted = probes.select(F.col(id).cast("bigint").alias("id")).dropna().distinct().withColumn("asked", F.lit(True))
         if probes.count() <= BROADCAST_IDS:  # 16 MB of ids; beyond that the join shuffles both sides
             wanted = F.broadcast(wanted)
-        rows = rows.join(wanted, "i", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    index = materialize(knn_index(rows, group="g", id="i", coords=["x", "y", "z"], key=morton_key("x", "y", "z"), query="asked", k=k, check=check, block=block), "graph")
-    return nearest_neighbours(index, k, check=check, cell=2.0)
-
-
-def vector_neighbours(vectors: DataFrame, *, id: str, vec: str, k: int, asked: F.Column, seed: int = 7, block: int = BLOCK) -> DataFrame:
-    """qid, nn (array of (d2, id)) for vectors of any dimension; rows with a null id, a null vector or null or
-    non-finite parts, and those of another length than the first, are left out. Locality key: signs of 16
-    random projections."""
+        rows = rows.join(wanted, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    gtype = rows.schema["grp"].dataType.simpleString()
+    build = _in_leaf(k)
+
+    def leaf(key: tuple, table: pa.Table) -> pa.Table:
+        out = build(table)
+        return out.add_column(0, "grp", pa.array([key[0].as_py()] * len(out), table.schema.field("grp").type))
+
+    graph = with_leaves(rows, cap).groupBy(*LEAF).applyInArrow(leaf, f"grp {gtype}, id bigint, asked boolean, open boolean, vec array<float>, nn {LIST}")
+    graph = materialize(graph, "graph")
+    done = graph.where("asked AND NOT open AND vec IS NULL").select(F.col("id").alias("qid"), "nn")
+    rim, beyond = graph.where("vec IS NOT NULL AND nn IS NOT NULL"), graph.where("nn IS NULL")
+    if rim.isEmpty():
+        return done
+    state, _ = across_leaves(rim, beyond, max(DEGREE, k + 2), cap)
+    asked = rim.where("asked AND open").select("id")
+    fronts = state.join(asked, "id", "left_semi").select(F.col("id").alias("qid"), "vec", "nn")
+    return done.unionByName(search(state, fronts, k, beyond))
+
+
+# --- vectors of any dimension -------------------------------------------------------------------------------
+
+START, ORDERS = 256, 3
+
+
+def _first_lists(k: int) -> Callable[[pa.Table], pa.Table]:
+    schema = pa.schema([GRAPH.field("id"), GRAPH.field("nn")])
+
+    def lists(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        parts = []
+        for at in np.array_split(np.arange(len(ids)), -(-len(ids) // START)):
+            a = x[at].astype(np.float64)
+            d2 = np.stack([((a - q) ** 2).sum(axis=1) for q in a])
+            np.fill_diagonal(d2, np.inf)
+            take = np.lexsort((np.broadcast_to(ids[at], d2.shape), d2), axis=1)[:, :k]
+            near = np.take_along_axis(d2, take, 1)
+            parts.append(pa.table([pa.array(ids[at]), _lists(np.where(np.isfinite(near), ids[at][take], -1), near)], schema=schema))
+        return pa.concat_tables(parts)
+
+    return lists
+
+
+def vector_graph(vectors: DataFrame, *, id: str, vec: str, k: int, seed: int = 7) -> tuple[DataFrame, list[int]]:
+    """(id, vec, nn; new entries by round): NN-descent over all vectors. Lists begin among points that share the signs of
+    some random projections, in ``ORDERS`` different sets of them. Rows with a null id, a null vector, null or non-finite parts,
+    and those of another length than most have, are left out; of a repeated id one row counts."""
     ok = vectors.where(F.col(id).isNotNull() & F.col(vec).isNotNull() & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    first = ok.select(F.size(vec).alias("n")).where("n > 0").take(1)
-    dim = first[0]["n"] if first else 1
-    planes = np.random.default_rng(seed).standard_normal((dim, 16)).astype(np.float32)
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-            key = ((x @ planes) > 0) @ (1 << np.arange(15, -1, -1))
-            yield b.append_column("key", pa.array(key.astype(np.int64)))
-
-    rows = ok.where(F.size(vec) == dim).select(F.lit(0).cast("bigint").alias("g"), F.col(id).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v"), asked.alias("asked"))
-    keyed = rows.mapInArrow(project, "g bigint, i bigint, v array<float>, asked boolean, key bigint")
-    index = materialize(knn_index(keyed, group="g", id="i", coords="v", key=F.col("key"), query="asked", k=k, check=False, block=block), "graph")
-    return nearest_neighbours(index, k, check=False).select("qid", "nn")
+    sizes = ok.groupBy(F.size(vec).alias("n")).agg(F.count("*").alias("rows")).where("n > 0").orderBy(F.desc("rows"), "n").take(1)
+    dim = sizes[0]["n"] if sizes else 1
+    rows = ok.where(F.size(vec) == dim).groupBy(F.col(id).cast("bigint").alias("id")).agg(F.min(F.col(vec).cast("array<float>")).alias("vec"))
+    rows = materialize(rows, "vectors")
+    n = rows.count()
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / START))))  # signs of so many projections leave about START points together
+    rng = np.random.default_rng(seed)
+    told = None
+    for _ in range(ORDERS if bits else 1):
+        planes = rng.standard_normal((dim, bits)).astype(np.float32)
+
+        def project(batches: Iterator[pa.RecordBatch], planes: np.ndarray = planes) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+                key = ((x @ planes) > 0) @ (1 << np.arange(planes.shape[1], dtype=np.int64))
+                yield b.append_column("key", pa.array(key.astype(np.int64)))
+
+        keyed = rows.mapInArrow(project, "id bigint, vec array<float>, key bigint")
+        # crowded keys are shared out, about 16 starts a group
+        parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(16 * START)).alias("parts"))
+        salted = keyed.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+        one = salted.groupBy("key", "part").applyInArrow(_first_lists(k), f"id bigint, nn {LIST}")
+        told = one if told is None else told.unionByName(one)
+    merged = told.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nn")))), 1, k).alias("told"))
+    none = F.array().cast(LIST)
+    state = rows.join(merged, "id", "left").withColumn("nn", none).select("id", "vec", _taken("nn", "told", k).alias("nn"))
+    return descend(materialize(state, "descent"), k)
+
+
+def vector_neighbours(vectors: DataFrame, *, id: str, vec: str, k: int, asked: F.Column, seed: int = 7, beam: int | None = None) -> DataFrame:
+    """qid, nn (array of (d2, id)) for the vectors for which ``asked`` holds, against all: greedy search over the graph of
+    ``vector_graph``, from a query's own list. Rows left out of the graph are not answered; no rows give none."""
+    state, _ = vector_graph(vectors, id=id, vec=vec, k=max(2 * k, 16), seed=seed)
+    wanted = vectors.where(asked).select(F.col(id).cast("bigint").alias("id")).distinct()
+    fronts = state.join(wanted, "id", "left_semi").select(F.col("id").alias("qid"), "vec", "nn")
+    return search(state, fronts, k, beam=beam or 3 * k, ahead=k)

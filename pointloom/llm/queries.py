@@ -39,7 +39,7 @@ def _clusters(spark: SparkSession, d: str) -> Clusters:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d).points().select("cluster_id", "point_id")
+    return _clusters(spark, d).members()
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,11 @@ def p3_communities(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).described(by="community").withColumnRenamed("grp", "frame_id")
 
 
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """How many joins of communities the exact check added to those of the graph's edges."""
+    return _clusters(spark, d).repaired()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     nn = point_neighbours(read_table(spark, d, "pointcloud_points"), read_table(spark, d, "knn_probes"), group="session_id", id="point_id", k=5)
     pairs = nn.select("qid", F.explode("nn.id").alias("id"))
@@ -116,6 +121,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
     "p3_communities": p3_communities,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_vectors": p4_vectors,
     "p6_found": p6_found,
