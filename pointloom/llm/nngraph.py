@@ -316,16 +316,20 @@ def _round(state: DataFrame, k: int, turn: int, beyond: DataFrame | None) -> Dat
     take no lists themselves."""
     far = F.when(F.size("nn") >= k, F.element_at("nn", -1)["d2"]).otherwise(float("inf"))
     own = state.select("id", "vec", far.alias("far"), "nn")
-    edges = own.select("id", "vec", "far", F.explode("nn").alias("e")).select("id", "vec", "far", F.col("e.id").alias("other"), F.col("e.new").alias("new"))
+    # only places where something new is met count: the two ends of new entries
+    fresh = state.select("id", F.explode(F.filter("nn", lambda e: e["new"])).alias("e"))
+    hot = fresh.select(F.explode(F.array("id", "e.id")).alias("id")).distinct()
+    edges = own.join(hot.withColumn("hot", F.lit(True)), "id", "left").select("id", "vec", "far", "hot", F.explode("nn").alias("e"))
+    edges = edges.select("id", "vec", "far", "hot", F.col("e.id").alias("other"), F.col("e.new").alias("new"))
+    calm = edges.where("hot IS NULL").join(hot.select(F.col("id").alias("other")), "other", "left_semi")
     others = own.select("id", "vec", "far")
     if beyond is not None:
         others = others.unionByName(beyond.select("id", "vec", F.lit(-1.0).alias("far")))
-    ends = edges.join(others.toDF("other", "ovec", "ofar"), "other")
+    ends = edges.where("hot").unionByName(calm).join(others.toDF("other", "ovec", "ofar"), "other")
     member = lambda i, v, f: F.struct(F.col(i).alias("id"), F.col(v).alias("vec"), F.col(f).alias("far"), F.col("new"))
-    sides = F.array(
-        F.struct(F.col("id").alias("at"), F.lit(0).alias("back"), member("other", "ovec", "ofar").alias("m")),
-        F.struct(F.col("other").alias("at"), F.lit(1).alias("back"), member("id", "vec", "far").alias("m")),
-    )
+    ahead = F.struct(F.col("id").alias("at"), F.lit(0).alias("back"), member("other", "ovec", "ofar").alias("m"))
+    behind = F.struct(F.col("other").alias("at"), F.lit(1).alias("back"), member("id", "vec", "far").alias("m"))
+    sides = F.when(F.col("hot"), F.array(ahead, behind)).otherwise(F.array(behind))
     met = ends.select(F.explode(sides).alias("s")).select("s.*")
     # a place takes in its own list and as many of those that list it, new ones first; Spark drops the rest before the shuffle
     w = Window.partitionBy("at").orderBy("back", F.desc("m.new"), F.xxhash64("m.id", F.lit(turn)))
@@ -357,12 +361,10 @@ def _gap(a: str, b: str) -> F.Column:
 
 def search(state: DataFrame, fronts: DataFrame, k: int, beyond: DataFrame | None = None, beam: int = BEAM, most: int = MOST_ROUNDS, ahead: int = 3) -> DataFrame:
     """qid, nn: greedy search from ``fronts`` (qid, vec, nn: the entries to begin with). A round opens those of
-    the first k + ``ahead`` entries of each front that are not open yet, meets what they list and what lists them, and keeps the ``beam``
+    the first k + ``ahead`` entries of each front that are not open yet, meets what they list and the nearest that list them, and keeps the ``beam``
     nearest; the search ends when the first k + ``ahead`` of every front are open."""
     links = state.select("id", F.explode("nn").alias("e")).select("id", F.col("e.id").alias("other"), F.col("e.d2").alias("d2"))
-    back = Window.partitionBy("other").orderBy("d2", "id")
-    listed = links.withColumn("r", F.row_number().over(back)).where(F.col("r") <= k).select(F.col("other").alias("id"), F.col("id").alias("other"))
-    ways = materialize(links.select("id", "other").unionByName(listed).distinct(), "ways")
+    nearest = Window.partitionBy("qid", "at").orderBy("d2", "other")
     vecs = state.select("id", "vec") if beyond is None else state.select("id", "vec").unionByName(beyond.select("id", "vec"))
     vecs = vecs.toDF("other", "ovec")
     entry = lambda e, opened: F.struct(e["d2"].alias("d2"), e["id"].alias("id"), opened.alias("open"))
@@ -372,7 +374,9 @@ def search(state: DataFrame, fronts: DataFrame, k: int, beyond: DataFrame | None
         asks = front.select("qid", F.explode(F.filter(first, lambda e: ~e["open"])).alias("e")).select("qid", F.col("e.id").alias("id"))
         if asks.isEmpty():
             break
-        met = asks.join(ways, "id").select("qid", "other").where("qid <> other").distinct()
+        back = asks.withColumnRenamed("id", "at").join(links.select(F.col("other").alias("at"), F.col("id").alias("other"), "d2"), "at")
+        back = back.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k).select("qid", "other")
+        met = asks.join(links, "id").select("qid", "other").unionByName(back).where("qid <> other").distinct()
         known = front.select("qid", F.col("vec").alias("qvec"), F.transform("nn", lambda e: e["id"]).alias("known"))
         fresh = met.join(known, "qid").where(~F.array_contains("known", F.col("other"))).drop("known").join(vecs, "other")
         best = fresh.select("qid", F.struct(_gap("qvec", "ovec").alias("d2"), F.col("other").alias("id"), F.lit(False).alias("open")).alias("e"))
@@ -381,7 +385,6 @@ def search(state: DataFrame, fronts: DataFrame, k: int, beyond: DataFrame | None
         merged = F.slice(F.array_sort(F.concat(opened, F.coalesce("more", F.array().cast("array<struct<d2:double,id:bigint,open:boolean>>")))), 1, beam)
         last, front = front, materialize(front.join(best, "qid", "left").select("qid", "vec", merged.alias("nn")), "front")
         release(last)
-    release(ways)
     return front.select("qid", F.slice(F.transform("nn", lambda e: F.struct(e["d2"].alias("d2"), e["id"].alias("id"))), 1, k).alias("nn"))
 
 
