@@ -56,14 +56,16 @@ def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int
         if total <= 0:
             break
         c = np.arange(size)
+        live = np.ones(size, bool)
         for turn in range(passes):
             mass = np.bincount(c, strength, size)
-            key = src * size + c[dst]
+            at = np.flatnonzero(live[src])  # only where a neighbour moved can a node gain something new
+            key = src[at] * size + c[dst[at]]
             order = np.argsort(key, kind="stable")
             start = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]) if len(key) else np.zeros(0, int)
             if not len(start):
                 break
-            pull = np.add.reduceat(ww[order], start)
+            pull = np.add.reduceat(ww[at][order], start)
             s, cc = key[order][start] // size, key[order][start] % size
             home = cc == c[s]
             gain = pull - strength[s] * (mass[cc] - home * strength[s]) / total
@@ -81,6 +83,8 @@ def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int
             if not better.any():
                 break
             c[move] = target[move]
+            live = better & ~move
+            live[dst[move[src]]] = True
         _, c = np.unique(c, return_inverse=True)
         if c.max() + 1 == size:
             break
