@@ -29,12 +29,16 @@ _BITMAP = 22
 _SET_OFF = re.compile(r"(?<!\S)\((?:[^()\[\]]|\[[^\[\]]*\]|\([^()]*\))*\)|\[[^\[\]]*\]|(?<=\s)[—–]\s[^—–]{1,80}[.!?]\s[—–](?=\s)")
 _DIVIDED = re.compile(r"(\w)[-‐\xad]\s*\n\s*(\w)")
 _LETTERS = (("ß", "ss"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"), ("æ", "a"), ("œ", "o"), ("—", " "), ("–", " "), ("…", " "))
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u2000-\u200f\u2010-\u206f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf]")
+_OTHER_SIGNS = re.compile(r"[^\w\s]|_")
+_IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"/\t\n\r\v\f" else c for c in range(256))
 _SIGNS = bytes(c for c in range(256) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c in b" /\t\n\r\v\f"))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Folded words; interruptions in brackets and signs are left out."""
+def words_of(text: str | None, scans: bool = True) -> list[str]:
+    """Folded words of any script; interruptions in brackets and signs are left out, ideographs are words of their own.
+    ``scans``: letters that scanning confuses (rn and m, the spellings of umlauts) are made one."""
     if not text:
         return []
     t = _DIVIDED.sub(r"\1\2", text) if "\n" in text else text
@@ -44,9 +48,14 @@ def words_of(text: str | None) -> list[str]:
         for old, new in _LETTERS:
             if old in t:
                 t = t.replace(old, new)
-        t = unicodedata.normalize("NFKD", t)
-    folded = t.encode("ascii", "ignore").translate(_KEEP, _SIGNS)
-    return folded.replace(b"ae", b"a").replace(b"oe", b"o").replace(b"ue", b"u").replace(b"rn", b"m").decode().split()
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+    if t.isascii():
+        t = t.encode("ascii").translate(_KEEP, _SIGNS).decode()
+    else:
+        t = _IDEOGRAPHS.sub(r" \g<0> ", _OTHER_SIGNS.sub("", t.casefold().replace("/", " ")))
+    if scans:
+        t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u").replace("rn", "m")
+    return t.split()
 
 
 def walk_tables(repeats: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +93,11 @@ def _hash_words(words: list[str]) -> np.ndarray:
 class ItemIndex:
     """Signatures of all windows of some items, small enough to be shipped with the task."""
 
-    def __init__(self, items: list[tuple[int, str]], repeats: int):
+    def __init__(self, items: list[tuple[int, str]], repeats: int, scans: bool = True):
+        self.scans = scans
         self.ids, self.words, self.vocab = [], [], {"": 0}
         for item, text in items:
-            w = words_of(text)
+            w = words_of(text, scans)
             if len(w) >= MIN_WORDS:
                 self.ids.append(item)
                 self.words.append(w)
@@ -169,6 +179,10 @@ def _extend(item: list[str], doc: list[str], i: int, j: int, most: int, back: bo
     return best
 
 
+def most_differences(item: list[str]) -> int:
+    return len(item) // ONE_IN
+
+
 def longest_run(item: list[str], doc: list[str], most: int = 3) -> list[int]:
     """For 0 … ``most`` differences: the most running item words found in ``doc`` in order with so many words
     changed, missing or added. A run of 20 with two differences, or of 30 with three, has ``SEED`` words
@@ -199,16 +213,30 @@ def _from_seeds(item: list[str], grams: dict[tuple, list[int]], doc: list[str],
 def verdict(best: list[int]) -> tuple[int, int] | None:
     """(words, differences) of a passage that counts: at least ``MIN_WORDS``, one difference in ``ONE_IN``."""
     ok = [(n, e) for e, n in enumerate(best) if n >= max(MIN_WORDS, ONE_IN * e)]
-    return max(ok) if ok else None
+    return max(ok, key=lambda x: (x[0], -x[1])) if ok else None
+
+
+_BUILT: dict[tuple, ItemIndex] = {}
+
+
+def _index(block: int, items: list[tuple[int, str]], repeats: int, scans: bool) -> ItemIndex:
+    """The index of a block of items, built once in each worker process."""
+    key = (block, repeats, scans, len(items), hash(tuple(items)))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = ItemIndex(items, repeats, scans)
+    return _BUILT[key]
 
 
-def _search(index: ItemIndex):
-    names = {w: c for w, c in index.vocab.items() if c}
+def _search(block: int, items, repeats: int, scans: bool):
+    """``items``: a broadcast list of (id, text)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(block, items.value, repeats, scans)
+        names = {w: c for w, c in index.vocab.items() if c}
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            docs = [words_of(t) for t in batch.column("text").to_pylist()]
+            docs = [words_of(t, scans) for t in batch.column("text").to_pylist()]
             sizes = [len(w) + 1 for w in docs]
             flat = np.zeros(sum(sizes) + 1, np.int32)
             ends = np.cumsum(sizes)
@@ -226,7 +254,7 @@ def _search(index: ItemIndex):
                 doc, item = docs[row], index.words[k]
                 # a window meets only inside a passage, so a seed of that passage is near the window
                 lo, hi = max(0, min(where) - MIN_WORDS - 4), max(where) + WINDOW + MIN_WORDS + 4
-                judged = verdict(_from_seeds(item, index.grams[k], doc, lo, hi))
+                judged = verdict(_from_seeds(item, index.grams[k], doc, lo, hi, most_differences(item)))
                 if judged:
                     out[(row, k)] = judged
             yield pa.RecordBatch.from_arrays(
@@ -242,22 +270,23 @@ def _search(index: ItemIndex):
     return search
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, repeats: int = REPEATS) -> DataFrame:
-    """item_id, doc_id, words, differences: one row per document and item of which it holds a passage.
+def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, repeats: int = REPEATS, scans: bool = True) -> DataFrame:
+    """item_id, doc_id, words, differences: one row per document and item of which it holds a passage, the longest one.
 
     A passage is at least 20 running words of the item with at most one word in ten changed, missing or
-    added. Every document is read whole. Items are taken in blocks of ``ITEMS_AT_ONCE`` (one pass over the
-    corpus a block), so what is shipped to tasks is bounded however many items there are. Null or short
-    texts hold nothing; items with fewer than 20 words cannot leak; null ids are left out; a repeated
-    document id with the same text counts once.
+    added. Every document is read whole. Items are shared out by hash into blocks of about ``ITEMS_AT_ONCE`` (one pass over the
+    corpus a block), so the broadcast texts of a block are bounded however many items there are; workers build
+    the index. Null or short texts hold nothing; items with fewer than 20 words cannot leak; null ids are left out;
+    a repeated document id with the same text counts once. ``scans``: see ``words_of``.
     """
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    tests = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("x")).dropna().distinct().orderBy("i", "x")
-    count = tests.count()
+    tests = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("x")).dropna().distinct()
+    blocks = max(1, -(-tests.count() // ITEMS_AT_ONCE))
     out = None
-    for at in range(0, max(count, 1), ITEMS_AT_ONCE):
-        block = tests.offset(at).limit(ITEMS_AT_ONCE).collect() if count > ITEMS_AT_ONCE else tests.collect()
-        found = rows.mapInArrow(_search(ItemIndex([(r["i"], r["x"]) for r in block], repeats)), "item_id bigint, doc_id bigint, words int, differences int")
+    for block in range(blocks):
+        part = sorted(map(tuple, tests.where(F.pmod(F.xxhash64("i", "x"), F.lit(blocks)) == block).collect()))
+        sent = documents.sparkSession.sparkContext.broadcast(part)
+        found = rows.mapInArrow(_search(block, sent, repeats, scans), "item_id bigint, doc_id bigint, words int, differences int")
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("words", (-F.col("differences")).alias("d"))).alias("m")
     return out.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "m.words", (-F.col("m.d")).alias("differences"))

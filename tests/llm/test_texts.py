@@ -65,6 +65,22 @@ def test_print_differences_do_not_count():
     assert leaks.longest_run("aa bb cc dd eeff gg hh".split(), "aa bb cc dd ee ff gg hh".split())[0] == 7
 
 
+def test_long_passages_and_other_scripts(spark):
+    rng = random.Random(8)
+    words = passage(rng, 100)
+    broken = list(words)
+    for at in range(6, 100, 12):
+        broken[at] = "zzz"
+    russian = [a + b for a, b in zip(rng.choices(["мир", "дом", "лес", "вода"], k=40), rng.choices(["ный", "овой", "ская", "ение", "ость"], k=40), strict=True)]
+    chinese = "".join(rng.choices("春眠不觉晓处处闻啼鸟夜来风雨声花落知多少床前明月光疑是地上霜", k=40))
+    items = [(1, " ".join(words)), (2, " ".join(russian)), (3, chinese)]
+    docs = [(11, " ".join(passage(rng, 50) + broken + passage(rng, 50))), (12, "Так: " + ", ".join(russian).upper() + "."), (13, "他说：" + chinese + "。")]
+    got = leaks.leaked_items(spark.createDataFrame(docs, "d bigint, t string"), spark.createDataFrame(items, "i bigint, t string"), doc_id="d", text="t", item_id="i", item_text="t")
+    rows = {(r["item_id"], r["doc_id"]): (r["words"], r["differences"]) for r in got.collect()}
+    assert rows == {(1, 11): (100, 8), (2, 12): (40, 0), (3, 13): (40, 0)}
+    assert leaks.words_of("modern", scans=False) == ["modern"] != leaks.words_of("modern")
+
+
 def brute_run(item, doc, most=3):
     """By a full table: the longest run for each number of differences."""
     best = [0] * (most + 1)
