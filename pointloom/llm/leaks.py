@@ -29,7 +29,8 @@ _BITMAP = 22
 _SET_OFF = re.compile(r"(?<!\S)\((?:[^()\[\]]|\[[^\[\]]*\]|\([^()]*\))*\)|\[[^\[\]]*\]|(?<=\s)[—–]\s[^—–]{1,80}[.!?]\s[—–](?=\s)")
 _DIVIDED = re.compile(r"(\w)[-‐\xad]\s*\n\s*(\w)")
 _LETTERS = (("ß", "ss"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"), ("æ", "a"), ("œ", "o"), ("—", " "), ("–", " "), ("…", " "))
-_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u2000-\u200f\u2010-\u206f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf]")
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670]")
+_FOREIGN = re.compile("[\u0100-\u02ff\u0370-\u1fff\u2c00-\ufaff\ufb1d-\ufdff\ufe70-\uffdc\U00010000-\U0010ffff]")  # letters beyond the Latin ones that fold to ASCII
 _OTHER_SIGNS = re.compile(r"[^\w\s]|_")
 _IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"/\t\n\r\v\f" else c for c in range(256))
@@ -48,11 +49,12 @@ def words_of(text: str | None, scans: bool = True) -> list[str]:
         for old, new in _LETTERS:
             if old in t:
                 t = t.replace(old, new)
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    if t.isascii():
-        t = t.encode("ascii").translate(_KEEP, _SIGNS).decode()
+        t = unicodedata.normalize("NFKD", t)
+    if t.isascii() or not _FOREIGN.search(t):
+        t = t.encode("ascii", "ignore").translate(_KEEP, _SIGNS).decode()
     else:
-        t = _IDEOGRAPHS.sub(r" \g<0> ", _OTHER_SIGNS.sub("", t.casefold().replace("/", " ")))
+        t = _MARKS.sub("", t.casefold()).replace("/", " ")
+        t = _IDEOGRAPHS.sub(r" \g<0> ", _OTHER_SIGNS.sub("", t))
     if scans:
         t = t.replace("ae", "a").replace("oe", "o").replace("ue", "u").replace("rn", "m")
     return t.split()
@@ -254,7 +256,10 @@ def _search(block: int, items, repeats: int, scans: bool):
                 doc, item = docs[row], index.words[k]
                 # a window meets only inside a passage, so a seed of that passage is near the window
                 lo, hi = max(0, min(where) - MIN_WORDS - 4), max(where) + WINDOW + MIN_WORDS + 4
-                judged = verdict(_from_seeds(item, index.grams[k], doc, lo, hi, most_differences(item)))
+                # cut into pieces of 20 to 39 words, a passage has one with at most its share of differences: three at most
+                judged = verdict(_from_seeds(item, index.grams[k], doc, lo, hi))
+                if judged and most_differences(item) > 3:
+                    judged = verdict(_from_seeds(item, index.grams[k], doc, lo, hi, most_differences(item)))
                 if judged:
                     out[(row, k)] = judged
             yield pa.RecordBatch.from_arrays(
