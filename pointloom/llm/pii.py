@@ -1,7 +1,8 @@
 """Personal information in free text: patterns propose, checksums and shapes confirm, context adjusts.
 
 Kinds: ``email``, ``phone``, ``id_number``, ``address``, ``name``. Every pattern match is a proposal with a
-base score; a valid check digit raises it, words near by raise or lower it, and proposals above
+base score. Forms that carry a check (card numbers: Luhn; IBAN and the French number with its key: mod 97) are kept only if
+it is right; elsewhere a valid check digit raises the score. Words near by raise or lower it, and proposals above
 ``ACCEPT`` are kept. Of overlapping ones the better scored, then the longer, stays. Texts are read whole,
 one task handles any number of them; nothing about the corpus is gathered.
 """
@@ -39,18 +40,34 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(number: str) -> bool:
-    """ISO 7064 mod 97-10 over digits and letters (as in IBAN): remainder 1, or a two-digit key
-    97 − n mod 97 at the end."""
+    """ISO 7064 mod 97-10 over digits and letters: remainder 1, or a two-digit key 97 − n mod 97 at the end."""
     digits = "".join(str(int(c, 36)) for c in number if c.isalnum())
     if len(digits) < 4:
         return False
     body, key = int(digits[:-2]), int(digits[-2:])
-    return int(digits) % 97 in (0, 1) or key == 97 - body % 97
+    return int(digits) % 97 == 1 or key == 97 - body % 97
+
+
+def iban(number: str) -> bool:
+    """Country, check digits and account: mod 97 with the first four characters at the end."""
+    plain = re.sub(r"\s", "", number).upper()
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def card(number: str) -> bool:
+    plain = re.sub(r"\D", "", number)
+    return 13 <= len(plain) <= 19 and len(set(plain)) > 1 and luhn(plain)
+
+
+def french_key(number: str) -> bool:
+    """Fifteen digits end in their key; thirteen have none to check."""
+    plain = re.sub(r"\D", "", number)
+    return len(plain) != 15 or int(plain[13:]) == 97 - int(plain[:13]) % 97
 
 
 # --- patterns ------------------------------------------------------------------------------------------
 
-_TOKEN = r"[A-Za-zÀ-ÿ0-9_](?:[\w\-+]*\w)?"
+_TOKEN = r"[A-Za-zÀ-ÿ0-9_](?:[\w.\-+]*\w)?"
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ][\w.+%\-]*@[A-Za-z0-9](?:[\w\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[\w\-]*[A-Za-z0-9])?)+")
 _EMAIL_MARKED = re.compile(
     r"[A-Za-z0-9À-ÿ](?:[\w.+%\-]|\s?[\[({<]\s?(?:dot|punkt|point)\s?[\])}>]\s?)*\s?[\[({<]\s?(?:at|ät|arobase)\s?[\])}>]\s?"
@@ -59,7 +76,12 @@ _EMAIL_MARKED = re.compile(
 )
 _SPOKEN_JOIN = r"(?:dot|dash|hyphen|underscore|plus|punkt|point|tiret|minus|strich)"
 _EMAIL_SPOKEN = re.compile(rf"\b{_TOKEN}(?:\s+{_SPOKEN_JOIN}\s+{_TOKEN})*\s+(?:at|ät|arobase)\s+{_TOKEN}(?:\s+{_SPOKEN_JOIN}\s+{_TOKEN})*\s+(?:dot|punkt|point)\s+[A-Za-z]{{2,10}}\b", re.I)
-_HAS_SPOKEN = re.compile(r"\b(?:at|ät|arobase)\s+[\w\-]+\s+(?:dot|dash|hyphen|punkt|point|tiret)\b", re.I)
+# each quick test below is implied by its patterns
+_HAS_SPOKEN = re.compile(rf"\b(?:at|ät|arobase)\s+[\w.\-+]+\s+{_SPOKEN_JOIN}\b", re.I)
+_HAS_MARKED = re.compile(r"[\[({<]\s?(?:at|ät|arobase)\s?[\])}>]", re.I)
+_HAS_PHONE = re.compile(r"\+\d|00\d\d|\(\d{2,5}\)|0\d{2,4}[\s.\-]\d{3}|\d{3}[.\-]\d{3}[.\-]\d{4}")
+_HAS_ID = re.compile(r"\d[\d\s\-]{4,}\d")
+_APART = str.maketrans(dict.fromkeys("-,.;:!?()[]\"»«„“”", " "))
 
 _PHONES = [
     (re.compile(r"(?<![\w+])\+\d{1,3}(?:[\s.\-]?(?:\(\d{1,4}\)|\d{1,4})){2,5}(?:\d{1,4})?(?!\w)"), 0.75),
@@ -76,7 +98,6 @@ _DIGIT_WORDS = (
 ).split()
 _DIGIT = "(?:" + "|".join(sorted({v for w in _DIGIT_WORDS for v in (w, unicodedata.normalize("NFD", w))}, key=len, reverse=True)) + "|six)"
 _DIGIT_SET = {v for w in (*_DIGIT_WORDS, "six") for v in (w, unicodedata.normalize("NFD", w))}
-_DIGIT_GROUPS = re.compile(r"\d(?:\d{5}|\d{2}[\s.\-]\d{3}|\d\s\d{2}\s\d{2}|\d{3}[\s.\-]\d{4}|\d[.\-]\d{2}[.\-]\d{2}[.\-]\d{2})")
 _ANY_DIGIT = re.compile(r"\d")
 _PHONE_SPOKEN = re.compile(rf"\b{_DIGIT}(?:[\s,\-]+{_DIGIT}){{6,14}}\b", re.I)
 
@@ -87,11 +108,17 @@ _IDS = [
     (re.compile(r"(?<![\w.,/\-])\d{4}-\d{4}-\d{2}(?![\w/]|-\d)"), 0.5),
     (re.compile(r"(?<![\w\-])[A-Z]{3}\d{2}[A-Z]\d{6}(?!\w)"), 0.6),
     (re.compile(r"(?<![\w\-])[A-Z]{1,2}\d{7,9}(?!\w)"), 0.55),
-    (re.compile(r"(?<![\w.,])[12]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}(?:\s\d{2})?(?!\w)"), 0.55),
-    (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){3,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)"), 0.3),
+    (re.compile(r"(?<![\w.,/\-])\d{3}-\d{2}-\d{4}(?![\w/]|-\d)"), 0.4),
+]
+# forms with a check that decides
+_CHECKED = [
+    (re.compile(r"(?<![\w.,])[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}(?:\s?\d{2})?(?!\w)"), french_key, 0.55),
+    (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)"), iban, 0.85),
+    (re.compile(r"(?<![\w.,/+\-])\d{4}([\s\-]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/]|[.,\-]\d)"), card, 0.75),
+    (re.compile(r"(?<![\w.,/+\-])3\d{3}([\s\-]?)\d{6}\1\d{5}(?![\w/]|[.,\-]\d)"), card, 0.75),
 ]
 _ID_NEAR = re.compile(
-    r"insurance|identity|identification|passport|claimant|social security|national number|licen[cs]e number"
+    r"insurance|identity|identification|\bIBAN\b|account|passport|claimant|social security|national number|licen[cs]e number"
     r"|versicher|ausweis|pass(?:nummer)?\b|personal(?:nummer|ausweis)|identit|sécurité sociale|passeport|assur|demandeur|antragsteller",
     re.I,
 )
@@ -112,29 +139,49 @@ _ADDRESSES = [
     (re.compile(rf"(?<!\w)(?:Straße|Platz|Weg|Allee|Ufer)\s+(?:der|des|am|zum)\s+{_CAP}\s+(?:Nr\.?\s*)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?!\w)"), 0.7),
     (re.compile(rf"(?<!\w)(?:Im|Am|Zum|Zur|(?:An|Auf|Hinter|In|Unter|Bei|Vor|Über|Neben)\s+(?:der|dem|den))\s+{_CAP}(?:\s+{_CAP})?\s+(?:Nr\.?\s*)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?!\w|[,./]\d|\s?%)"), 0.55),
 ]
-_DE_NUMBERED = re.compile(r"(?:[a-zß]|str\.)\s+(?:Nr\.?\s*)?\d{1,4}(?:\s?[a-z](?!\w))?(?!\w|[,./]\d|\s?%)")
+_DE_NUMBERED = re.compile(r"(?:[^\W\d_]|[.'’])\s+(?:Nr\.?\s*)?\d{1,4}(?!\d)")
 _EN_NUMBERED = re.compile(rf"\d(?:\s?[A-Za-z])?,?\s+{_UP}")
 _FR_NUMBERED = re.compile(rf"\d(?:\s?(?:bis|ter|quater|[A-Z]))?,?\s+(?i:{_FR_STREET})\s")
-_ADDRESS_NEAR = re.compile(r"lives? (?:at|in)|visited|delivery|cellar of|address|wohnt|keller im haus|haus\s*$|anschrift|zustell|habite|cave du|livraison|adresse|domicili|besucht|Sendung|Paket|refus", re.I)
+_ADDRESS_NEAR = re.compile(r"lives? (?:at|in)|visited|delivery|cellar|address|wohnt|keller|haus\s*$|anschrift|zustell|habite|cave|livraison|adresse|domicili|besucht|Sendung|Paket|refus", re.I)
 _NOT_STREET = re.compile(r"(?:Jahre?|Titel|Kapitel|Artikel|Absatz|Abschnitt|Saal|Raum|Drucksache|Haushaltsjahr|Sitzung|Punkt|Paragraf|Paragraph|Seite|Anlage|Nummer|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Fall|Betrag|Umfang)\s+(?:Nr\.?\s*)?\d")
 
 # words that tell of a private person, before and after the name
 _PERSON_BEFORE = re.compile(
-    r"(?:constituent|resident|witness|widow(?:er)? of|evidence from|letter from|patient|neighbour|daughter of|son of|mother of|father of|\bDr\.?"
-    r"|bürger(?:in)?|anwohner(?:in)?|sprach|stammt von|witwe(?:r)? (?:von)?|zeug(?:e|in)|brief von|nachbar(?:in)?"
-    r"|habitante?|citoyen(?:ne)?|avons entendu|veuf|veuve de|lettre de|témoin|voisine?|docteur)\W*$",
+    r"(?:constituent|resident|witness|widow(?:er)? of|evidence from|letter from|patient|neighbour|(?:daughter|son|mother|father|wife|husband) of|\bDr\.?|spoke (?:to|with)"
+    r"|bürger(?:in)?|anwohner(?:in)?|sprach(?: mit)?|stammt von|witwe(?:r)? (?:von)?|zeug(?:e|in)|brief von|nachbar(?:in)?|(?:tochter|sohn|mutter|vater) von"
+    r"|habitante?|citoyen(?:ne)?|entendu|veuf|veuve de|lettre de|témoin|voisine?|docteur|(?:fille|fils|mère|père) de)\W*$",
     re.I,
 )
 _COLLEAGUE = re.compile(r"(?:colleague|kolleg(?:e|in|en)|coll[eè]gue)\s+$", re.I)
-_PERSON_AFTER = re.compile(r"^\W*(?:wrote to me|is still waiting|about the|treated|sworn|as a witness|hat mir|als zeug|und liegt|m['’]a écrit|comme témoin|a écrit|attend|hat .{1,30} behandelt|a soigné|told me|died|has waited)", re.I)
+_PERSON_AFTER = re.compile(r"^\W*(?:wrote to|treated|sworn|as a witness|hat mir|als zeug|m['’]a écrit|comme témoin|a écrit|hat .{1,30} behandelt|a soigné|told me|told us|died|lives? (?:at|in)|wohnt)", re.I)
 _PARTICLES = "van|von|de|du|der|den|la|le|zu|zum|af|di|da|del|ter|ten"
 _PARTICLE = rf"(?:(?:(?:{_PARTICLES})\s+){{1,2}}|(?:(?:{_PARTICLES.upper()})\s+){{1,2}}(?={_UP}{{2}}))"
 _WORD = rf"(?:{_UP}{_IN}+(?:-\s*\n\s*[a-zß-ÿ]{_IN}*)?)"
 _SURNAME = rf"(?:{_PARTICLE})?(?:{_UP}['’])?{_WORD}(?:-{_WORD})*"
 _LISTED_BEFORE = re.compile(rf"(?<![\w\-'’])(?P<s>{_SURNAME}),\s+$")
-# words after which a name of any kind is proposed
-_CUES = (r"constituent,", r"[Ww]itness:", r"widow of", r"evidence from", r"Bürgerin,", r"Bürger,", r"habitante?,", r"avons entendu", r"stammt von", r"Ausschuss sprach", r"\bDr\.?(?=(?:\s+[^\s:(\[]+){2,4}\s+treated)")
-_CUE_WORDS = ("constituent", "itness:", "widow", "evidence", "Bürger", "habitant", "entendu", "stammt", "sprach", "treated")
+# fixed values: words for private people, and words that no name begins or ends with
+_ROLES = (
+    r"constituents?|residents?|witness|widow(?:er)?|neighbou?r|patient|tenant|pensioner|nurse|victim|daughter|son|mother|father|brother|sister|wife|husband"
+    r"|bürger(?:in)?|anwohner(?:in)?|zeug(?:e|in)|witwer?|nachbar(?:in)?|patient(?:in)?|mieter(?:in)?|rentner(?:in)?|tochter|sohn|mutter|vater|bruder|schwester"
+    r"|habitante?|citoyen(?:ne)?|témoin|veuve|veuf|voisine?|patiente|locataire|retraitée?|fille|fils|mère|père|frère|sœur"
+)
+_ACTS = r"evidence from|letter from|heard from|spoke (?:to|with)|wrote to|stammt von|brief von|sprach(?: mit)?|schrieb an|lettre de|entendu|écrit à"
+_LINK = r"(?P<link>(?:\s+(?:of|from|von|de|named|namens|nommée?))?[,:]|\s+(?:of|von|de|named|namens|nommée?))"
+_OWN = re.compile(r"\b(?:my|our|his|her|their|the|an?|one|mein\w*|unser\w*|sein\w*|ihr\w*|ein\w*|mon|ma|notre|son|sa|leur|une?|la|le)\s+$", re.I)
+_CUE = rf"(?:(?P<role>(?i:{_ROLES})){_LINK}?\s+|(?i:{_ACTS})\s+|[Dd]r\.?\s+(?=(?:[^\s:(\[]+\s+){{2,4}}(?:treated|behandelt|a soigné)))"
+# words by which a cue begins; a text without any has none
+_CUE_WORDS = frozenset(
+    "constituent constituents resident residents witness widow widower neighbor neighbour patient tenant pensioner nurse victim daughter son mother father brother sister wife husband "
+    "bürger bürgerin anwohner anwohnerin zeuge zeugin witwe witwer nachbar nachbarin patientin mieter mieterin rentner rentnerin tochter sohn mutter vater bruder schwester "
+    "habitant habitante citoyen citoyenne témoin veuve veuf voisin voisine patiente locataire retraité retraitée fille fils mère père frère sœur "
+    "evidence letter heard spoke wrote stammt brief sprach schrieb lettre entendu écrit dr".split()
+)
+_NO_NAMES = frozenset(
+    "the this that these those and but for not when while if in on at as he she it we they you i mr mrs ms miss dr prof sir lord lady prime minister president speaker chair "
+    "chairman secretary committee commission council house government state chamber parliament member members colleague honourable right "
+    "der die das den dem des ein eine und aber wenn herr herrn frau kollege kollegin kollegen minister ministerin ministerium präsident präsidentin regierung kommission ausschuss abgeordnete "
+    "abgeordneter staatssekretär bundestag haus land bund le la les un une et mais si monsieur madame mme ministre président présidente commission assemblée chambre collègue député députée gouvernement".split()
+)
 
 
 def fold(s: str) -> str:
@@ -173,9 +220,9 @@ class Finder:
         self.ahead = re.compile(rf"(?P<g>{first}){initials}\s+(?P<s>{_SURNAME})")
         self.listed = re.compile(rf"(?P<g>{first}){initials}(?![\w\-'’])")
         free = rf"{_WORD}(?:-{_WORD})*"
-        self.cued = re.compile(rf"(?:{'|'.join(_CUES)})\s+(?:(?P<s2>{_SURNAME}),\s+(?P<g2>{free}){initials}(?=\s*[,;]?\s+[a-zà-ÿ])|(?P<g>{free}){initials}\s+(?P<s>{_SURNAME}))")
+        self.cued = re.compile(rf"{_CUE}(?:(?P<s2>{_SURNAME}),\s+(?P<g2>{free}){initials}(?=\s*[,;]?\s+[a-zà-ÿ])|(?P<g>{free}){initials}\s+(?P<s>{_SURNAME}))")
 
-    def _named(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+    def _named(self, text: str, cues: set[str]) -> Iterator[tuple[int, int, str, str]]:
         """start, end, given and family name of every proposal."""
         for m in self.given.finditer(text):
             if text[m.start() - 1 : m.start()] == "-":
@@ -188,9 +235,12 @@ class Finder:
                 g = self.listed.match(text, m.start())
                 if g:
                     yield back.start("s"), g.end(), g["g"], back["s"]
-        if any(c in text for c in _CUE_WORDS):
-            for m in self.cued.finditer(text):
-                side = "" if m["g"] else "2"
+        for at in {m.start() for w in cues for m in re.finditer(rf"\b{w}\b", text, re.I)}:
+            m = self.cued.match(text, at)
+            if not m or (m["role"] and not m["link"] and not _OWN.search(text, max(0, at - 14), at)):
+                continue
+            side = "" if m["g"] else "2"
+            if m["g" + side].casefold() not in _NO_NAMES and m["s" + side].split()[-1].casefold() not in _NO_NAMES:
                 yield m.start("g" if m["g"] else "s2"), m.end(), m["g" + side], m["s" + side]
 
     def spans(self, text: str | None) -> list[Span]:
@@ -201,18 +251,20 @@ class Finder:
         if "@" in text:
             found += [Span(m.start(), m.end(), "email", 0.95) for m in _EMAIL.finditer(text)]
         low = text.lower()
-        if any(x in low for x in ("at)", "at]", "at}", "at>", "at )", "at ]", "ät)", "ät]", "arobase)", "arobase]")):
+        if _HAS_MARKED.search(text):
             found += [Span(m.start(), m.end(), "email", 0.95) for m in _EMAIL_MARKED.finditer(text)]
         if any(x in low for x in ("dot", "punkt", "point")) and _HAS_SPOKEN.search(text):
             found += [Span(m.start(), m.end(), "email", 0.9) for m in _EMAIL_SPOKEN.finditer(text)]
         if digits:
-            if _DIGIT_GROUPS.search(text):
+            if _HAS_ID.search(text):
                 found += self._ids(text)
+            if _HAS_PHONE.search(text):
                 found += self._phones(text)
             found += self._addresses(text)
-        if sum(map(_DIGIT_SET.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 7:
+        words = low.translate(_APART).split()
+        if sum(map(_DIGIT_SET.__contains__, words)) >= 7:
             found += [Span(m.start(), m.end(), "phone", 0.8) for m in _PHONE_SPOKEN.finditer(text)]
-        found += self._names(text)
+        found += self._names(text, _CUE_WORDS.intersection(words))
         kept: list[Span] = []
         for s in sorted((s for s in found if s.score >= ACCEPT), key=lambda s: (-round(s.score, 2), s.start - s.end, s.start)):
             if all(s.end <= k.start or s.start >= k.end for k in kept):
@@ -229,6 +281,14 @@ class Finder:
                 if _NOT_PERSONAL.search(before):
                     score -= 0.5
                 yield Span(m.start(), m.end(), "id_number", min(score, 0.93))
+        for pattern, valid, base in _CHECKED:
+            for m in pattern.finditer(text):
+                end = m.end()
+                while not valid(text[m.start() : end]) and " " in text[m.start() : end] and valid is iban:
+                    end = text.rindex(" ", m.start(), end)  # a word in capitals may follow
+                if valid(text[m.start() : end]):
+                    near = _ID_NEAR.search(text[max(0, m.start() - 45) : m.start()]) or _ID_NEAR.search(text[end : end + 20])
+                    yield Span(m.start(), end, "id_number", min(base + 0.35 * bool(near), 0.96))
 
     def _phones(self, text: str) -> Iterator[Span]:
         for pattern, base in _PHONES:
@@ -260,8 +320,8 @@ class Finder:
                     score += 0.2
                 yield Span(start, end, "address", score)
 
-    def _names(self, text: str) -> Iterator[Span]:
-        for start, end, given, family in self._named(text):
+    def _names(self, text: str, cues: set[str]) -> Iterator[Span]:
+        for start, end, given, family in self._named(text, cues):
             full = fold(f"{given} {family}")
             if full in self.known:
                 continue

@@ -175,6 +175,20 @@ CASES = [
     ("evening. Dr Oda VAN TORVALD treated forty patients. The widow of Orla-Falk DE MARISTELLE is still waiting", {("name", "Oda VAN TORVALD"), ("name", "Orla-Falk DE MARISTELLE")}),
     ("Kollege Orla Werft hat dies am 18.1.2018 erwähnt. My colleague Falk Misprinted raised it.", set()),
     ("", set()),
+    # held out: written in other words than the corpus'
+    ("Claimant account DE00 3704 0044 0532 0130 00 was closed.", set()),
+    ("Please pay to IBAN DE89 3704 0044 0532 0130 00 today.", {("id_number", "DE89 3704 0044 0532 0130 00")}),
+    ("They charged card 4111 1111 1111 1111 and not 4111 1111 1111 1112 that day.", {("id_number", "4111 1111 1111 1111")}),
+    ("gave a social security number 123-45-6789 to the clerk", {("id_number", "123-45-6789")}),
+    ("son numéro de sécurité sociale 2 55 08 14 168 025 38 figure au dossier", {("id_number", "2 55 08 14 168 025 38")}),
+    ("write to mail john.doe at example dot com for details", {("email", "john.doe at example dot com")}),
+    ("my neighbour John Smith came to the surgery", {("name", "John Smith")}),
+    ("Unsere Nachbarin, Erika Mustermann, hat uns geschrieben.", {("name", "Erika Mustermann")}),
+    ("the committee has heard from Harriet Vane on this", {("name", "Harriet Vane")}),
+    ("A letter from Prime Minister Jones was read; the widow of President Foo spoke.", set()),
+    ("call +41.44.123.45.67 or +49 (0)30 12345-67", {("phone", "+41.44.123.45.67"), ("phone", "+49 (0)30 12345-67")}),
+    ("Die Familie wohnt in der Hauptstraße 12/14 seit Jahren.", {("address", "Hauptstraße 12/14")}),
+    ("adresse: paul.martin ( arobase ) poste.example merci", {("email", "paul.martin ( arobase ) poste.example")}),
 ]
 
 
