@@ -1,11 +1,11 @@
 """Irregular series onto a regular grid: Kalman smoother with a continuous-time local trend.
 
 State: level and slope; between two times the slope does a Wiener walk of intensity q, readings carry noise
-of variance r. Both are estimated per block from second differences. Forward filter and backward smoother
-run over readings and grid times together; grid times are unobserved, so the smoothed level there is the
-filled value and its variance the uncertainty. Every block is smoothed with the ``CONTEXT`` nearest readings
-before and after it, whichever blocks hold them; further readings change the result by less than rounding
-of the reported values because the gain forgets within a few readings.
+of variance r. Both are estimated once per source, from second differences counted by fine bins over all its blocks.
+Forward filter and backward smoother run over readings and grid times together; grid times are unobserved, so the smoothed
+level there is the filled value and its variance the uncertainty. Every block is smoothed with up to ``CONTEXT`` readings
+before and after it: the filter forgets by a third or more with every reading of the series at hand, so what
+lies beyond changes values by less than 1e-9.
 """
 
 from __future__ import annotations
@@ -17,29 +17,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.spikes import _columns
+from pointloom.operators.spikes import _BIN_SHIFT, _bins, _columns
 from pointloom.operators.timeblocks import block_context, pack_blocks
-from pointloom.session import materialize
+from pointloom.session import materialize, release
 
-CONTEXT = 16
+CONTEXT, REACH = 64, 8
 SCHEMA = "sensor string, session_id string, slot bigint, t double, value double, sd double, n bigint, missing boolean"
 
 
-def noise_scales(t: np.ndarray, v: np.ndarray) -> tuple[float, float]:
-    """(r, q): reading variance from the residuals of each reading against the line through its neighbours,
-    slope intensity from the change of slope over pairs four readings apart."""
-    if len(t) < 6:
-        return 1e-4, 1.0
+def _residuals(t: np.ndarray, v: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of readings from the line through their neighbours, and squared changes of slope over pairs four readings
+    apart per second; those that end in the first ``before`` readings are left out, as another block has them."""
+    if len(t) < 3:
+        return np.zeros(0), np.zeros(0)
     h = np.maximum(np.diff(t), 1e-6)
     a = h[1:] / (h[:-1] + h[1:])
-    e = v[1:-1] - a * v[:-2] - (1 - a) * v[2:]
-    r = max(float(np.median(np.abs(e)) * 1.4826) ** 2 / 1.5, 1e-10)
-    s = (v[4:] - v[:-4]) / np.maximum(t[4:] - t[:-4], 1e-6)
-    if len(s) < 5:
-        return r, 1.0
-    gap = np.maximum(t[4:-4] - t[:-8], 1e-6) if len(t) > 8 else np.array([1.0])
-    change = (s[4:] - s[:-4]) ** 2 / gap if len(s) > 4 else np.array([1.0])
-    return r, max(float(np.median(change)) * 2.2, 1e-6)
+    e = np.abs(v[1:-1] - a * v[:-2] - (1 - a) * v[2:])[max(before - 2, 0) :]
+    if len(t) < 9:
+        return e, np.zeros(0)
+    slope = (v[4:] - v[:-4]) / np.maximum(t[4:] - t[:-4], 1e-6)
+    return e, ((slope[4:] - slope[:-4]) ** 2 / np.maximum(t[4:-4] - t[:-8], 1e-6))[max(before - 8, 0) :]
+
+
+def _residual_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for row in range(batch.num_rows):
+            before, own = (_columns(batch.column(c), row) for c in ("prev", "rs"))
+            t, v = np.concatenate([before[0], own[0]]), np.concatenate([before[2], own[2]])
+            for kind, x in enumerate(_residuals((t - t[0]) / 1e6, v, len(before[0]))):
+                key, n = np.unique(_bins(np.ascontiguousarray(x, np.float64)), return_counts=True)
+                rows += [(batch.column("sensor")[row].as_py(), batch.column("session_id")[row].as_py(), kind, k, m) for k, m in zip(key.tolist(), n.tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["sensor", "session_id", "kind", "key", "n"])
+
+
+def noise_scales(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, r_bin, q_bin: the bins (``spikes._bins``) that hold the medians over all blocks of a source, null where there is
+    too little to tell. Counts are combined before they are shuffled."""
+    hist = joined.select(*keys, "prev", "rs").mapInArrow(_residual_bins, "sensor string, session_id string, kind int, key bigint, n bigint").groupBy(*keys, "kind", "key").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "kind")
+    at = hist.withColumn("upto", F.sum("n").over(w.orderBy("key"))).withColumn("total", F.sum("n").over(w)).where(F.col("upto") * 2 >= F.col("total"))
+    enough = lambda kind, least: F.min(F.when((F.col("kind") == kind) & (F.col("total") >= least), F.col("key")))
+    return at.groupBy(*keys).agg(enough(0, 4).alias("r_bin"), enough(1, 1).alias("q_bin"))
+
+
+def _scales(r_bin: int | None, q_bin: int | None) -> tuple[float, float]:
+    """(r, q) from the middles of the median bins."""
+    middle = lambda k: float(((np.array([k], np.int64) << _BIN_SHIFT) + (1 << (_BIN_SHIFT - 1))).view(np.float64)[0])
+    r = 1e-4 if r_bin is None else max((middle(r_bin) * 1.4826) ** 2 / 1.5, 1e-10)
+    return r, 1.0 if q_bin is None else max(middle(q_bin) * 2.2, 1e-6)
 
 
 def smooth(ts: list[np.ndarray], ys: list[np.ndarray], rs: list[float], qs: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -124,7 +151,7 @@ def _job(part: pa.RecordBatch, row: int):
     t = np.r_[t_read, t_grid][order]
     y = np.r_[v, np.full(len(slots), np.nan)][order]
     counts = np.bincount(own[0] // slot_us - slots[0], minlength=len(slots))[: len(slots)] if len(own[0]) else np.zeros(len(slots), np.int64)
-    return (part.column("sensor")[row].as_py(), part.column("session_id")[row].as_py(), slots, grid_us / 1e6, counts, t, y, order >= len(v), *noise_scales(t_read, v))
+    return (part.column("sensor")[row].as_py(), part.column("session_id")[row].as_py(), slots, grid_us / 1e6, counts, t, y, order >= len(v), *_scales(part.column("r_bin")[row].as_py(), part.column("q_bin")[row].as_py()))
 
 
 def _emit(jobs: list) -> Iterator[pa.RecordBatch]:
@@ -165,7 +192,10 @@ def regular_series(readings: DataFrame, slots: dict[str, int], slots_per_block:
         one = pack_blocks(scaled.where(F.col("sensor") == sensor), keys, us * slots_per_block)
         packed = one if packed is None else packed.unionByName(one)
     blocks = materialize(packed, "grid-blocks")
-    context = block_context(blocks, keys, CONTEXT)
+    joined = materialize(blocks.join(block_context(blocks, keys, CONTEXT, REACH), [*keys, "block"]), "grid-context")
+    release(blocks)
+    blocks = joined
+    scales = noise_scales(joined, keys)
     # blocks without any reading lie between two stored ones: the later one carries the gap before it
     w = Window.partitionBy(*keys).orderBy("block")
     spans = blocks.select(*keys, "block", F.col("rs")[0]["t"].alias("t0"), F.element_at("rs", -1)["t"].alias("t1")).select(
@@ -189,11 +219,11 @@ def regular_series(readings: DataFrame, slots: dict[str, int], slots_per_block:
     pieces = placed.select(
         *keys, "block", "slot_us", F.explode(F.concat(gap, F.array(F.struct(start.alias("from_slot"), F.col("to_slot"), F.lit(False).alias("empty"))))).alias("p")
     ).select(*keys, "block", "slot_us", "p.*")
-    joined = blocks.join(context, [*keys, "block"]).join(pieces, [*keys, "block"])
+    ready = joined.join(pieces, [*keys, "block"]).join(scales, keys, "left")
     head = F.expr(f"slice(rs, 1, {CONTEXT})")
     nothing = F.expr("slice(rs, 1, 0)")
-    return joined.select(
-        *keys, "slot_us", "from_slot", "to_slot", "prev",
+    return ready.select(
+        *keys, "slot_us", "from_slot", "to_slot", "r_bin", "q_bin", "prev",
         F.when(F.col("empty"), nothing).otherwise(F.col("rs")).alias("rs"),
         F.when(F.col("empty"), head).otherwise(F.col("next")).alias("next"),
     ).mapInArrow(_regular, SCHEMA)

@@ -2,14 +2,16 @@
 
 Per series the usable readings (time not null, value finite, equal rows once) are taken in order of time;
 of equal times the smaller id comes first. The filter works in units of the series' median absolute
-successive difference (its normal behaviour): readings whose standardised innovation passes a threshold
-are flagged and withheld from the update; after ``RESTART`` flagged readings in a row it starts again from
-the last one. Vanishing innovation variance (``STUCK`` readings without any innovation) marks stuck sensors.
+successive difference (its normal behaviour): readings outside the source's limits, and those whose standardised innovation
+passes a threshold, are flagged and withheld from the update; after ``RESTART`` flagged readings in a row it starts again from
+the last one. Where the innovations' variance vanishes (``STILL`` in a row next to nothing) the sensor may be stuck.
 
-Why no confirmed spike is missed: the first reading of a spike group differs by more than 12 units from
+Why nothing confirmed is missed. Spikes: the first reading of a spike group differs by more than 12 units from
 its predecessor. The gain is above 0.9 and the threshold, even after the longest allowed withholding, is
 below 6 units, so one of the two is always flagged; every reading within ``REACH`` of a flagged one is then
-judged by the exact rule.
+judged by the exact rule. Runs of eight equal readings: either the filter takes the first one in, and each innovation after
+it is less than a tenth of the one before, or it withholds three and starts again from the fourth; the last three
+innovations are below 0.01 units in both cases.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pointloom.session import materialize
 
 STUCK, GROUP, FACTOR = 8, 3, 12.0
 THRESHOLD, GAIN_NOISE, RESTART, REACH = 2.5, 0.05, 4, 4
+STILL, NOTHING = 3, 0.01
 CONTEXT = 12
 _BIN_SHIFT = 45  # IEEE bits below the bin: 128 bins an octave
 
@@ -135,38 +138,44 @@ def median_abs_difference(blocks: DataFrame, context: DataFrame) -> DataFrame:
     )
 
 
-def kalman_flags(v: np.ndarray, unit: float) -> np.ndarray:
-    """Flags of a random-walk filter over ``v``; process variance 1 and measurement variance ``GAIN_NOISE``
-    in squared ``unit``. Flagged readings are withheld; ``RESTART`` in a row start the filter anew."""
-    flags = np.zeros(len(v), bool)
-    if not len(v) or not unit > 0:
-        return flags
-    scaled, limit = (v / unit).tolist(), THRESHOLD * THRESHOLD
-    x, p, held = scaled[0], GAIN_NOISE, 0
-    for i, y in enumerate(scaled):
-        p += 1.0
-        s, e = p + GAIN_NOISE, y - x
-        if e * e > limit * s:
+def kalman_flags(v: np.ndarray, unit: float, lo: float = -np.inf, hi: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(flags, still) of a random-walk filter over ``v``; process variance 1 and measurement variance ``GAIN_NOISE``
+    in squared ``unit``. Flagged readings are withheld; ``RESTART`` in a row start the filter anew. ``still``: readings at
+    which the last ``STILL`` innovations have a variance of next to nothing. A series without a unit takes 1."""
+    flags, still = np.zeros(len(v), bool), np.zeros(len(v), bool)
+    if not len(v):
+        return flags, still
+    out = ((v < lo) | (v > hi)).tolist()
+    scaled, limit, least = (v / (unit if unit > 0 else 1.0)).tolist(), THRESHOLD * THRESHOLD, NOTHING * NOTHING
+    x, p, held, calm = scaled[0], GAIN_NOISE, 0, 0
+    flags[0] = out[0]
+    for i in range(1, len(scaled)):
+        p = min(p + 1.0, RESTART + GAIN_NOISE)
+        s, e = p + GAIN_NOISE, scaled[i] - x
+        calm = calm + 1 if e * e < least else 0
+        if calm >= STILL:
+            still[i] = True
+        if out[i] or e * e > limit * s:
             flags[i] = True
             held += 1
             if held < RESTART:
                 continue
-            x, p = y, GAIN_NOISE
+            x, p = scaled[i], GAIN_NOISE
         else:
             g = p / s
             x += g * e
             p *= 1 - g
         held = 0
-    return flags
+    return flags, still
 
 
-def stuck_runs(v: np.ndarray) -> np.ndarray:
-    """Readings in runs of ``STUCK`` or more equal ones: the innovations' variance vanishes there."""
+def stuck_runs(v: np.ndarray, still: np.ndarray) -> np.ndarray:
+    """Readings in runs of ``STUCK`` or more equal ones, of which the filter found at least one still."""
     if not len(v):
         return np.zeros(0, bool)
     start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
     length = np.diff(np.r_[start, len(v)])
-    return np.repeat(length >= STUCK, length)
+    return np.repeat((length >= STUCK) & np.logical_or.reduceat(still, start), length)
 
 
 def confirmed_spikes(v: np.ndarray, near: np.ndarray, unit: float) -> np.ndarray:
@@ -194,13 +203,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, own, after = (_columns(batch.column(c), row) for c in ("prev", "rs", "next"))
             v = np.concatenate([before[2], own[2], after[2]])
             lo, hi, unit = (batch.column(c)[row].as_py() for c in ("lo", "hi", "mad"))
-            flags = kalman_flags(v, unit or 0.0)
+            flags, still = kalman_flags(v, unit or 0.0, -np.inf if lo is None else lo, np.inf if hi is None else hi)
             near = np.convolve(flags, kernel, "same")[: len(v)] > 0 if len(v) > len(kernel) else np.full(len(v), flags.any())
-            bad = stuck_runs(v) | confirmed_spikes(v, near, unit or 0.0)
+            bad = stuck_runs(v, still) | confirmed_spikes(v, near, unit or 0.0)
             if lo is not None:
-                bad |= v < lo
+                bad |= flags & (v < lo)
             if hi is not None:
-                bad |= v > hi
+                bad |= flags & (v > hi)
             hit = own[1][bad[len(before[2]) : len(before[2]) + len(own[2])]]
             ids.append(hit)
             channels += [batch.column("channel")[row].as_py()] * len(hit)

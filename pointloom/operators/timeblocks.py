@@ -30,10 +30,12 @@ def pack_blocks(readings: DataFrame, keys: list[str], block_us: int) -> DataFram
     )
 
 
-def block_context(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
+def block_context(blocks: DataFrame, keys: list[str], size: int, reach: int | None = None) -> DataFrame:
     """For each block: ``prev``, the last ``size`` readings before it, and ``next``, the first ``size``
     after it, in whichever blocks they lie. Every stored block has a reading, so ``size`` blocks each way
-    are enough. Works on edges only; the blocks' own readings don't move."""
+    are enough; with ``reach`` only so many blocks each way are looked at. Works on edges only; the blocks' own readings don't
+    move."""
+    reach = reach or size
     w = Window.partitionBy(*keys).orderBy("block")
     edges = blocks.select(
         *keys,
@@ -41,8 +43,8 @@ def block_context(blocks: DataFrame, keys: list[str], size: int) -> DataFrame:
         F.expr(f"slice(rs, greatest(size(rs) - {size} + 1, 1), {size})").alias("tail"),
         F.slice("rs", 1, size).alias("head"),
     )
-    before = F.flatten(F.collect_list("tail").over(w.rowsBetween(-size, -1)))
-    after = F.flatten(F.collect_list("head").over(w.rowsBetween(1, size)))
+    before = F.flatten(F.collect_list("tail").over(w.rowsBetween(-reach, -1)))
+    after = F.flatten(F.collect_list("head").over(w.rowsBetween(1, reach)))
     return edges.select(*keys, "block", before.alias("b"), after.alias("a")).select(
         *keys,
         "block",

@@ -39,9 +39,9 @@ def test_flags_reach_every_spike(values):
     v = np.array(values)
     d = np.abs(np.diff(v))
     unit = float(np.median(d)) if len(d) else 0.0
-    flags = spikes.kalman_flags(v, unit)
+    flags, still = spikes.kalman_flags(v, unit)
     near = np.array([flags[max(0, i - spikes.REACH) : i + spikes.REACH + 1].any() for i in range(len(v))])
-    found = spikes.confirmed_spikes(v, near, unit) | spikes.stuck_runs(v)
+    found = spikes.confirmed_spikes(v, near, unit) | spikes.stuck_runs(v, still)
     assert set(np.flatnonzero(found)) == brute_spikes(v)
 
 
@@ -144,3 +144,21 @@ def test_windows_do_not_depend_on_blocks(spark):
     assert [m for _, m in run(7)] == pytest.approx(np.convolve(v, np.ones(4) / 4, "same").tolist())
     total = lambda b: sorted((r["id"], r["s"]) for r in series.running_sum(df, ["k"], "v", "s", block=b).collect())
     assert total(9) == total(1000)
+
+
+def test_regular_series_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    t = np.cumsum(rng.uniform(0.06, 0.14, 3000))
+    t[1500:] += 40.0  # a gap
+    v = np.sin(t / 2) + 0.02 * rng.standard_normal(len(t))
+    rows = [("lidar", "a", int(x * 1e6), i, float(y)) for i, (x, y) in enumerate(zip(t, v, strict=True))]
+    df = spark.createDataFrame(rows, "sensor string, session_id string, t bigint, id bigint, v double")
+    found = []
+    for n in (10, 1000):
+        got = regrid.regular_series(df, {"lidar": 500_000}, slots_per_block=n)
+        found.append({r["slot"]: (r["value"], r["sd"], r["n"]) for r in got.collect()})
+    assert found[0].keys() == found[1].keys()
+    worst = max(abs(a - b) for k in found[0] for a, b in zip(found[0][k], found[1][k], strict=True))
+    assert worst < 1e-6
+    near = [abs(found[0][k][0] - math.sin((k + 0.5) * 0.25)) for k in found[0] if found[0][k][2] > 2]
+    assert np.mean(near) < 0.02
