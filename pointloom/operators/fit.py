@@ -274,47 +274,48 @@ def convex_hulls(df: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
     return salted.groupBy(*keys, "_p").applyInPandas(corner_rows, schema).groupBy(*keys).applyInPandas(corner_rows, schema)
 
 
+def _low_before_higher(h: np.ndarray) -> np.ndarray:
+    """For each place the lowest value from the last higher one (or the start) up to it."""
+    out, stack = h.copy(), []  # stack: places of falling height, each with the lowest value since the one before
+    for i, x in enumerate(h.tolist()):
+        low = x
+        while stack and stack[-1][0] <= x:
+            low = min(low, stack.pop()[1])
+        out[i] = low
+        stack.append((x, low))
+    return out
+
+
 def peaks(v: np.ndarray, distance: int, prominence: float) -> np.ndarray:
-    """Positions of maxima (middle of plateaus) at least ``distance`` apart, the higher first, with at least
-    ``prominence`` over the higher of the two lowest points between them and higher ground."""
-    n = len(v)
-    out, i = [], 1
-    while i < n - 1:
-        if v[i - 1] < v[i]:
-            j = i
-            while j < n - 1 and v[j + 1] == v[i]:
-                j += 1
-            if j < n - 1 and v[j + 1] < v[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    at = np.array(out, int)
-    keep = np.ones(len(at), bool)
-    for k in np.argsort(-v[at], kind="stable"):
+    """Positions of maxima (middle of plateaus) at least ``distance`` apart, the higher first (of equal ones the earlier), with
+    at least ``prominence`` over the higher of the two lowest points between them and higher ground."""
+    if len(v) < 3:
+        return np.zeros(0, int)
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    h, middle = v[first], (first + np.r_[first[1:], len(v)] - 1) // 2
+    top = np.flatnonzero((h[1:-1] > h[:-2]) & (h[1:-1] > h[2:])) + 1
+    at, keep = middle[top], np.ones(len(top), bool)
+    for k in np.argsort(-h[top], kind="stable").tolist():
         if keep[k]:
-            near = (np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k)
-            keep[near] = False
-    good = []
-    for p in at[keep]:
-        lo = p
-        while lo > 0 and v[lo - 1] <= v[p]:
-            lo -= 1
-        hi = p
-        while hi < n - 1 and v[hi + 1] <= v[p]:
-            hi += 1
-        if v[p] - max(v[lo : p + 1].min(), v[p : hi + 1].min()) >= prominence:
-            good.append(p)
-    return np.array(good, int)
-
-
-def series_peaks(indexed: DataFrame, keys: list[str], id: str, distance: int, prominence: float, block: int = 20_000) -> DataFrame:
-    """keys, id of peaks of an indexed series (``idx``, ``v``), found in blocks with a halo of a quarter block;
-    prominence is measured inside block and halo."""
+            lo, hi = np.searchsorted(at, [at[k] - distance + 1, at[k] + distance])
+            keep[lo:k] = keep[k + 1 : hi] = False
+    base = np.maximum(_low_before_higher(h), _low_before_higher(h[::-1])[::-1])[top]
+    return at[keep & (h[top] - base >= prominence)]
+
+
+def series_peaks(indexed: DataFrame, keys: list[str], id: str, distance: int | str, prominence: float | str, block: int = 20_000, both: bool = False) -> DataFrame:
+    """keys, id, kind (1 maximum; -1 minimum, only with ``both``) of peaks of an indexed series (``idx``, ``v``). ``distance``
+    and ``prominence`` may name columns that hold one value per series. Series are worked on in blocks with half a block
+    on either side: what decides a peak is looked for so far."""
     from pointloom.operators.series import with_halo
 
+    column = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        return pdf.iloc[peaks(pdf["v"].to_numpy(float), distance, prominence)].loc[lambda p: p["own"], [*keys, id]]
+        v, far, high = pdf["v"].to_numpy(float), int(pdf["_far"].iloc[0]), float(pdf["_high"].iloc[0])
+        parts = [pdf.iloc[peaks(s * v, far, high)].assign(kind=np.int32(s)) for s in ((1, -1) if both else (1,))]
+        return pd.concat(parts).loc[lambda p: p["own"], [*keys, id, "kind"]]
 
-    rows = with_halo(indexed.select(*keys, id, "idx", "v"), "idx", block, block // 4, block // 4)
-    return rows.groupBy(*keys, "blk").applyInPandas(find, _ddl(indexed, keys) + f"{id} {indexed.schema[id].dataType.simpleString()}")
+    rows = with_halo(indexed.select(*keys, id, "idx", "v", column(distance).alias("_far"), column(prominence).alias("_high")), "idx", block, block // 2, block // 2)
+    return rows.groupBy(*keys, "blk").applyInPandas(find, _ddl(indexed, keys) + f"{id} {indexed.schema[id].dataType.simpleString()}, kind int")

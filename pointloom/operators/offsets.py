@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.series import peak_of_correlation
+from pointloom.operators.fit import series_peaks
+from pointloom.operators.percentiles import exact_percentiles
+from pointloom.operators.series import peak_of_correlation, row_index, sample_period, samples, smoothed
+from pointloom.operators.spatial import mutual_nearest
 from pointloom.session import materialize
 
 ORDERS = ("velocity", "accel", "position")
@@ -205,3 +208,38 @@ def offset_by_correlation(a: DataFrame, b: DataFrame, keys: list[str], hz: int =
     one = peak_of_correlation(corr, [*keys, "method"]).withColumn("offset", -F.col("shift") / F.lit(float(hz)))
     three = one.groupBy(*keys).agg(F.median("offset").alias("median"), (F.max("offset") - F.min("offset")).alias("spread"))
     return one.join(three, keys)
+
+
+def turning_points(readings: DataFrame, keys: list[str], smooth_s: float = 0.3, apart_s: float = 0.5, share: float = 0.2) -> DataFrame:
+    """keys, id, t, kind (1 maximum, -1 minimum) of smoothed series (keys, t in µs, id, v; each reading once).
+
+    Windows are seconds, turned into samples by each series' own median period; a turning point rises or falls by at least
+    ``share`` of the range from the 5th to the 95th percentile of the smoothed series. Series with fewer than 3 readings have none."""
+    indexed = row_index(readings, keys, "t", "id")
+    period = sample_period(indexed, keys).where("n >= 3")
+    sized = period.select(*keys, "n", samples(smooth_s, F.col("period")).alias("w"), samples(apart_s, F.col("period")).alias("far"))
+    smooth = materialize(smoothed(indexed.join(sized, keys), keys, "v", "w", "n"), "smooth")
+    spread = exact_percentiles(smooth, keys, "v", {"p05": 0.05, "p95": 0.95})
+    high = F.greatest(F.lit(share) * (F.col("p95") - F.col("p05")), F.lit(1e-9))
+    ready = smooth.join(spread.select(*keys, high.alias("high")), keys)
+    found = series_peaks(ready, keys, "id", "far", "high", both=True)
+    return found.join(smooth.select(*keys, "id", "t"), [*keys, "id"])
+
+
+def offsets_of_pairs(pairs: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """keys, n, offset, std: pairs (``diff``) farther than ``tolerance`` from their median are left out; median, population
+    deviation and number of the rest."""
+    mid = exact_percentiles(pairs, keys, "diff", {"mid": 0.5})
+    kept = pairs.join(mid, keys).where(F.abs(F.col("diff") - F.col("mid")) <= tolerance).select(*keys, "diff")
+    return exact_percentiles(kept, keys, "diff", {"offset": 0.5}).join(kept.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("diff").alias("std")), keys)
+
+
+def offset_by_reversals(points: DataFrame, keys: list[str], sensor: str, pairs: list[tuple[str, str]], reach: int, tolerance: int) -> DataFrame:
+    """keys, other, ref, n, offset, std (µs): how much later ``other`` is stamped than ``ref``, by turning points (``points``:
+    keys, sensor, id, t) that are each other's nearest."""
+    out = None
+    for ref, other in pairs:
+        met = mutual_nearest(points.where(F.col(sensor) == ref), points.where(F.col(sensor) == other), keys, "t", "id", reach)
+        one = offsets_of_pairs(met, keys, tolerance).select(*keys, F.lit(other).alias("other"), F.lit(ref).alias("ref"), "n", "offset", "std")
+        out = one if out is None else out.unionByName(one)
+    return out

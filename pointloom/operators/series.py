@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,42 @@ def moving_average(v: str, w: int):
     return lambda spec: F.sum(v).over(spec.rowsBetween(-(w // 2), (w - 1) // 2)) / F.lit(float(w))
 
 
+def sample_period(indexed: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """keys, period (exact median of successive differences of ``t``), n (samples) of an indexed series."""
+    from pointloom.operators.percentiles import exact_percentiles
+
+    dt = windowed(indexed, keys, {"_dt": lambda w: F.col(t) - F.lag(t).over(w)}, 1, 0)
+    sizes = indexed.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.join(exact_percentiles(dt.where("_dt IS NOT NULL"), keys, "_dt", {"period": 0.5}), keys, "left")
+
+
+def samples(seconds: float, period_us: Column, odd: bool = False) -> Column:
+    """Samples of a window of so many seconds, at least 1; with ``odd`` an even number grows by one."""
+    n = F.greatest(F.lit(1), F.rint(F.lit(seconds * 1e6) / F.greatest(period_us, F.lit(1.0)))).cast("bigint")
+    return F.when(n % 2 == 0, n + 1).otherwise(n) if odd else n
+
+
+def smoothed(indexed: DataFrame, keys: list[str], v: str, window: str, n: str, block: int = 20_000, digits: int = 9) -> DataFrame:
+    """``v`` replaced by its zero-padded moving average over ``window`` samples (a column, one value per series); a series of
+    fewer samples than its window stays as it is. ``n``: column with the series' length. Blocks take half a block of their neighbours
+    in, so windows go up to that."""
+    names = [f for f in indexed.columns if f != v]
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        w, size = int(pdf[window].iloc[0]), int(pdf[n].iloc[0])
+        x = pdf[v].to_numpy(float)
+        if 1 < w <= size:
+            run = np.r_[0.0, np.cumsum(x)]
+            at = np.arange(len(x))
+            lo, hi = np.maximum(at - w // 2, 0), np.minimum(at + (w - 1) // 2 + 1, len(x))
+            pdf = pdf.assign(**{v: np.round((run[hi] - run[lo]) / w, digits)})
+        return pdf.loc[pdf["own"], [*names, v]]
+
+    types = ", ".join(f"{c} {indexed.schema[c].dataType.simpleString()}" for c in [*names, v])
+    return with_halo(indexed, "idx", block, block // 2, block // 2).groupBy(*keys, "blk").applyInPandas(average, types)
+
+
 def local_extremum(v: str):
     """1 at a strict local maximum, -1 at a strict local minimum, else 0."""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import finite, solve3
+from pointloom.session import materialize
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -29,14 +32,68 @@ def voxel_first(df: DataFrame, keys: list[str], size: float, order: str, keep: l
     return vox.groupBy(*keys, "vx", "vy").agg(F.min("s").alias("s")).select(*keys, "vx", "vy", "s.*")
 
 
+def tiles_with_halo(df: DataFrame, side: float, halo: float) -> DataFrame:
+    """Adds tx, ty, tz and own: each point in its own tile and again in those it lies within ``halo`` of."""
+    for c in "xyz":
+        lo, hi = F.floor((F.col(c) - halo) / side), F.floor((F.col(c) + halo) / side)
+        df = df.withColumn(f"t{c}", F.explode(F.sequence(lo, hi)))
+    own = F.lit(True)
+    for c in "xyz":
+        own = own & (F.col(f"t{c}") == F.floor(F.col(c) / side))
+    return df.withColumn("own", own)
+
+
+CROWDED = 50_000
+
+
 def radius_counts(df: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
     """keys, id, neighbours: number of other points within ``radius``.
 
-    Points meet the 27 cells around theirs by an equi-join on the cell; the cell carries its points as an
-    array, so pairs are counted inside an expression and never become rows.
-    """
-    pts = df.select(*keys, id, *[F.col(c).cast("double").alias(c) for c in "xyz"], *[cell(c, radius).alias(f"c{c}") for c in "xyz"])
-    # at most 512 points an array: a crowded cell becomes several rows
+    Points are counted inside tiles of several radii with the points around them, about two copies of each; where a tile
+    holds more than ``CROWDED`` points, those meet the 27 cells around theirs by joins instead, so that no task gets a crowded
+    place whole."""
+    pts = df.select(*keys, id, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    side, tile = 8 * radius, ["tx", "ty", "tz"]
+    placed = tiles_with_halo(pts, side, radius * (1 + 1e-9))
+    crowded = materialize(placed.groupBy(*keys, *tile).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), "crowded")
+    types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + f"{id} {df.schema[id].dataType.simpleString()}, neighbours bigint"
+    thin = placed if crowded.isEmpty() else placed.join(crowded, [*keys, *tile], "left_anti")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, own = pdf[["x", "y", "z"]].to_numpy(float), pdf["own"].to_numpy(bool)
+        out = pdf.loc[own, [*keys, id]]
+        return out.assign(neighbours=near_counts(x, own, radius))
+
+    few = thin.groupBy(*keys, *tile).applyInPandas(count, types)
+    if crowded.isEmpty():
+        return few
+    return few.unionByName(_crowded_counts(placed.join(crowded, [*keys, *tile], "left_semi"), [*keys, *tile], id, radius).select(*keys, id, "neighbours"))
+
+
+def near_counts(x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    """Other points within ``radius`` of each point of ``own``: cells of the radius, rows of cells along z together."""
+    c = np.floor((x - x.min(axis=0)) / radius).astype(np.int64) + 1
+    n = c.max(axis=0) + 3
+    key = (c[:, 0] * n[1] + c[:, 1]) * n[2] + c[:, 2]
+    order = np.argsort(key, kind="stable")
+    at, me = key[order], np.flatnonzero(own)
+    total = np.zeros(len(me), np.int64)
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            k = key[me] + (dx * n[1] + dy) * n[2]
+            lo, hi = np.searchsorted(at, k - 1, "left"), np.searchsorted(at, k + 1, "right")
+            for a in range(0, len(me), 4096):
+                m = (hi - lo)[a : a + 4096]
+                row = np.repeat(np.arange(a, a + len(m)), m)
+                there = order[np.repeat(lo[a : a + 4096] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())]
+                d = x[there] - x[me[row]]
+                total += np.bincount(row[(d * d).sum(axis=1) <= radius * radius], minlength=len(me))
+    return total - 1
+
+
+def _crowded_counts(pts: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
+    """keys, id, neighbours of the points marked own, by joins of cells; a cell's points travel as arrays of at most 512."""
+    pts = pts.withColumns({f"c{c}": cell(c, radius) for c in "xyz"})
     part = F.pmod(F.xxhash64(id), F.lit(1 << 20))
     sizes = pts.groupBy(*keys, "cx", "cy", "cz").agg(F.ceil(F.count("*") / 512).alias("parts"))
     packed = (
@@ -47,7 +104,7 @@ def radius_counts(df: DataFrame, keys: list[str], id: str, radius: float) -> Dat
     for c in ("cx", "cy", "cz"):
         around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     near = lambda p: (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y")) + (p["z"] - F.col("z")) * (p["z"] - F.col("z")) <= radius * radius
-    hits = pts.join(around, [*keys, "cx", "cy", "cz"]).select(*keys, id, F.size(F.filter("them", near)).alias("k"))
+    hits = pts.where("own").join(around, [*keys, "cx", "cy", "cz"]).select(*keys, id, F.size(F.filter("them", near)).alias("k"))
     return hits.groupBy(*keys, id).agg((F.sum("k") - 1).alias("neighbours"))
 
 
@@ -82,13 +139,13 @@ def moments(df: DataFrame, keys: list[str], a: list[str], b: list[str]) -> DataF
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, keys: list[str], t: str, id: str, reach: int) -> DataFrame:
-    """keys, a_id, b_id, gap: pairs that are each other's nearest in time, at most ``reach`` apart; of equal
-    gaps the smaller id. Times meet in bins of the reach's width."""
+    """keys, a_id, b_id, gap, diff (time of b less that of a): pairs that are each other's nearest in time, at most ``reach``
+    apart; of equal gaps the smaller id. Times meet in bins of the reach's width."""
     at = lambda c: F.floor(c / F.lit(reach)).cast("bigint")
     left = a.select(*keys, F.col(id).alias("a_id"), F.col(t).alias("ta"), at(F.col(t)).alias("bin"))
     right = b.select(*keys, F.col(id).alias("b_id"), F.col(t).alias("tb")).withColumn("bin", F.explode(F.sequence(at(F.col("tb") - reach), at(F.col("tb") + reach))))
     pairs = left.join(right, [*keys, "bin"]).withColumn("gap", F.abs(F.col("ta") - F.col("tb"))).where(F.col("gap") <= reach)
-    of_a = pairs.groupBy(*keys, "a_id").agg(F.min(F.struct("gap", "b_id")).alias("m")).select(*keys, "a_id", "m.b_id", "m.gap")
+    of_a = pairs.groupBy(*keys, "a_id").agg(F.min(F.struct("gap", "b_id", (F.col("tb") - F.col("ta")).alias("diff"))).alias("m")).select(*keys, "a_id", "m.b_id", "m.gap", "m.diff")
     of_b = pairs.groupBy(*keys, "b_id").agg(F.min(F.struct("gap", "a_id")).alias("m")).select(*keys, "m.a_id", "b_id")
     return of_a.join(of_b, [*keys, "a_id", "b_id"])
 

@@ -15,9 +15,9 @@ from pointloom.operators import features as feat
 from pointloom.operators import fit
 from pointloom.operators import series as ser
 from pointloom.operators import spatial as spa
-from pointloom.operators.offsets import offset_by_correlation
+from pointloom.operators.offsets import offset_by_correlation, offset_by_reversals, offsets_of_pairs, turning_points
 from pointloom.operators.percentiles import exact_percentiles
-from pointloom.session import read_table
+from pointloom.session import materialize, read_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -577,22 +577,34 @@ def zscore(spark, d):
     return _r(v.join(s, "session_id").select("lidar_id", z.alias("z")), "z", k=5)
 
 
-@query("middle_half_scale", f"""WITH {LID}, {VAL}, e AS (SELECT session_id, min(t) t0, max(t) t1 FROM val GROUP BY 1), m AS (SELECT session_id, min(v) FILTER (t >= t0 + 0.25*(t1-t0) AND t <= t0 + 0.75*(t1-t0)) lo, max(v) FILTER (t >= t0 + 0.25*(t1-t0) AND t <= t0 + 0.75*(t1-t0)) hi FROM val JOIN e USING (session_id) GROUP BY 1)
+@query("middle_half_scale", f"""WITH {LID}, {VAL}, e AS (SELECT session_id, min(t) t0, max(t) t1 FROM val GROUP BY 1), q AS (SELECT session_id, count(*) FILTER (t >= t0 + 0.25*(t1-t0) AND t <= t0 + 0.75*(t1-t0)) k, min(v) FILTER (t >= t0 + 0.25*(t1-t0) AND t <= t0 + 0.75*(t1-t0)) l, max(v) FILTER (t >= t0 + 0.25*(t1-t0) AND t <= t0 + 0.75*(t1-t0)) h, min(v) a, max(v) b FROM val JOIN e USING (session_id) GROUP BY 1), m AS (SELECT session_id, CASE WHEN k >= 2 THEN l ELSE a END lo, CASE WHEN k >= 2 THEN h ELSE b END hi FROM q)
 SELECT lidar_id, round(CASE WHEN hi - lo > 1e-12 THEN (v-lo)/(hi-lo) ELSE 0 END, 5) AS s FROM val JOIN m USING (session_id)""")
 def middle_half_scale(spark, d):
-    """Scaled by the range over the middle half of the recording; a flat one gives 0."""
+    """Scaled by the range over the middle half of the recording (by all of it where fewer than two readings lie there); a flat one
+    gives 0."""
     v = lidar(spark, d).where(geo.finite("v"))
     e = v.groupBy("session_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     j = v.join(e, "session_id")
     inside = F.col("t").between(F.col("t0") + 0.25 * (F.col("t1") - F.col("t0")), F.col("t0") + 0.75 * (F.col("t1") - F.col("t0")))
-    m = j.groupBy("session_id").agg(F.min(F.when(inside, F.col("v"))).alias("lo"), F.max(F.when(inside, F.col("v"))).alias("hi"))
+    few = F.count_if(inside) < 2
+    m = j.groupBy("session_id").agg(F.when(few, F.min("v")).otherwise(F.min(F.when(inside, F.col("v")))).alias("lo"), F.when(few, F.max("v")).otherwise(F.max(F.when(inside, F.col("v")))).alias("hi"))
     span = F.col("hi") - F.col("lo")
     return _r(v.join(m, "session_id").select("lidar_id", F.when(span > 1e-12, (F.col("v") - F.col("lo")) / F.when(span > 1e-12, span)).otherwise(0.0).alias("s")), "s", k=5)
 
 
-@query("moving_average", f"WITH {LID}, {VAL} SELECT lidar_id, round(sum(v) OVER (PARTITION BY session_id ORDER BY t, lidar_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS ma FROM val")
+_SQL_PERIOD = """i AS (SELECT *, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n, t - lag(t) OVER o AS dt FROM val WINDOW o AS (PARTITION BY session_id ORDER BY t, lidar_id)),
+w AS (SELECT session_id, CAST(greatest(1, round_even(500000 / greatest(median(dt), 1), 0)) AS BIGINT) AS w FROM i GROUP BY 1)"""
+
+
+@query("moving_average", f"""WITH {LID}, {VAL}, {_SQL_PERIOD}
+SELECT a.lidar_id, round(CASE WHEN any_value(w.w) <= 1 OR any_value(a.n) < any_value(w.w) THEN any_value(a.v) ELSE sum(b.v) / any_value(w.w) END, 6) AS ma
+FROM i a JOIN w USING (session_id) JOIN i b ON a.session_id = b.session_id AND b.k BETWEEN a.k - w.w // 2 AND a.k + (w.w - 1) // 2 GROUP BY a.lidar_id""")
 def moving_average(spark, d):
-    return _r(ser.windowed(_valued(spark, d), ["session_id"], {"ma": ser.moving_average("v", 5)}, 2, 2).select("lidar_id", "ma"), "ma")
+    """Over half a second, in samples of each series' own rate; series shorter than their window stay as they are."""
+    v = _valued(spark, d)
+    sized = ser.sample_period(v, ["session_id"]).select("session_id", "n", F.coalesce(ser.samples(0.5, F.col("period")), F.lit(1)).alias("w"))
+    out = ser.smoothed(v.select("session_id", "lidar_id", "idx", "v").join(sized, "session_id"), ["session_id"], "v", "w", "n")
+    return _r(out.select("lidar_id", F.col("v").alias("ma")), "ma")
 
 
 @query("local_extrema", f"""WITH {LID}, {VAL}, w AS (SELECT lidar_id, v, lag(v) OVER o AS a, lead(v) OVER o AS b FROM val WINDOW o AS (PARTITION BY session_id ORDER BY t, lidar_id))
@@ -710,7 +722,7 @@ x AS (SELECT *, row_number() OVER (PARTITION BY session_id, a_id ORDER BY gap, b
 @query("mutual_reversals", _SQL_REV + " SELECT session_id, a_id, b_id, gap FROM x WHERE ra = 1 AND rb = 1")
 def mutual_reversals(spark, d):
     """Maxima of range and inertial signal that are each other's nearest within 0.2 s."""
-    return _mutual(spark, d)
+    return _mutual(spark, d).drop("diff")
 
 
 def _mutual(spark, d) -> DataFrame:
@@ -720,13 +732,64 @@ def _mutual(spark, d) -> DataFrame:
     return spa.mutual_nearest(a, b, ["session_id"], "t", "id", 200_000)
 
 
-@query("reversal_offsets", _SQL_REV + ", m AS (SELECT * FROM x WHERE ra = 1 AND rb = 1), q AS (SELECT session_id, median(gap) AS mid FROM m GROUP BY 1) SELECT session_id, count(*) AS n, round(max(mid), 4) AS median_us, round(stddev_pop(gap), 4) AS std_us, count(*) FILTER (abs(gap - mid) <= 20000) AS kept FROM m JOIN q USING (session_id) GROUP BY 1")
+@query("reversal_offsets", _SQL_REV + """, m AS (SELECT * FROM x WHERE ra = 1 AND rb = 1), q AS (SELECT session_id, median(diff) AS mid FROM m GROUP BY 1)
+SELECT session_id, count(*) AS n, round(median(diff), 4) AS "offset", round(stddev_pop(diff), 4) AS std FROM m JOIN q USING (session_id) WHERE abs(diff - mid) <= 20000 GROUP BY 1""")
 def reversal_offsets(spark, d):
-    """Median, spread and number of the paired gaps per session, and how many lie within 20 ms of the median."""
-    m = _mutual(spark, d)
-    mid = exact_percentiles(m, ["session_id"], "gap", {"mid": 0.5})
-    g = m.join(mid, "session_id").groupBy("session_id").agg(F.count("*").alias("n"), F.max("mid").alias("median_us"), F.stddev_pop("gap").alias("std_us"), F.count_if(F.abs(F.col("gap") - F.col("mid")) <= 20_000).alias("kept"))
-    return _r(g, "median_us", "std_us", k=4)
+    """Signed offset of paired maxima per session (inertial less range, µs): those within 20 ms of the median, counted anew."""
+    return _r(offsets_of_pairs(_mutual(spark, d), ["session_id"], 20_000), "offset", "std", k=4)
+
+
+_ALL_SIGNALS = """u AS (SELECT DISTINCT session_id, 'lidar' AS sensor, lidar_id AS id, CAST(round(lidar_t*1000000) AS BIGINT) AS t, lidar_v AS v FROM lidar_signals WHERE isfinite(lidar_t) AND isfinite(lidar_v)
+UNION ALL SELECT DISTINCT session_id, 'camera', cam_id, CAST(round(cam_t*1000000) AS BIGINT), cam_v FROM cam_signals WHERE isfinite(cam_t) AND isfinite(cam_v)
+UNION ALL SELECT DISTINCT session_id, 'imu', imu_id, CAST(round(imu_t*1000000) AS BIGINT), imu_v FROM imu_signals WHERE isfinite(imu_t) AND isfinite(imu_v))"""
+_KEYS = "session_id, sensor"
+_SQL_TURNS = f"""WITH RECURSIVE {_ALL_SIGNALS},
+i AS (SELECT *, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY {_KEYS}) AS n, t - lag(t) OVER o AS dt FROM u WINDOW o AS (PARTITION BY {_KEYS} ORDER BY t, id)),
+w AS (SELECT {_KEYS}, CAST(greatest(1, round_even(300000 / greatest(median(dt), 1), 0)) AS BIGINT) AS w, CAST(greatest(1, round_even(500000 / greatest(median(dt), 1), 0)) AS BIGINT) AS far FROM i WHERE n >= 3 GROUP BY ALL),
+f AS (SELECT {_KEYS}, a.k, any_value(a.id) AS id, any_value(a.t) AS t, any_value(w.far) AS far, CASE WHEN any_value(w.w) <= 1 OR any_value(a.n) < any_value(w.w) THEN any_value(a.v) ELSE round(sum(b.v) / any_value(w.w), 9) END AS v
+ FROM i a JOIN w USING ({_KEYS}) JOIN i b USING ({_KEYS}) WHERE b.k BETWEEN a.k - w.w // 2 AND a.k + (w.w - 1) // 2 GROUP BY {_KEYS}, a.k),
+h AS (SELECT {_KEYS}, greatest(0.2 * (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)), 1e-9) AS high FROM f GROUP BY ALL),
+s AS MATERIALIZED (SELECT {_KEYS}, kind, k, far, kind * v AS v FROM f, (SELECT unnest([1, -1]) AS kind)),
+r AS (SELECT *, CASE WHEN v = lag(v) OVER o THEN 0 ELSE 1 END AS fresh FROM s WINDOW o AS (PARTITION BY {_KEYS}, kind ORDER BY k)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY {_KEYS}, kind ORDER BY k) AS run FROM r),
+c AS (SELECT {_KEYS}, kind, run, any_value(v) AS v, any_value(far) AS far, (min(k) + max(k)) // 2 AS k FROM g GROUP BY ALL),
+e AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM c WINDOW o AS (PARTITION BY {_KEYS}, kind ORDER BY run)),
+p AS MATERIALIZED (SELECT {_KEYS}, kind, k, v, far, row_number() OVER (PARTITION BY {_KEYS}, kind ORDER BY v DESC, k) AS rk FROM e WHERE v > a AND v > b),
+z AS (SELECT DISTINCT {_KEYS}, kind, CAST(0 AS BIGINT) AS rk, CAST([] AS BIGINT[]) AS kept FROM p
+ UNION ALL SELECT p.session_id, p.sensor, p.kind, p.rk, CASE WHEN len(list_filter(z.kept, lambda x: abs(x - p.k) < p.far)) = 0 THEN list_append(z.kept, CAST(p.k AS BIGINT)) ELSE z.kept END
+ FROM z JOIN p ON p.session_id = z.session_id AND p.sensor = z.sensor AND p.kind = z.kind AND p.rk = z.rk + 1),
+l AS (SELECT {_KEYS}, kind, unnest(arg_max(kept, rk)) AS k FROM z GROUP BY {_KEYS}, kind),
+q AS (SELECT p.* FROM p JOIN l USING ({_KEYS}, kind, k)),
+y AS (SELECT q.session_id, q.sensor, q.kind, q.k, q.v, coalesce(max(s.k) FILTER (s.k < q.k AND s.v > q.v), -1) AS lo, coalesce(min(s.k) FILTER (s.k > q.k AND s.v > q.v), 9000000000) AS hi
+ FROM q JOIN s USING ({_KEYS}, kind) GROUP BY ALL),
+x AS (SELECT y.session_id, y.sensor, y.kind, y.k, y.v - greatest(min(s.v) FILTER (s.k > y.lo AND s.k <= y.k), min(s.v) FILTER (s.k >= y.k AND s.k < y.hi)) AS prom, any_value(y.v) AS v
+ FROM y JOIN s USING ({_KEYS}, kind) GROUP BY y.session_id, y.sensor, y.kind, y.k, y.v),
+turns AS (SELECT {_KEYS}, f.id, f.t, x.kind FROM x JOIN h USING ({_KEYS}) JOIN f USING ({_KEYS}, k) WHERE prom >= high)"""
+
+
+def _turns(spark, d) -> DataFrame:
+    parts = None
+    for table, p, name in (("lidar_signals", "lidar", "lidar"), ("cam_signals", "cam", "camera"), ("imu_signals", "imu", "imu")):
+        one = read_table(spark, d, table).where(geo.finite(f"{p}_t", f"{p}_v")).select("session_id", F.lit(name).alias("sensor"), F.col(f"{p}_id").alias("id"), _us(f"{p}_t").alias("t"), F.col(f"{p}_v").alias("v")).dropDuplicates(["id"])
+        parts = one if parts is None else parts.unionByName(one)
+    return turning_points(parts, ["session_id", "sensor"])
+
+
+@query("turning_points", _SQL_TURNS + " SELECT session_id, sensor, id, kind FROM turns")
+def signal_turning_points(spark, d):
+    """Maxima and minima of all three smoothed signals of each session."""
+    return _turns(spark, d).select("session_id", "sensor", "id", "kind")
+
+
+@query("reversal_sync", _SQL_TURNS + """, pr AS (SELECT * FROM (VALUES ('imu', 'lidar'), ('imu', 'camera'), ('lidar', 'camera')) v(ref, other)),
+j AS (SELECT a.session_id, ref, other, a.id AS a_id, b.id AS b_id, b.t - a.t AS diff FROM pr JOIN turns a ON a.sensor = ref JOIN turns b ON b.sensor = other AND a.session_id = b.session_id AND abs(a.t - b.t) <= 2000000),
+m AS (SELECT *, row_number() OVER (PARTITION BY session_id, ref, other, a_id ORDER BY abs(diff), b_id) ra, row_number() OVER (PARTITION BY session_id, ref, other, b_id ORDER BY abs(diff), a_id) rb FROM j),
+mm AS (SELECT *, median(diff) OVER (PARTITION BY session_id, ref, other) AS mid FROM m WHERE ra = 1 AND rb = 1)
+SELECT session_id, ref, other, count(*) AS n, round(median(diff), 4) AS "offset", round(stddev_pop(diff), 4) AS std FROM mm WHERE abs(diff - mid) <= 500000 GROUP BY ALL""")
+def reversal_sync(spark, d):
+    """Clock offsets of the three pairs of sensors by mutually nearest turning points, half a second about their median."""
+    turns = materialize(_turns(spark, d), "turns")
+    return _r(offset_by_reversals(turns, ["session_id"], "sensor", [("imu", "lidar"), ("imu", "camera"), ("lidar", "camera")], 2_000_000, 500_000), "offset", "std", k=4)
 
 
 @query("arrival_counters", "SELECT session_id, count(DISTINCT lidar_id) AS published, count(*) - count(DISTINCT lidar_id) AS repeated, count(DISTINCT lidar_id) FILTER (lidar_t IS NULL) AS unstamped FROM lidar_signals GROUP BY 1")
