@@ -140,3 +140,68 @@ def solve3(m: Sequence[Sequence[Column]], y: Sequence[Column], eps: float = 1e-1
         mk = [[y[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]
         out.append(det3(mk) / safe)
     return out
+
+
+def rpy(x, y, z, roll, pitch, yaw) -> list[list[Column]]:
+    """3×4 matrix of a pose: turned about x by roll, then y by pitch, then z by yaw (radians), then moved."""
+    (sr, cr), (sp, cp), (sy, cy) = [(F.sin(_c(a)), F.cos(_c(a))) for a in (roll, pitch, yaw)]
+    return [
+        [cy * cp, cy * sp * sr - sy * cr, cy * sp * cr + sy * sr, _c(x)],
+        [sy * cp, sy * sp * sr + cy * cr, sy * sp * cr - cy * sr, _c(y)],
+        [-sp, cp * sr, cp * cr, _c(z)],
+    ]
+
+
+def _cross(a: Sequence[Column], b: Sequence[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def plane_line(p: Sequence, q: Sequence) -> tuple[list[Column], list[Column]]:
+    """(point nearest the origin, unit direction) of the line in which two planes (a, b, c, d) meet; nulls where they are
+    parallel."""
+    m, n = [_c(v) for v in p[:3]], [_c(v) for v in q[:3]]
+    along = _cross(m, n)
+    size = norm(*along)
+    safe = F.when(size >= 1e-6, size)
+    mixed = [_c(q[3]) * a - _c(p[3]) * b for a, b in zip(m, n, strict=True)]
+    return [v / (safe * safe) for v in _cross(mixed, along)], [v / safe for v in along]
+
+
+def on_line(xyz: Sequence, at: Sequence, along: Sequence) -> tuple[list[Column], Column]:
+    """(foot of the perpendicular on a line with unit direction, distance to it)."""
+    x, at, along = [_c(v) for v in xyz], [_c(v) for v in at], [_c(v) for v in along]
+    t = sum((a - b) * c for a, b, c in zip(x, at, along, strict=True))
+    foot = [b + t * c for b, c in zip(at, along, strict=True)]
+    return foot, norm(*[a - b for a, b in zip(x, foot, strict=True)])
+
+
+def snapped(xyz: Sequence, lines: Column, near: float) -> Column:
+    """struct(x, y, z): the point moved onto each line (array of p, u: structs of x, y, z) in turn that is nearer than ``near``."""
+
+    def move(acc: Column, line: Column) -> Column:
+        foot, far = on_line([acc[c] for c in "xyz"], [line["p"][c] for c in "xyz"], [line["u"][c] for c in "xyz"])
+        hit = F.coalesce(far < near, F.lit(False))
+        return F.struct(*[F.when(hit, f).otherwise(acc[c]).alias(c) for f, c in zip(foot, "xyz", strict=True)])
+
+    return F.aggregate(lines, F.struct(*[_c(v).cast("double").alias(c) for v, c in zip(xyz, "xyz", strict=True)]), move)
+
+
+def colour_or(colours: Sequence, fallback: Sequence[float]) -> list[Column]:
+    """Stored r, g, b where all three are there, else the constant ones."""
+    have = _c(colours[0]).isNotNull() & _c(colours[1]).isNotNull() & _c(colours[2]).isNotNull()
+    return [F.when(have, _c(c)).otherwise(F.lit(float(f))) for c, f in zip(colours, fallback, strict=True)]
+
+
+def known_or(name, known: Sequence[str], default: str) -> tuple[Column, Column]:
+    """(name if it is one of ``known`` in any letter case, else ``default``; whether the default was taken)."""
+    clean = F.upper(F.trim(_c(name)))
+    ok = F.coalesce(clean.isin([k.upper() for k in known]), F.lit(False))
+    return F.when(ok, clean).otherwise(F.lit(default)), ~ok
+
+
+def channel(name, choices: dict[str, str]) -> Column:
+    """The column that ``name`` chooses; null for a null name, an error for one that is no channel."""
+    out = F.when(_c(name).isNull(), F.lit(None).cast("double"))
+    for k, v in choices.items():
+        out = out.when(_c(name) == k, F.col(v))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no channel "), _c(name))).cast("double"))

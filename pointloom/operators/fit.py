@@ -206,18 +206,19 @@ def rigid_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(*agg).mapInPandas(solve, _ddl(pairs, keys) + "n bigint, r array<double>, t array<double>, rms double")
 
 
-def closest_points(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """For each point of ``a`` (id, x, y, z) the nearest of ``b`` within ``reach``: id, ax…az, bx…bz, d2. Points
+def closest_points(a: DataFrame, b: DataFrame, reach: float, keys: list[str] | None = None) -> DataFrame:
+    """For each point of ``a`` (keys, id, x, y, z) the nearest of ``b`` with equal keys within ``reach``: id, ax…az, bx…bz, d2. Points
     meet in grid cells as wide as the reach; of equal distances the smaller id of b."""
+    keys = keys or []
     c = lambda v: F.floor(F.col(v) / F.lit(float(reach))).cast("bigint")
-    left = a.select("id", *[F.col(v).alias(f"a{v}") for v in "xyz"], *[c(v).alias(f"c{v}") for v in "xyz"])
-    right = b.select(F.col("id").alias("bid"), *[F.col(v).alias(f"b{v}") for v in "xyz"], *[c(v).alias(f"c{v}") for v in "xyz"])
+    left = a.select(*keys, "id", *[F.col(v).alias(f"a{v}") for v in "xyz"], *[c(v).alias(f"c{v}") for v in "xyz"])
+    right = b.select(*keys, F.col("id").alias("bid"), *[F.col(v).alias(f"b{v}") for v in "xyz"], *[c(v).alias(f"c{v}") for v in "xyz"])
     for v in ("cx", "cy", "cz"):
         right = right.withColumn(v, F.explode(F.array(F.col(v) - 1, F.col(v), F.col(v) + 1)))
     d2 = sum((F.col(f"a{v}") - F.col(f"b{v}")) * (F.col(f"a{v}") - F.col(f"b{v}")) for v in "xyz")
-    near = left.join(right, ["cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
-    best = near.groupBy("id", "ax", "ay", "az").agg(F.min(F.struct("d2", "bid", "bx", "by", "bz")).alias("m"))
-    return best.select("id", "ax", "ay", "az", "m.bx", "m.by", "m.bz", "m.d2")
+    near = left.join(right, [*keys, "cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    best = near.groupBy(*keys, "id", "ax", "ay", "az").agg(F.min(F.struct("d2", "bid", "bx", "by", "bz")).alias("m"))
+    return best.select(*keys, "id", "ax", "ay", "az", "m.bx", "m.by", "m.bz", "m.d2")
 
 
 def icp(a: DataFrame, b: DataFrame, reaches: tuple[float, ...] = (1.0, 0.5, 0.25), rounds: int = 10, tol: float = 1e-6) -> tuple[np.ndarray, float, float]:

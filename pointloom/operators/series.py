@@ -134,3 +134,29 @@ def peak_of_correlation(corr: DataFrame, keys: list[str]) -> DataFrame:
     denom = F.col("c0") - 2 * F.abs("r") + F.col("c2")
     shift = F.when(F.abs(denom) > 1e-12, 0.5 * (F.col("c0") - F.col("c2")) / F.when(F.abs(denom) > 1e-12, denom)).otherwise(0.0)
     return j.select(*keys, "lag", "r", (F.col("lag") + F.coalesce(shift, F.lit(0.0))).alias("shift"))
+
+
+def integral(indexed: DataFrame, keys: list[str], v: str, out: str, t: str = "t", times: int = 1) -> DataFrame:
+    """Trapezoid integral over ``t`` (µs) from the start of each series, once or repeatedly."""
+    for n in range(times):
+        x, last = (v if n == 0 else f"_i{n - 1}"), (out if n == times - 1 else f"_i{n}")
+        step = lambda w, x=x: F.coalesce((F.col(x) + F.lag(x).over(w)) / 2 * (F.col(t) - F.lag(t).over(w)) / 1e6, F.lit(0.0))
+        indexed = running_sum(windowed(indexed, keys, {"_a": step}, 1, 0), keys, "_a", last).drop("_a")
+    return indexed
+
+
+def savgol(v: str, window: int, derivative: int):
+    """Derivative (1 or 2, per sample) of the parabola fitted to an odd window; null where the window leaves the series."""
+    h = window // 2
+    s0, s2, s4 = (float(sum(j**k for j in range(-h, h + 1))) for k in (0, 2, 4))
+    weight = lambda j: j / s2 if derivative == 1 else 2 * (s0 * j * j - s2) / (s0 * s4 - s2 * s2)
+    return lambda spec: sum(F.lit(weight(j)) * F.lead(v, j).over(spec) for j in range(-h, h + 1))
+
+
+def on_common_clock(readings: DataFrame, keys: list[str], sensor: str, t: str, moved: str, anchor: str) -> DataFrame:
+    """``readings`` with ``t`` of sensor ``moved`` shifted so that its first stamp meets that of ``anchor`` (not at all where one of
+    them has none), and ``rel``: time from the earliest stamp of all sensors."""
+    first = readings.groupBy(*keys).agg(*[F.min(F.when(F.col(sensor) == s, F.col(t))).alias(n) for s, n in ((moved, "_m"), (anchor, "_a"))])
+    shift = F.when(F.col(sensor) == moved, F.coalesce(F.col("_m") - F.col("_a"), F.lit(0))).otherwise(F.lit(0))
+    out = readings.join(first, keys).withColumn(t, F.col(t) - shift).drop("_m", "_a")
+    return out.join(out.groupBy(*keys).agg(F.min(t).alias("_z")), keys).withColumn("rel", F.col(t) - F.col("_z")).drop("_z")

@@ -167,3 +167,36 @@ def triangles(grid: DataFrame, keys: list[str], most: float) -> DataFrame:
         F.struct(F.lit(1).alias("half"), F.greatest(edge("p", "s"), edge("s", "r"), edge("p", "r")).alias("longest")),
     )
     return q.select(*keys, "i", "j", F.explode(halves).alias("h")).where(F.col("h.longest") < most).select(*keys, "i", "j", "h.half", "h.longest")
+
+
+def padded(df: DataFrame, keys: list[str], order: str, size: int, values: list[str]) -> DataFrame:
+    """keys, slot (0 … size - 1), values: the first ``size`` rows of every group, missing ones filled with zeros."""
+    first = first_n(df, keys, order, size)
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = first.withColumn("slot", (F.row_number().over(w) - 1).cast("bigint")).select(*keys, "slot", *values)
+    grid = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("slot"))
+    return grid.join(rows, [*keys, "slot"], "left").select(*keys, "slot", *[F.coalesce(F.col(v), F.lit(0).cast(df.schema[v].dataType)).alias(v) for v in values])
+
+
+def plausible_circles(df: DataFrame, keys: list[str], radius: float, least: int, share: float = 0.3) -> DataFrame:
+    """keys, n, cx, cy, r, err (mean radial error): circles of groups with at least ``least`` points whose radius is within
+    ``share`` of ``radius`` and whose error is at most a sixth of it."""
+    fits = circle_fit(df, keys).where((F.col("n") >= least) & (F.abs(F.col("r") - radius) <= share * radius))
+    off = F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r"))
+    error = df.select(*keys, "x", "y").join(fits.select(*keys, "cx", "cy", "r"), keys).groupBy(*keys).agg(F.avg(off).alias("err"))
+    return fits.join(error, keys).where(F.col("err") <= radius / 6)
+
+
+def register_grid_function(spark, name: str = "grid_cells") -> None:
+    """Makes ``grid_cells(x0, x1, y0, y1, step, margin)`` a table function: the cells of a grid over an extent, upper ends excluded."""
+    import math
+
+    class Cells:
+        def eval(self, x0: float, x1: float, y0: float, y1: float, step: float, margin: float):
+            if None in (x0, x1, y0, y1):
+                return
+            for i in range(math.floor((x0 - margin) / step), math.ceil((x1 + margin) / step)):
+                for j in range(math.floor((y0 - margin) / step), math.ceil((y1 + margin) / step)):
+                    yield i, j
+
+    spark.udtf.register(name, F.udtf(Cells, returnType="i bigint, j bigint"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pointloom.functions import geometry as geo
 from pointloom.operators.calibration import correspond_targets, pose_residuals
 from pointloom.operators.features import boundary_points, global_align, neighbour_pairs, thinned
-from pointloom.operators.fit import icp, peel_planes, ransac_planes, rigid_fit
+from pointloom.operators.fit import convex_hulls, icp, peel_planes, ransac_planes, rigid_fit
 from pointloom.operators.graph import connected_components
-from pointloom.operators.spatial import circle_fit, voxel_first, voxel_mean
+from pointloom.operators.spatial import circle_fit, plane_fit, voxel_first, voxel_mean
 from pointloom.session import materialize
 
 
@@ -49,12 +49,90 @@ def colorize(points: DataFrame, pixels: DataFrame, image: str, extrinsic, camera
     return p.join(pixels, [image, "u", "v"], "left").drop("_x", "_y", "_z", "_u", "_v")
 
 
-def merge_clouds(points: DataFrame, transforms: DataFrame, cloud: str, keys: list[str], voxel: float) -> DataFrame:
-    """Clouds moved by their 3×4 transforms (cloud, m array<double> of 12) and averaged by voxel."""
+def merge_clouds(points: DataFrame, transforms: DataFrame, cloud: str, keys: list[str], voxel: float, colours: tuple[str, ...] = ()) -> DataFrame:
+    """Clouds moved by their 3×4 transforms (cloud, m array<double> of 12) and averaged by voxel, ``colours`` with them (points
+    without a colour don't count for it)."""
     m = F.col("m")
     rows = [[m[4 * r + c] for c in range(4)] for r in range(3)]
-    moved = points.join(transforms, cloud).select(*keys, *[e.alias(n) for e, n in zip(geo.rigid(rows), "xyz", strict=True)])
-    return voxel_mean(moved, keys, voxel, ["x", "y", "z"])
+    moved = points.join(transforms, cloud).select(*keys, *[e.alias(n) for e, n in zip(geo.rigid(rows), "xyz", strict=True)], *colours)
+    return voxel_mean(moved, keys, voxel, ["x", "y", "z", *colours])
+
+
+def compare_maps(a: DataFrame, b: DataFrame, m, colour_a=(0.2, 0.4, 1.0), colour_b=(0.1, 0.9, 0.3), stored: bool = False) -> DataFrame:
+    """Both maps in the frame of ``a``: map, x, y, z, r, g, b; ``m`` (3×4) moves ``b``. Each has one colour, or with ``stored``
+    its own r, g, b where it has them."""
+    out = None
+    for name, df, colour in (("a", a, colour_a), ("b", b, colour_b)):
+        xyz = geo.rigid(m) if name == "b" else [F.col(c) for c in "xyz"]
+        rgb = geo.colour_or("rgb", colour) if stored and {"r", "g", "b"} <= set(df.columns) else [F.lit(float(c)) for c in colour]
+        one = df.select(F.lit(name).alias("map"), *[e.alias(c) for e, c in zip([*xyz, *rgb], "xyzrgb", strict=True)])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def relabel(df: DataFrame, column: str, renames: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """(``df`` with labels renamed, old names that no row has)."""
+    known = {r[0] for r in df.where(F.col(column).isin(list(renames))).select(column).distinct().collect()}  # at most as many as renames
+    new = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv]) if renames else None
+    out = df.withColumn(column, F.coalesce(F.try_element_at(new, F.col(column)), F.col(column))) if renames else df
+    return out, sorted(set(renames) - known)
+
+
+def distance_filter(points: DataFrame, plane: tuple[float, float, float, float], lo: float = 0.0, hi: float = 3.0) -> DataFrame:
+    """Points whose signed distance to the plane lies from ``lo`` to ``hi``."""
+    return points.where(geo.plane_distance(*plane).between(lo, hi))
+
+
+def hull_meshes(points: DataFrame, planes: DataFrame, keys: list[str], thresh: float) -> tuple[DataFrame, DataFrame]:
+    """(vertices: keys, plane, id, x, y, z; triangles: keys, plane, k, a, b, c): the outline of each plane's inliers, as a fan
+    about their centroid (vertex 0). ``planes``: keys, plane, a, b, c, d."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    steep = F.abs(c) >= 0.9
+    across = [F.when(steep, 0.0).otherwise(b), F.when(steep, c).otherwise(-a), F.when(steep, -b).otherwise(0.0)]
+    size = geo.norm(*across)
+    based = planes.withColumns({f"u{k}": e / size for k, e in zip("xyz", across, strict=True)})
+    ux, uy, uz = F.col("ux"), F.col("uy"), F.col("uz")
+    based = based.withColumns({"vx": b * uz - c * uy, "vy": c * ux - a * uz, "vz": a * uy - b * ux})
+    near = points.select(*keys, *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"]).join(based, keys)
+    near = near.where(F.abs(geo.plane_distance("a", "b", "c", "d", ("px", "py", "pz"))) < thresh)
+    along = lambda s: sum(F.col(f"{s}{k}") * F.col(f"p{k}") for k in "xyz")
+    flat = near.select(*keys, "plane", along("u").alias("x"), along("v").alias("y"))
+    middle = flat.groupBy(*keys, "plane").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).where("n >= 4")
+    rim = materialize(convex_hulls(flat.join(middle.select(*keys, "plane"), [*keys, "plane"], "left_semi"), [*keys, "plane"]), "hulls")
+    corners = middle.select(*keys, "plane", F.lit(0).alias("id"), "x", "y").unionByName(rim.select(*keys, "plane", (F.col("k") + 1).alias("id"), "x", "y"))
+    lifted = [(F.col("x") * F.col(f"u{k}") + F.col("y") * F.col(f"v{k}") - F.col("d") * F.col(n)).alias(k) for n, k in zip("abc", "xyz", strict=True)]
+    vertices = corners.join(based, [*keys, "plane"]).select(*keys, "plane", "id", *lifted)
+    sizes = rim.groupBy(*keys, "plane").agg(F.count("*").alias("m"))
+    triangles = rim.join(sizes, [*keys, "plane"]).where("m >= 3").select(*keys, "plane", "k", F.lit(0).alias("a"), (F.col("k") + 1).alias("b"), (F.pmod(F.col("k") + 1, F.col("m")) + 1).alias("c"))
+    return vertices, triangles
+
+
+def surface_tiles(points: DataFrame, planes: DataFrame, keys: list[str], thresh: float, step: float = 0.05, half: float = 0.1, least: int = 4) -> DataFrame:
+    """keys, plane, i, j, n, mx (how far off the points lie on average), u, v, h, x, y, z and, where points have r, g, b, their weighted colours: a vertex every ``step`` along
+    each plane's own axes, lifted by the plane fitted to all points within ``half`` of it (a point counts for every vertex it is
+    that near to), or by their mean where the fit fails. ``planes``: keys, plane, a, b, c, d (unit normal)."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    steep = F.abs(c) >= 0.9
+    across = [F.when(steep, 0.0).otherwise(b), F.when(steep, c).otherwise(-a), F.when(steep, -b).otherwise(0.0)]
+    size = geo.norm(*across)
+    based = planes.select(*keys, "plane", "a", "b", "c", "d", *[(e / size).alias(f"u{k}") for k, e in zip("xyz", across, strict=True)])
+    ux, uy, uz = F.col("ux"), F.col("uy"), F.col("uz")
+    based = based.withColumns({"vx": b * uz - c * uy, "vy": c * ux - a * uz, "vz": a * uy - b * ux})
+    rgb = [k for k in "rgb" if k in points.columns]
+    near = points.select(*keys, *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"], *rgb).join(based, keys)
+    near = near.withColumn("h", geo.plane_distance("a", "b", "c", "d", ("px", "py", "pz"))).where(F.abs("h") < thresh)
+    along = lambda s: sum(F.col(f"{s}{k}") * F.col(f"p{k}") for k in "xyz")
+    flat = near.select(*keys, "plane", along("u").alias("pu"), along("v").alias("pv"), F.col("h").alias("z"), *rgb)
+    for p, n in (("pu", "i"), ("pv", "j")):
+        flat = flat.withColumn(n, F.explode(F.sequence(F.ceil((F.col(p) - half) / step), F.floor((F.col(p) + half) / step))))
+    at = flat.select(*keys, "plane", "i", "j", (F.col("pu") - F.col("i") * step).alias("x"), (F.col("pv") - F.col("j") * step).alias("y"), "z", *rgb)
+    tile = [*keys, "plane", "i", "j"]
+    w = 1 / (F.col("x") * F.col("x") + F.col("y") * F.col("y") + 1e-9)
+    extra = at.groupBy(*tile).agg(F.avg("z").alias("mean"), F.avg("x").alias("mx"), *[F.least(F.greatest(F.sum(w * F.col(k)) / F.sum(w), F.lit(0.0)), F.lit(1.0)).alias(k) for k in rgb])
+    fits = plane_fit(at, tile, 1e-9).where(F.col("n") >= least).join(extra, tile).withColumn("h", F.coalesce(F.round("c", 9), F.round("mean", 9))).drop("a", "b", "c", "mean")
+    u, v, h = F.col("i") * step, F.col("j") * step, F.col("h")
+    lifted = [(u * F.col(f"u{k}") + v * F.col(f"v{k}") + (h - F.col("d")) * F.col(n)).alias(k) for n, k in zip("abc", "xyz", strict=True)]
+    return fits.join(based, [*keys, "plane"]).select(*tile, "n", "mx", u.alias("u"), v.alias("v"), "h", *lifted, *rgb)
 
 
 def _moved(points: DataFrame, m: np.ndarray) -> DataFrame:

@@ -810,7 +810,7 @@ def axis_channel(spark, d):
     """The camera feature the session names as its axis."""
     axis = read_table(spark, d, "sessions").select("session_id", "cam_axis").where("cam_axis IS NOT NULL").distinct()
     c = read_table(spark, d, "cam_signals").select("cam_id", "session_id", "cam_u", "cam_v_px", "cam_scale", "cam_width").dropDuplicates(["cam_id"]).join(axis, "session_id")
-    v = F.when(F.col("cam_axis") == "u", F.col("cam_u")).when(F.col("cam_axis") == "v", F.col("cam_v_px")).when(F.col("cam_axis") == "scale", F.col("cam_scale")).when(F.col("cam_axis") == "width", F.col("cam_width"))
+    v = geo.channel("cam_axis", {"u": "cam_u", "v": "cam_v_px", "scale": "cam_scale", "width": "cam_width"})
     return c.select("cam_id", v.alias("value")).where(geo.finite("value"))
 
 

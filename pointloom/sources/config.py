@@ -49,3 +49,28 @@ def first_existing(paths: list[str]) -> str:
         if os.path.exists(p):
             return p
     raise FileNotFoundError(", ".join(paths))
+
+
+def read_settings(path: str) -> dict:
+    """A YAML file as a mapping; an empty file gives an empty one."""
+    import yaml
+
+    with open(path) as f:
+        return yaml.safe_load(f) or {}
+
+
+def write_calibration(path: str, rotation: list[float], translation: list[float], rms: float, per_pose: dict[str, float] | None = None) -> None:
+    """The 4×4 transform with its parts, Euler angles (degrees), error and, if given, the errors of single poses."""
+    import math
+
+    import yaml
+
+    r = [list(map(float, rotation[3 * k : 3 * k + 3])) for k in range(3)]
+    t = list(map(float, translation))
+    lock = math.hypot(r[0][0], r[1][0]) < 1e-6
+    angles = [math.atan2(-r[1][2], r[1][1]) if lock else math.atan2(r[2][1], r[2][2]), math.atan2(-r[2][0], math.hypot(r[0][0], r[1][0])), 0.0 if lock else math.atan2(r[1][0], r[0][0])]
+    out = {"transform": [[*row, x] for row, x in zip(r, t, strict=True)] + [[0.0, 0.0, 0.0, 1.0]], "translation": t, "euler_deg": [math.degrees(a) for a in angles], "rms": float(rms)}
+    if per_pose is not None:
+        out |= {"num_poses": len(per_pose), "per_pose_rms": {str(k): float(v) for k, v in per_pose.items()}}
+    with open(path, "w") as f:
+        yaml.safe_dump(out, f, sort_keys=False)

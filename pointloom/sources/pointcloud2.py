@@ -37,6 +37,45 @@ def decode_points(messages: DataFrame, fields: dict[str, tuple[int, int]], step:
     return messages.select(F.col(key).alias("key"), F.col(data).alias("data")).mapInArrow(decode, ddl).withColumnRenamed("key", key)
 
 
+SIZES = {1: 1, 2: 1, 3: 2, 4: 2, 5: 4, 6: 4, 7: 4, 8: 8}
+
+
+def layout(fields: dict[str, int]) -> tuple[dict[str, tuple[int, int]], int]:
+    """({name: (offset, datatype)}, step) of fields packed one after the other."""
+    at, out = 0, {}
+    for name, kind in fields.items():
+        out[name] = (at, kind)
+        at += SIZES[kind]
+    return out, at
+
+
+def encode_points(points: DataFrame, fields: dict[str, int], key: str = "frame_id", order: str = "point_idx", most: int = 100_000, rgb: bool = False) -> DataFrame:
+    """key, part, width, point_step, data: points packed in order of ``order``, at most ``most`` numbers of it a message (a
+    large cloud becomes several, so no task gets it whole). Nulls become NaN, or 0 in whole numbers. With ``rgb`` the columns
+    r, g, b are packed to 0x00RRGGBB and written as the float32 of the same bits, under that name."""
+    offsets, step = layout({**fields, **({"rgb": 7} if rgb else {})})
+    dtype = np.dtype({"names": list(offsets), "formats": [DATATYPES[k] for _, k in offsets.values()], "offsets": [o for o, _ in offsets.values()], "itemsize": step})
+    key_type = points.schema[key].dataType.simpleString()
+    colours = ["r", "g", "b"] if rgb else []
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_order", "ascending")])
+        out = np.zeros(len(table), dtype)
+        for name in fields:
+            x = table.column(name).to_numpy()
+            if out.dtype[name].kind in "iu" and x.dtype.kind == "f":
+                x = np.nan_to_num(x)
+            out[name] = x
+        if rgb:
+            r, g, b = (table.column(c).to_numpy().astype(np.uint32) for c in colours)
+            out["rgb"] = ((r << 16) | (g << 8) | b).view(np.float32)
+        head = [table.column("_key").slice(0, 1), table.column("_part").slice(0, 1)]
+        return pa.table([*head, pa.array([len(out)], pa.int32()), pa.array([step], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["_key", "part", "width", "point_step", "data"])
+
+    rows = points.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.floor(F.col(order) / F.lit(most)).cast("bigint").alias("_part"), *fields, *colours)
+    return rows.groupBy("_key", "_part").applyInArrow(pack, f"_key {key_type}, part bigint, width int, point_step int, data binary").withColumnRenamed("_key", key)
+
+
 def gray(images: DataFrame, key: str, encoding: str, height: str, width: str, step: str, data: str) -> DataFrame:
     """key, gray (binary, height × width): raw rgb8, bgr8 and mono8 images; another encoding is an error."""
     key_type = images.schema[key].dataType.simpleString()

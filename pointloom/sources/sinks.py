@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,27 @@ def numbered_mesh(vertices: DataFrame, triangles: DataFrame, mesh: str, id: str)
     return v, t
 
 
+def ply_lines(vertices: DataFrame, triangles: DataFrame, mesh: str, digits: int = 6) -> DataFrame:
+    """mesh, part (0 header, 1 vertices, 2 faces), k, line of ASCII polygon files. ``vertices``: mesh, id (from 0), x, y, z and, if
+    coloured, r, g, b (0 … 255); ``triangles``: mesh, k, a, b, c. A mesh without triangles has none in its header."""
+    coloured = {"r", "g", "b"} <= set(vertices.columns)
+    fixed = " ".join([f"%.{digits}f"] * 3)
+    colours = [F.col(c).cast("int") for c in "rgb"] if coloured else []
+    v = vertices.select(mesh, F.lit(1).alias("part"), F.col("id").cast("bigint").alias("k"), F.format_string(fixed + " %d %d %d" * coloured, "x", "y", "z", *colours).alias("line"))
+    t = triangles.select(mesh, F.lit(2).alias("part"), F.col("k").cast("bigint").alias("k"), F.format_string("3 %d %d %d", "a", "b", "c").alias("line"))
+    sizes = vertices.groupBy(mesh).agg(F.count("*").alias("nv")).join(triangles.groupBy(mesh).agg(F.count("*").alias("nt")), mesh, "left")
+    head = ["ply", "format ascii 1.0", F.format_string("element vertex %d", "nv"), *[f"property double {c}" for c in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue") if coloured]]
+    head += [F.format_string("element face %d", F.coalesce("nt", F.lit(0))), "property list uchar int vertex_indices", "end_header"]
+    h = sizes.select(mesh, F.lit(0).alias("part"), F.posexplode(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in head])).alias("k", "line"))
+    return h.withColumn("k", F.col("k").cast("bigint")).unionByName(v).unionByName(t)
+
+
+def write_ply(lines: DataFrame, mesh: str, path: str) -> None:
+    """One folder per mesh under ``path`` with the lines of ``ply_lines`` in order, one file each."""
+    ordered = lines.repartition(mesh).sortWithinPartitions(mesh, "part", "k").select(mesh, "line")
+    ordered.write.mode("overwrite").partitionBy(mesh).text(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Writes ``df`` in place of the table at ``path``, which it may be read from: a new folder first, then the names are
     swapped on the file system and the old rows removed."""
