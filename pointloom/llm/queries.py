@@ -147,6 +147,15 @@ def _p1_side(table: str, i: str, t: str, tolerance: int) -> str:
 
 ORACLES = {
     "p1_found": _p1_side("cam_signals", "cam_id", "cam_t", CAM_TOLERANCE_US) + " UNION ALL " + _p1_side("imu_signals", "imu_id", "imu_t", IMU_TOLERANCE_US),
+    "p3_found": """
+WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT point_id AS id, frame_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM pointcloud_points
+  WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND NOT (x = 0 AND y = 0 AND z = 0)),
+c AS (SELECT *, floor(x / 0.25) AS cx, floor(y / 0.25) AS cy, floor(z / 0.25) AS cz FROM p),
+o AS (SELECT id, frame_id, x, y, z, cx + dx AS cx, cy + dy AS cy, cz + dz AS cz FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz)),
+e AS MATERIALIZED (SELECT c.id AS a, o.id AS b FROM c JOIN o USING (frame_id, cx, cy, cz) WHERE c.id <> o.id AND (c.x-o.x)*(c.x-o.x) + (c.y-o.y)*(c.y-o.y) + (c.z-o.z)*(c.z-o.z) <= 0.0625),
+lab(id, cl) USING KEY (id) AS (SELECT id, id FROM p UNION SELECT e.b, min(lab.cl) FROM lab JOIN e ON e.a = lab.id JOIN recurring.lab AS r ON r.id = e.b WHERE lab.cl < r.cl GROUP BY e.b),
+n AS (SELECT cl FROM lab GROUP BY cl HAVING count(*) >= 15)
+SELECT cl AS cluster_id, id AS point_id FROM lab JOIN n USING (cl)""",
     "p4_found": """
 WITH p AS (SELECT DISTINCT point_id, session_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM pointcloud_points
            WHERE isfinite(x) AND isfinite(y) AND isfinite(z) AND NOT (x = 0 AND y = 0 AND z = 0)),
