@@ -2,8 +2,8 @@
 
 Every record has a 64-bit hash; a source's budget is met by all records (whole copies) plus those whose hash
 lies below a threshold. The threshold comes from histograms: tokens by source and hash bucket, the bucket in
-which the budget ends, then that bucket alone in finer buckets, until it holds one hash value. Nothing is
-sorted and only bucket sums (2^10 per source and level) reach the driver.
+which the budget ends, then that bucket alone in finer buckets, until it holds one hash value. Records are never
+sorted; the 2^15 buckets of a source are, level by level, and the plan is a table with a row per source.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.session import materialize
+from pointloom.session import materialize, release
 
-BITS, LEVELS = 10, 6  # 60 of the hash's bits
+BITS, LEVELS = 15, 4  # 60 of the hash's bits
 
 
 def _encoder(path: str):
@@ -74,72 +74,64 @@ class Mix:
     """A planned mix. ``shares`` is one row per target source, ``records`` one row per chosen record."""
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None):
-        """``targets``: source, target_share, max_copies (a few rows; they go to the driver after a check).
+        """``targets``: source, target_share, max_copies.
 
         ``total_tokens`` is the size aimed at, by default that of all target sources together. A source with
-        a null or negative share gets nothing, null max_copies means 1. Budgets are never exceeded; a source
-        whose share cannot be reached contributes max_copies of every record and is marked.
+        a null or negative share gets nothing, null max_copies means 1; of a repeated source the row with the smallest share
+        counts. Budgets are never exceeded; a source whose share cannot be reached contributes max_copies of every record and
+        is marked.
         """
-        goals = targets.limit(10_001).collect()
-        if len(goals) > 10_000:
-            raise ValueError("more than 10 000 target sources")
-        self.spark = sizes.sparkSession
-        names = sorted({r["source"].strip().lower() for r in goals if r["source"]})
-        known = self.spark.createDataFrame([(n,) for n in names] or [("",)], "source string")
-        self.sizes = sizes.join(F.broadcast(known), "source", "left_semi")  # at most 10 000 names
-        have = {r["source"]: r for r in self.sizes.groupBy("source").agg(F.sum("tokens").alias("s"), F.count("*").alias("n")).collect()}
-        self.total = sum(r["s"] for r in have.values())
-        aim = self.total if total_tokens is None else total_tokens
-        self.plan: dict[str, dict] = {}
-        for r in goals:
-            if not r["source"]:
-                continue
-            name, share, copies = r["source"].strip().lower(), max(r["target_share"] or 0.0, 0.0), max(1 if r["max_copies"] is None else r["max_copies"], 0)
-            size = have[name]["s"] if name in have else 0
-            budget = share * aim
-            short = budget > copies * size
-            full = copies if short else int(budget // size) if size else 0
-            self.plan[name] = {"share": share, "copies": copies, "size": size, "budget": budget, "short": short, "full": full, "rest": 0.0 if short else budget - full * size, "limit": 0, "taken": copies * size if short else full * size}
-        self._thresholds()
-
-    def _thresholds(self) -> None:
-        """Sets ``limit``: records with h < limit get one copy more."""
-        open_ = {n: 0 for n, p in self.plan.items() if p["rest"] > 0 and p["size"]}  # name → prefix of the hash
+        goal = targets.select(
+            clean_source("source").alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"),
+            F.greatest(F.coalesce("max_copies", F.lit(1)), F.lit(0)).cast("int").alias("copies"),
+        ).where("source IS NOT NULL AND source <> ''")
+        goal = goal.groupBy("source").agg(F.min(F.struct("share", "copies")).alias("g")).select("source", "g.*")
+        have = sizes.groupBy("source").agg(F.sum("tokens").alias("size"))
+        plan = materialize(goal.join(have, "source", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint"))), "goals")
+        self.sizes = sizes.join(plan.select("source"), "source", "left_semi")
+        aim = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(plan.agg(F.sum("size")).scalar(), F.lit(0)).cast("double")
+        plan = plan.withColumn("budget", F.col("share") * aim)
+        short = F.col("budget") > F.col("copies") * F.col("size")
+        full = F.when(short, F.col("copies")).when(F.col("size") > 0, F.floor(F.col("budget") / F.when(F.col("size") > 0, F.col("size"))).cast("int")).otherwise(F.lit(0))
+        plan = plan.withColumns({"short": short, "full": full})
+        rest = F.when(F.col("short"), F.lit(0.0)).otherwise(F.col("budget") - F.col("full") * F.col("size"))
+        plan = plan.withColumns({"rest": rest, "taken": F.col("full") * F.col("size"), "below": F.lit(0).cast("bigint"), "prefix": F.when((rest > 0) & (F.col("size") > 0), F.lit(0)).cast("bigint")})
+        self.plan = self._thresholds(materialize(plan, "plan"))
+
+    def _thresholds(self, plan: DataFrame) -> DataFrame:
+        """Sets ``below``: records with h < below get one copy more. ``prefix``: bits of the bucket in which a source's rest ends,
+        null once its threshold is known."""
         for level in range(LEVELS):
-            if not open_:
-                return
+            ending = plan.where("prefix IS NOT NULL")
+            if ending.isEmpty():
+                break
             shift = 60 - BITS * (level + 1)
-            prefixes = self.spark.createDataFrame(list(open_.items()), "source string, prefix bigint")
-            inside = self.sizes.join(F.broadcast(prefixes), "source").where(F.shiftright("h", shift + BITS) == F.col("prefix") if level else F.lit(True))
-            sums: dict[str, dict[int, int]] = {}
-            for r in inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("s")).collect():
-                sums.setdefault(r["source"], {})[r["b"]] = r["s"]
-            for name in list(open_):
-                p, prefix = self.plan[name], open_[name]
-                for b in range(prefix << BITS, (prefix + 1) << BITS):
-                    s = sums.get(name, {}).get(b, 0)
-                    if s > p["rest"]:
-                        p["limit"], open_[name] = b << shift, b
-                        break
-                    p["rest"] -= s
-                    p["taken"] += s
-                else:
-                    p["limit"] = (prefix + 1) << (shift + BITS)
-                    del open_[name]
+            inside = self.sizes.join(ending.select("source", "prefix"), "source").where(F.shiftright("h", shift + BITS) == F.col("prefix") if level else F.lit(True))
+            sums = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("s"))
+            upto = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("b"))).join(ending.select("source", "rest"), "source")
+            fits = F.col("upto") <= F.col("rest")
+            found = upto.groupBy("source").agg(F.max(F.when(fits, F.col("upto"))).alias("got"), F.min(F.when(~fits, F.col("b"))).alias("at"))
+            got = F.coalesce("got", F.lit(0).cast("bigint"))
+            end = F.when(F.col("at").isNotNull(), F.shiftleft("at", shift)).otherwise(F.shiftleft(F.col("prefix") + 1, shift + BITS))
+            on = F.col("prefix").isNotNull()
+            last, plan = plan, materialize(
+                plan.join(found, "source", "left").withColumns({"below": F.when(on, end).otherwise(F.col("below")), "rest": F.when(on, F.col("rest") - got).otherwise(F.col("rest")), "taken": F.when(on, F.col("taken") + got).otherwise(F.col("taken")), "prefix": F.when(on, F.col("at"))}).drop("got", "at"),
+                "plan",
+            )
+            release(last)
+        return plan
 
     def shares(self) -> DataFrame:
         """source, target_share, max_copies, source_tokens, budget_tokens, mixed_tokens, actual_share, reachable."""
-        mixed = sum(p["taken"] for p in self.plan.values())
-        rows = [(n, float(p["share"]), int(p["copies"]), int(p["size"]), float(p["budget"]), int(p["taken"]), p["taken"] / mixed if mixed else 0.0, not p["short"]) for n, p in sorted(self.plan.items())]
-        return self.spark.createDataFrame(rows, "source string, target_share double, max_copies int, source_tokens bigint, budget_tokens double, mixed_tokens bigint, actual_share double, reachable boolean")
+        mixed = self.plan.agg(F.sum("taken")).scalar()
+        actual = F.coalesce(F.try_divide(F.col("taken"), mixed), F.lit(0.0))
+        return self.plan.select("source", F.col("share").alias("target_share"), F.col("copies").alias("max_copies"), F.col("size").alias("source_tokens"), F.col("budget").alias("budget_tokens"), F.col("taken").alias("mixed_tokens"), actual.alias("actual_share"), (~F.col("short")).alias("reachable"))
 
     def records(self) -> DataFrame:
-        """rec, source, tokens, copies (≥ 1): a filter on the hash, no sort and no shuffle."""
-        rows = [(n, p["full"], p["limit"], p["copies"]) for n, p in self.plan.items()]
-        rules = self.spark.createDataFrame(rows or [("", 0, 0, 0)], "source string, full int, below bigint, most int")
+        """rec, source, tokens, copies (≥ 1): a filter on the hash, no sort of records."""
         more = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
         return (
-            self.sizes.join(F.broadcast(rules), "source")
+            self.sizes.join(self.plan.select("source", "full", "below", F.col("copies").alias("most")), "source")
             .select("rec", "source", "tokens", F.least(F.col("full") + more, F.col("most")).alias("copies"))
             .where("copies > 0")
         )
