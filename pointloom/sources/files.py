@@ -1,18 +1,23 @@
-"""Python data sources: ``pcd`` (read and write), ``rosbag2`` and ``pcap``; ``register`` makes them formats."""
+"""Python data sources for folders of this machine: ``pcd`` (read and write), ``rosbag2`` and ``pcap``; ``register`` makes them
+formats. ``read_clouds``, ``read_captures``, ``read_arrays`` and ``read_pixels`` go through Spark's own file system, so they read from
+any store it knows, in Arrow batches.
+"""
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 import re
 import sqlite3
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
@@ -207,6 +212,86 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def _contents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def _parsed(raw: DataFrame, parse: Callable[[str, bytes], list], schema: pa.Schema, ddl: str) -> DataFrame:
+    """``parse`` (file name, content) → columns; a file is one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                columns = parse(os.path.basename(path), content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return raw.mapInArrow(run, ddl)
+
+
+def read_clouds(spark: SparkSession, path: str) -> DataFrame:
+    """file, point_idx, x, y, z, intensity (null where a file has none) of all point files under ``path``."""
+    schema = pa.schema([("file", pa.string()), ("point_idx", pa.int64()), *[(c, pa.float64()) for c in ("x", "y", "z", "intensity")]])
+
+    def parse(name: str, content: bytes) -> list:
+        fields, rows = read_pcd(content)
+        column = lambda c: rows[:, fields.index(c)] if c in fields else [None] * len(rows)
+        return [[name] * len(rows), np.arange(len(rows)), *map(column, ("x", "y", "z", "intensity"))]
+
+    return _parsed(_contents(spark, path, "*.pcd"), parse, schema, "file string, point_idx bigint, x double, y double, z double, intensity double")
+
+
+def read_captures(spark: SparkSession, path: str, port: int | None = None, head: int = 0, tail: int = 0) -> DataFrame:
+    """file, t_ns, port, data of all capture files under ``path``; see the ``pcap`` format."""
+    schema = pa.schema([("file", pa.string()), ("t_ns", pa.int64()), ("port", pa.int32()), ("data", pa.binary())])
+
+    def parse(name: str, content: bytes) -> list:
+        got = [(t, udp_payload(frame)) for t, frame in pcap_records(content)]
+        rows = [(name, t, p[0], p[1][head : len(p[1]) - tail]) for t, p in got if p and port in (None, p[0])]
+        return list(zip(*rows, strict=True)) or [[]] * 4
+
+    return _parsed(_contents(spark, path, "*.pcap"), parse, schema, "file string, t_ns bigint, port int, data binary")
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, shape, values (doubles by rows; null for text), texts (null for numbers) of all .npz and .npy files under ``path``.
+    Arrays of objects are not read."""
+    schema = pa.schema([("file", pa.string()), ("name", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.list_(pa.float64())), ("texts", pa.list_(pa.string()))])
+
+    def parse(file: str, content: bytes) -> list:
+        got = np.load(io.BytesIO(content), allow_pickle=False)
+        rows = []
+        for name, x in [("", got)] if isinstance(got, np.ndarray) else got.items():
+            text = x.dtype.kind in "US"
+            rows.append((file, name, list(x.shape), None if text else x.astype(float).ravel(), x.astype(str).ravel().tolist() if text else None))
+        return list(zip(*rows, strict=True)) or [[]] * 5
+
+    return _parsed(_contents(spark, path, "*.np[yz]"), parse, schema, "file string, name string, shape array<bigint>, values array<double>, texts array<string>")
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """file, u, v, r, g, b of all images Spark's image source can decode; a gray image has equal parts."""
+    images = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    schema = pa.schema([("file", pa.string()), *[(c, pa.int32()) for c in ("u", "v", "r", "g", "b")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, w, c = r["height"], r["width"], r["nChannels"]
+                x = np.frombuffer(r["data"], np.uint8).reshape(h, w, c)
+                blue, green, red = (x[..., k if c >= 3 else 0].ravel() for k in range(3))
+                v, u = np.divmod(np.arange(h * w), w)
+                yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(r["origin"])] * (h * w)), *[pa.array(a.astype(np.int32)) for a in (u, v, red, green, blue)]], schema=schema)
+
+    return images.mapInArrow(run, "file string, u int, v int, r int, g int, b int")
+
+
+def save_pairs(clouds: DataFrame, images: DataFrame, path: str, capture: str = "capture_idx") -> None:
+    """Captures as folders ``capture_idx=…`` under path/clouds and path/images; only captures that have both are kept."""
+    both = clouds.select(capture).distinct().intersect(images.select(capture))
+    for name, df in (("clouds", clouds), ("images", images)):
+        df.join(both, capture, "left_semi").repartition(capture).write.mode("append").partitionBy(capture).parquet(os.path.join(path, name))
+
+
 def paired_files(spark: SparkSession, folder: str, first: str = "_image.png", second: str = "_lidar.pcd"):
     """stem, first path, second path of the files that come in pairs, in order of their stem."""
     from pyspark.sql import functions as F

@@ -50,6 +50,36 @@ def test_hull_in_parts(spark):
     assert got == {tuple(map(float, p)) for p in fit.hull(x)}
 
 
+def test_flat_and_tiled_meshes(spark, tmp_path):
+    from pointloom.sources.sinks import ply_lines, write_ply
+
+    rng = np.random.default_rng(3)
+    u = rng.uniform(0, 2, (1500, 2))
+    pts = cloud(spark, np.concatenate([np.c_[u, np.full(len(u), 0.5)], [[1, 1, 3.0]]])).withColumnRenamed("g", "room")
+    planes = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, -0.5), ("a", 1, 1.0, 0.0, 0.0, -9.0)], "room string, plane int, a double, b double, c double, d double")
+    v, t = pipelines.hull_meshes(pts, planes, ["room"], 0.05)
+    corners = {r["id"]: (r["x"], r["y"], r["z"]) for r in v.collect()}
+    area = sum(np.linalg.norm(np.cross(np.subtract(corners[r["b"]], corners[r["a"]]), np.subtract(corners[r["c"]], corners[r["a"]]))) / 2 for r in t.collect())
+    assert abs(area - 4) < 0.1 and all(abs(c[2] - 0.5) < 1e-9 for c in corners.values())
+    tiles = pipelines.surface_tiles(pts.withColumn("r", F.lit(0.25)), planes, ["room"], 0.05, 0.2, 0.2).collect()
+    assert len(tiles) > 80 and all(abs(r["z"] - 0.5) < 1e-6 and abs(r["r"] - 0.25) < 1e-9 for r in tiles)
+    mesh = v.withColumn("mesh", F.lit("m"))
+    lines = ply_lines(mesh.select("mesh", "id", "x", "y", "z"), t.select(F.lit("m").alias("mesh"), "k", "a", "b", "c"), "mesh")
+    write_ply(lines, "mesh", str(tmp_path / "ply"))
+    text = spark.read.text(str(tmp_path / "ply")).collect()
+    assert text[0]["value"] == "ply" and len(text) == 9 + len(corners) + t.count()
+
+
+def test_relabel_compare_and_filter(spark):
+    s = spark.createDataFrame([("a",), ("b",), (None,)], "label string")
+    out, unknown = pipelines.relabel(s, "label", {"a": "floor", "zzz": "q"})
+    assert {r["label"] for r in out.collect()} == {"floor", "b", None} and unknown == ["zzz"]
+    p = cloud(spark, [[0, 0, 1.0], [0, 0, 5.0]])
+    assert pipelines.distance_filter(p, (0, 0, 1, 0)).count() == 1
+    both = pipelines.compare_maps(p.withColumns({"r": F.lit(0.5), "g": F.lit(0.5), "b": F.when(F.col("z") > 2, 0.5)}), p, [[1, 0, 0, 9], [0, 1, 0, 0], [0, 0, 1, 0]], stored=True)
+    assert {(r["map"], r["x"], r["r"]) for r in both.collect()} == {("a", 0, 0.5), ("a", 0, 0.2), ("b", 9, 0.1)}
+
+
 def test_peaks():
     v = np.array([0, 3, 0, 1, 0, 5, 5, 5, 0, 2, 1.9, 2.1, 0], float)
     assert fit.peaks(v, 1, 0.5).tolist() == [1, 3, 6, 11]

@@ -86,3 +86,21 @@ def test_query_searches_a_second_in_three_orders(spark, sf):
     rows = QUERIES["correlation_peak"](spark, sf).collect()
     assert rows and {r["method"] for r in rows} == set(offsets.ORDERS)
     assert all(-200 <= r["lag"] <= 200 for r in rows)
+
+
+def test_reversals_find_a_delay(spark):
+    """Three sensors of one motion, two of them late by known times of either sign."""
+    from pointloom.operators.offsets import offset_by_reversals, turning_points
+
+    rng = np.random.default_rng(7)
+    turns = np.cumsum(rng.uniform(2.0, 3.0, 30))
+    rows, n = [], 0
+    for sensor, hz, late in (("lidar", 10, 0.0), ("camera", 30, 0.12), ("imu", 200, -0.08)):
+        t = np.arange(0, turns[-1], 1 / hz)
+        v = np.interp(t, np.r_[0, turns], np.arange(31) % 2) + 0.01 * rng.standard_normal(len(t))
+        rows += [("a", sensor, int((x + late + 1) * 1e6), (n := n + 1), float(y)) for x, y in zip(t, v, strict=True)]
+    df = spark.createDataFrame(rows, "session string, sensor string, t bigint, id bigint, v double")
+    found = turning_points(df, ["session", "sensor"])
+    got = {r["other"]: r for r in offset_by_reversals(found, ["session"], "sensor", [("lidar", "camera"), ("lidar", "imu")], 2_000_000, 500_000).collect()}
+    assert abs(got["camera"]["offset"] - 120_000) < 30_000 and abs(got["imu"]["offset"] + 80_000) < 30_000 and got["imu"]["n"] > 20
+    assert turning_points(df.limit(2), ["session", "sensor"]).count() == 0

@@ -3,6 +3,7 @@
 import os
 import sqlite3
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -76,6 +77,36 @@ def test_settings_and_pairs(spark, tmp_path):
     assert config.first_existing(["/nowhere", str(tmp_path)]) == str(tmp_path)
 
 
+def test_files_through_spark(spark, tmp_path):
+    (tmp_path / "a.pcd").write_bytes(files.pcd_bytes(np.array([[1.0, 2, 3, 4], [np.nan, 0, 0, 0], [5, 6, 7, 8]])))
+    (tmp_path / "b.pcd").write_bytes(files.pcd_bytes(np.zeros((0, 3))))
+    assert [tuple(r) for r in files.read_clouds(spark, str(tmp_path)).orderBy("point_idx").collect()] == [("a.pcd", 0, 1, 2, 3, 4), ("a.pcd", 1, 5, 6, 7, 8)]
+    np.savez(tmp_path / "s.npz", planes=np.eye(2), labels=np.array(["floor", "wall"]))
+    got = {r["name"]: (r["shape"], r["values"], r["texts"]) for r in files.read_arrays(spark, str(tmp_path)).collect()}
+    assert got == {"planes": ([2, 2], [1, 0, 0, 1], None), "labels": ([2], None, ["floor", "wall"])}
+    rgb = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    rows = b"".join(b"\0" + r.tobytes() for r in rgb)
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    (tmp_path / "p.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    assert {tuple(r)[1:] for r in files.read_pixels(spark, str(tmp_path / "p.png")).collect()} == {(u, v, *map(int, rgb[v, u])) for u in (0, 1) for v in (0, 1)}
+    clouds, images = spark.createDataFrame([(1, 0.5), (2, 0.5)], "capture_idx int, x double"), spark.createDataFrame([(2, b"x"), (3, b"y")], "capture_idx int, png binary")
+    files.save_pairs(clouds, images, str(tmp_path / "pairs"))
+    assert {r["capture_idx"] for n in ("clouds", "images") for r in spark.read.parquet(str(tmp_path / "pairs" / n)).collect()} == {2}
+
+
+def test_packed_colours_and_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 1.5, None, 255, 1, 2), (1, 1, 2.5, 7.0, 0, 0, 3)], "frame_id int, point_idx int, x double, i double, r int, g int, b int")
+    one = pointcloud2.encode_points(df, {"x": 7, "i": 2}, rgb=True).first()
+    x = np.frombuffer(one["data"], np.dtype({"names": ["x", "i", "rgb"], "formats": ["<f4", "u1", "<u4"], "offsets": [0, 4, 5], "itemsize": 9}))
+    assert one["width"] == 2 and one["point_step"] == 9 and x["x"].tolist() == [1.5, 2.5] and x["i"].tolist() == [0, 7] and x["rgb"].tolist() == [0xFF0102, 3]
+    assert pointcloud2.encode_points(df.limit(0), {"x": 7}).count() == 0
+    pytest.importorskip("yaml")
+    path = str(tmp_path / "c.yaml")
+    config.write_calibration(path, [0, -1, 0, 1, 0, 0, 0, 0, 1], [1, 2, 3], 0.01, {"a": 0.02})
+    got = config.read_settings(path)
+    assert got["transform"][0] == [0, -1, 0, 1] and abs(got["euler_deg"][2] - 90) < 1e-9 and got["num_poses"] == 1
+
+
 def _stream(spark, tmp_path, name, parts, ddl, op):
     """Rows of a stateful operator over files that arrive one after the other."""
     src = tmp_path / name
