@@ -58,7 +58,7 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    nn = point_neighbours(read_table(spark, d, "pointcloud_points"), read_table(spark, d, "knn_probes"), group="session_id", id="point_id", k=5)
+    nn = point_neighbours(read_table(spark, d, "pointcloud_points"), read_table(spark, d, "knn_probes"), group="session_id", id="point_id", k=5, check=True)
     pairs = nn.select("qid", F.explode("nn.id").alias("id"))
     return pairs.select(F.least("qid", "id").alias("low_id"), F.greatest("qid", "id").alias("high_id")).distinct()
 

@@ -92,6 +92,22 @@ def test_leaves_do_not_depend_on_partitions(spark):
     assert max(sizes.values()) <= 400  # equal points are shared out
 
 
+def test_check_puts_wrong_answers_right():
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(0, 1, (600, 3)), np.zeros((30, 3)), [[4e5, 1, 1]]].astype(np.float32)
+    ids = np.arange(631) + 100
+    d2 = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    true = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :5]
+    at = np.arange(0, 631, 3)
+    given = true[at].copy()
+    given[::4, 1] = true[at[::4], 4]
+    given[::4, 4] = np.argsort(d2[at[::4]], axis=1)[:, 40]  # answers that missed one
+    fid, far = nngraph._ranked(x, ids, x[at], ids[at], given, 5)
+    assert nngraph.corrected(x, ids, at, fid, far) >= len(at[::4]) and (fid == ids[true[at]]).all()
+    assert nngraph.corrected(x, ids, at, fid, far) == 0
+
+
 def test_neighbours_of_few_points(spark):
     df = spark.createDataFrame([(1, 1, 1.0, 1.0, 1.0), (1, 2, 1.0, 1.0, 2.0), (2, 3, 5.0, 5.0, 5.0)], POINT)
     got = {r["qid"]: [c["id"] for c in r["nn"]] for r in nngraph.point_neighbours(df, None, group="frame_id", id="point_id", k=5).collect()}
