@@ -2,11 +2,11 @@
 
 import pytest
 
-from pointloom.plans import core_queries, reference_queries
+from pointloom.plans import core_queries, reference_queries, survey_queries
 from tests.conftest import same_rows
 
-QUERIES = {**reference_queries.QUERIES, **core_queries.QUERIES}
-SQL = {**reference_queries.ORACLES, **core_queries.ORACLES}
+QUERIES = {**reference_queries.QUERIES, **survey_queries.QUERIES, **core_queries.QUERIES}
+SQL = {**reference_queries.ORACLES, **survey_queries.ORACLES, **core_queries.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
