@@ -170,7 +170,7 @@ def test_clusters_brute(spark, cap):
 
 
 def test_communities_do_not_depend_on_partitions(spark):
-    rows = scene(4, 400)
+    rows = scene(4, 300)
     df = spark.createDataFrame(rows, POINT)
     found = []
     for n in (3, 16):
