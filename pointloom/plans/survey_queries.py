@@ -144,14 +144,14 @@ def first_camera(spark, d):
 _CLOUD = {"x": 7, "y": 7, "z": 7, "intensity": 7, "ring": 4, "point_t": 8}
 
 
-@query("cloud_roundtrip", f"WITH {PTS} SELECT frame_id, count(*) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, round(sum(z), 3) AS sz, sum(ring) AS rings, round(sum(point_t), 3) AS st FROM ok GROUP BY 1")
+@query("cloud_roundtrip", f"WITH {PTS} SELECT frame_id, count(*) AS n, {', '.join(f'CAST(sum(CAST(round({c}*10000) AS BIGINT)) AS BIGINT) AS s{c}' for c in 'xyz')}, CAST(sum(ring) AS BIGINT) AS rings, CAST(sum(CAST(round(point_t*1000000) AS BIGINT)) AS BIGINT) AS st FROM ok GROUP BY 1")
 def cloud_roundtrip(spark, d):
     """Clouds packed into messages and read again."""
     p = good(spark, d).select("frame_id", "point_idx", "x", "y", "z", "intensity", F.col("ring").cast("bigint").alias("ring"), "point_t")
     packed = encode_points(p, _CLOUD)
     fields, step = layout(_CLOUD)
     g = decode_points(packed, fields, step).groupBy("frame_id")
-    return g.agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(f"s{c}") for c in "xyz"], F.sum("ring").cast("bigint").alias("rings"), F.round(F.sum("point_t"), 3).alias("st"))
+    return g.agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(c) * 10_000).cast("bigint")).alias(f"s{c}") for c in "xyz"], F.sum("ring").cast("bigint").alias("rings"), F.sum(F.round(F.col("point_t") * 1_000_000).cast("bigint")).alias("st"))
 
 
 @query("colour_roundtrip", f"WITH {PTS} SELECT point_id, (ring % 256) * 65536 + (point_idx % 256) * 256 + point_id % 256 AS rgb FROM ok")
