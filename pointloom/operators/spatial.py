@@ -49,11 +49,11 @@ CROWDED = 50_000
 def radius_counts(df: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
     """keys, id, neighbours: number of other points within ``radius``.
 
-    Points are counted inside tiles of several radii with the points around them, about two copies of each; where a tile
+    Points are counted inside tiles of 64 radii with the points around them, few of which lie in two; where a tile
     holds more than ``CROWDED`` points, those meet the 27 cells around theirs by joins instead, so that no task gets a crowded
     place whole."""
     pts = df.select(*keys, id, *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    side, tile = 8 * radius, ["tx", "ty", "tz"]
+    side, tile = 64 * radius, ["tx", "ty", "tz"]
     placed = tiles_with_halo(pts, side, radius * (1 + 1e-9))
     crowded = materialize(placed.groupBy(*keys, *tile).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), "crowded")
     types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + f"{id} {df.schema[id].dataType.simpleString()}, neighbours bigint"
