@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from pointloom.operators.spikes import _BIN_SHIFT, _bins, _columns
 from pointloom.operators.timeblocks import block_context, pack_blocks
-from pointloom.session import materialize, release
+from pointloom.session import materialize, release, spread
 
 CONTEXT, REACH = 64, 8
+COARSER = 2
 SCHEMA = "sensor string, session_id string, slot bigint, t double, value double, sd double, n bigint, missing boolean"
 
 
@@ -40,20 +41,28 @@ def _residuals(t: np.ndarray, v: np.ndarray, before: int) -> tuple[np.ndarray, n
 
 
 def _residual_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by bin, combined over all blocks of a source in the batch."""
     for batch in batches:
-        rows: list[tuple] = []
-        for row in range(batch.num_rows):
+        counted: dict[tuple, list] = {}
+        names = [batch.column(c).to_pylist() for c in ("sensor", "session_id")]
+        for row, source in enumerate(zip(*names, strict=True)):
             before, own = (_columns(batch.column(c), row) for c in ("prev", "rs"))
             t, v = np.concatenate([before[0], own[0]]), np.concatenate([before[2], own[2]])
             for kind, x in enumerate(_residuals((t - t[0]) / 1e6, v, len(before[0]))):
-                key, n = np.unique(_bins(np.ascontiguousarray(x, np.float64)), return_counts=True)
-                rows += [(batch.column("sensor")[row].as_py(), batch.column("session_id")[row].as_py(), kind, k, m) for k, m in zip(key.tolist(), n.tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["sensor", "session_id", "kind", "key", "n"])
+                counted.setdefault((*source, kind), []).append(np.unique(_bins(np.ascontiguousarray(x, np.float64)) >> COARSER, return_counts=True))
+        keys, sums = [], []
+        for parts in counted.values():
+            key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64))
+        which = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(np.int64))
+        heads = [pa.array(list(c), t).take(which) for c, t in zip(zip(*counted, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)] if counted else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int32())]
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (keys, sums)]
+        yield pa.RecordBatch.from_arrays([*heads, *flat], ["sensor", "session_id", "kind", "key", "n"])
 
 
 def noise_scales(joined: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, r_bin, q_bin: the bins (``spikes._bins``) that hold the medians over all blocks of a source, null where there is
+    """keys, r_bin, q_bin: the bins (``spikes._bins``, four taken together: 32 an octave) that hold the medians over all blocks of a source, null where there is
     too little to tell. Counts are combined before they are shuffled."""
     hist = joined.select(*keys, "prev", "rs").mapInArrow(_residual_bins, "sensor string, session_id string, kind int, key bigint, n bigint").groupBy(*keys, "kind", "key").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "kind")
@@ -64,7 +73,8 @@ def noise_scales(joined: DataFrame, keys: list[str]) -> DataFrame:
 
 def _scales(r_bin: int | None, q_bin: int | None) -> tuple[float, float]:
     """(r, q) from the middles of the median bins."""
-    middle = lambda k: float(((np.array([k], np.int64) << _BIN_SHIFT) + (1 << (_BIN_SHIFT - 1))).view(np.float64)[0])
+    shift = _BIN_SHIFT + COARSER
+    middle = lambda k: float(((np.array([k], np.int64) << shift) + (1 << (shift - 1))).view(np.float64)[0])
     r = 1e-4 if r_bin is None else max((middle(r_bin) * 1.4826) ** 2 / 1.5, 1e-10)
     return r, 1.0 if q_bin is None else max(middle(q_bin) * 2.2, 1e-6)
 
@@ -192,9 +202,9 @@ def regular_series(readings: DataFrame, slots: dict[str, int], slots_per_block:
         one = pack_blocks(scaled.where(F.col("sensor") == sensor), keys, us * slots_per_block)
         packed = one if packed is None else packed.unionByName(one)
     blocks = materialize(packed, "grid-blocks")
-    joined = materialize(blocks.join(block_context(blocks, keys, CONTEXT, REACH), [*keys, "block"]), "grid-context")
+    written = materialize(blocks.join(block_context(blocks, keys, CONTEXT, REACH), [*keys, "block"]), "grid-context")
     release(blocks)
-    blocks = joined
+    blocks, joined = written, spread(written)
     scales = noise_scales(joined, keys)
     # blocks without any reading lie between two stored ones: the later one carries the gap before it
     w = Window.partitionBy(*keys).orderBy("block")

@@ -56,6 +56,13 @@ def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     return table
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table in at least as many partitions as the cluster has cores, ahead of work in Python that weighs more than
+    its rows. Only a table of fewer parts is moved (round robin, so no key matters); larger ones stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Removes tables written by ``materialize`` that nothing reads any more."""
     for table in tables:
