@@ -601,7 +601,7 @@ SELECT a.lidar_id, round(CASE WHEN any_value(w.w) <= 1 OR any_value(a.n) < any_v
 FROM i a JOIN w USING (session_id) JOIN i b ON a.session_id = b.session_id AND b.k BETWEEN a.k - w.w // 2 AND a.k + (w.w - 1) // 2 GROUP BY a.lidar_id""")
 def moving_average(spark, d):
     """Over half a second, in samples of each series' own rate; series shorter than their window stay as they are."""
-    v = _valued(spark, d)
+    v = materialize(_valued(spark, d).select("session_id", "lidar_id", "t", "idx", "v"), "indexed")
     sized = ser.sample_period(v, ["session_id"]).select("session_id", "n", F.coalesce(ser.samples(0.5, F.col("period")), F.lit(1)).alias("w"))
     out = ser.smoothed(v.select("session_id", "lidar_id", "idx", "v").join(sized, "session_id"), ["session_id"], "v", "w", "n")
     return _r(out.select("lidar_id", F.col("v").alias("ma")), "ma")
