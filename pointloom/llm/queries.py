@@ -13,12 +13,16 @@ from pointloom.llm.mix import Mix, sized_records
 from pointloom.llm.nearest_time import nearest_in_time
 from pointloom.llm.nngraph import point_neighbours, vector_neighbours
 from pointloom.llm.pii import find_personal, redact
-from pointloom.session import read_table
+from pointloom.session import read_table, spread
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 CAM_TOLERANCE_US, IMU_TOLERANCE_US = 12_000, 4_000
 
 
+def _documents(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text", *also))
+
+
 def _micros(column: str) -> F.Column:
     c = F.col(column)
     return F.when(~F.isnan(c) & (F.abs(c) < 9e12), F.round(c * 1_000_000).cast("bigint"))
@@ -71,9 +75,7 @@ def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaked passages with their length in words and number of differences."""
-    return leaked_items(
-        read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text"
-    )
+    return leaked_items(_documents(spark, d), read_table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="item_text")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +88,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> Mix:
-    sizes = sized_records(read_table(spark, d, "documents"), id="doc_id", source="source", text="text", tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    sizes = sized_records(_documents(spark, d, "source"), id="doc_id", source="source", text="text", tokenizer=f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     return Mix(sizes, read_table(spark, d, "mix_targets"))
 
 
@@ -108,12 +110,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """Every place with its score."""
-    return find_personal(read_table(spark, d, "documents"), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
+    return find_personal(_documents(spark, d), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     """All texts with placeholders."""
-    return redact(read_table(spark, d, "documents"), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
+    return redact(_documents(spark, d), read_table(spark, d, "members"), id="doc_id", text="text", known_name="full_name").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
