@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,52 +45,88 @@ def tiles_with_halo(df: DataFrame, side: float, halo: float) -> DataFrame:
     return df.withColumn("own", own)
 
 
-CROWDED = 50_000
+CROWDED, PAIRS_AT_ONCE = 50_000, 1_000_000
 
 
 def radius_counts(df: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
     """keys, id, neighbours: number of other points within ``radius``.
 
-    Points are counted inside tiles of 64 radii with the points around them, few of which lie in two; where a tile
-    holds more than ``CROWDED`` points, those meet the 27 cells around theirs by joins instead, so that no task gets a crowded
-    place whole."""
+    Points are counted inside tiles of 64 radii with the points around them, few of which lie in two; tiles lie one after the
+    other in a partition and are counted many at a time. Where a tile holds more than ``CROWDED`` points, those meet the 27 cells
+    around theirs by joins instead, so that no task gets a crowded place whole."""
     pts = df.select(*keys, id, *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    side, tile = 64 * radius, ["tx", "ty", "tz"]
-    placed = tiles_with_halo(pts, side, radius * (1 + 1e-9))
+    side, halo, tile = 64 * radius, radius * (1 + 1e-9), ["tx", "ty", "tz"]
+    placed = tiles_with_halo(pts, side, halo)
     crowded = materialize(placed.groupBy(*keys, *tile).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), "crowded")
     types = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys) + f"{id} {df.schema[id].dataType.simpleString()}, neighbours bigint"
-    thin = placed if crowded.isEmpty() else placed.join(crowded, [*keys, *tile], "left_anti")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, own = pdf[["x", "y", "z"]].to_numpy(float), pdf["own"].to_numpy(bool)
-        out = pdf.loc[own, [*keys, id]]
-        return out.assign(neighbours=near_counts(x, own, radius))
-
-    few = thin.groupBy(*keys, *tile).applyInPandas(count, types)
-    if crowded.isEmpty():
+    dense = not crowded.isEmpty()
+    thin = placed.join(crowded, [*keys, *tile], "left_anti") if dense else placed
+    group = [*keys, *tile]
+
+    def groups(table: pa.Table) -> np.ndarray:
+        """Number of each row's tile, from 0, in the order of rows."""
+        new = np.zeros(table.num_rows, bool)
+        for name in group:
+            code = table[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.cumsum(new)
+
+    def counted(table: pa.Table, code: np.ndarray) -> list[pa.RecordBatch]:
+        column = lambda c: table[c].to_numpy()
+        own = column("own").astype(bool)
+        corner = np.stack([column(c) for c in tile], axis=1) * side - halo
+        n = near_counts(np.stack([column(c) for c in "xyz"], axis=1), code, own, corner, radius)
+        return table.select([*keys, id]).filter(pa.array(own)).append_column("neighbours", pa.array(n)).to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < CROWDED:
+                continue
+            table = pa.Table.from_batches(held)
+            code = groups(table)
+            end = int(np.searchsorted(code, code[-1]))  # the last tile may go on in the next batch
+            if end:
+                yield from counted(table.slice(0, end), code[:end])
+            held = table.slice(end).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                yield from counted(table, groups(table))
+
+    few = thin.repartition(*group).sortWithinPartitions(*group).mapInArrow(count, types)
+    if not dense:
         return few
-    return few.unionByName(_crowded_counts(placed.join(crowded, [*keys, *tile], "left_semi"), [*keys, *tile], id, radius).select(*keys, id, "neighbours"))
+    return few.unionByName(_crowded_counts(placed.join(crowded, group, "left_semi"), group, id, radius).select(*keys, id, "neighbours"))
 
 
-def near_counts(x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-    """Other points within ``radius`` of each point of ``own``: cells of the radius, rows of cells along z together."""
-    c = np.floor((x - x.min(axis=0)) / radius).astype(np.int64) + 1
-    n = c.max(axis=0) + 3
-    key = (c[:, 0] * n[1] + c[:, 1]) * n[2] + c[:, 2]
+def near_counts(x: np.ndarray, group: np.ndarray, own: np.ndarray, corner: np.ndarray, radius: float) -> np.ndarray:
+    """Other points of the same group within ``radius`` of each point of ``own``: cells of the radius from the group's corner,
+    three cells along z at a time, so many pairs at once."""
+    c = np.floor((x - corner) / (radius * (1 + 1e-6))).astype(np.int64) + 1
+    n = int(c.max()) + 3
+    key = ((group * n + c[:, 0]) * n + c[:, 1]) * n + c[:, 2]
     order = np.argsort(key, kind="stable")
-    at, me = key[order], np.flatnonzero(own)
+    at, x, me = key[order], x[order], np.flatnonzero(own[order])
     total = np.zeros(len(me), np.int64)
     for dx in (-1, 0, 1):
         for dy in (-1, 0, 1):
-            k = key[me] + (dx * n[1] + dy) * n[2]
+            k = at[me] + (dx * n + dy) * n
             lo, hi = np.searchsorted(at, k - 1, "left"), np.searchsorted(at, k + 1, "right")
-            for a in range(0, len(me), 4096):
-                m = (hi - lo)[a : a + 4096]
-                row = np.repeat(np.arange(a, a + len(m)), m)
-                there = order[np.repeat(lo[a : a + 4096] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())]
+            upto = np.r_[0, np.cumsum(hi - lo)]
+            a = 0
+            while a < len(me):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS_AT_ONCE, "right")) - 1)
+                m = (hi - lo)[a:b]
+                row = np.repeat(np.arange(a, b), m)
+                there = np.repeat(lo[a:b] - (upto[a:b] - upto[a]), m) + np.arange(upto[b] - upto[a])
                 d = x[there] - x[me[row]]
-                total += np.bincount(row[(d * d).sum(axis=1) <= radius * radius], minlength=len(me))
-    return total - 1
+                total[a:b] += np.bincount(row[(d * d).sum(axis=1) <= radius * radius] - a, minlength=b - a)
+                a = b
+    out = np.zeros(len(x), np.int64)
+    out[order[me]] = total - 1
+    return out[own]
 
 
 def _crowded_counts(pts: DataFrame, keys: list[str], id: str, radius: float) -> DataFrame:
