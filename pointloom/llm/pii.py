@@ -67,6 +67,12 @@ def french_key(number: str) -> bool:
 
 # --- patterns ------------------------------------------------------------------------------------------
 
+
+def _begins(first: str, after: str, rest: str) -> re.Pattern[str]:
+    """``(?<!after)first rest``, written so that places are looked up by their first character and not tried one by one."""
+    return re.compile(rf"{first}(?<!{after}{first}){rest}")
+
+
 _TOKEN = r"[A-Za-zÀ-ÿ0-9_](?:[\w.\-+]*\w)?"
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ][\w.+%\-]*@[A-Za-z0-9](?:[\w\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[\w\-]*[A-Za-z0-9])?)+")
 _EMAIL_MARKED = re.compile(
@@ -79,9 +85,9 @@ _EMAIL_SPOKEN = re.compile(rf"\b{_TOKEN}(?:\s+{_SPOKEN_JOIN}\s+{_TOKEN})*\s+(?:a
 # each quick test below is implied by its patterns
 _HAS_SPOKEN = re.compile(rf"\b(?:at|ät|arobase)\s+[\w.\-+]+\s+{_SPOKEN_JOIN}\b", re.I)
 _HAS_MARKED = re.compile(r"[\[({<]\s?(?:at|ät|arobase)\s?[\])}>]", re.I)
-_HAS_PHONE = re.compile(r"\+\d|00\d\d|\(\d{2,5}\)|0\d{2,4}[\s.\-]\d{3}|\d{3}[.\-]\d{3}[.\-]\d{4}")
+_HAS_PHONE = re.compile(r"[+(\d](?:(?<=\+)\d|(?<=0)0\d\d|(?<=\()\d{2,5}\)|(?<=0)\d{2,4}[\s.\-]\d{3}|(?<=\d)\d{2}[.\-]\d{3}[.\-]\d{4})")
 _HAS_ID = re.compile(r"\d[\d\s\-]{4,}\d")
-_APART = str.maketrans(dict.fromkeys("-,.;:!?()[]\"»«„“”", " "))
+_APART = "-,.;:!?()[]\"»«„“”"
 
 _PHONES = [
     (re.compile(r"(?<![\w+])\+\d{1,3}(?:[\s.\-]?(?:\(\d{1,4}\)|\d{1,4})){2,5}(?:\d{1,4})?(?!\w)"), 0.75),
@@ -102,20 +108,20 @@ _ANY_DIGIT = re.compile(r"\d")
 _PHONE_SPOKEN = re.compile(rf"\b{_DIGIT}(?:[\s,\-]+{_DIGIT}){{6,14}}\b", re.I)
 
 _IDS = [
-    (re.compile(r"(?<!\w)[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z](?!\w)"), 0.6),
-    (re.compile(r"(?<![\w.,])\d{3}\s\d{3}\s\d{3}\s\d{2}(?!\w|[\s.,]\d)"), 0.5),
-    (re.compile(r"(?<![\w.,/\-])\d{6}[-+]\d{4}(?![\w/]|-\d)"), 0.5),
-    (re.compile(r"(?<![\w.,/\-])\d{4}-\d{4}-\d{2}(?![\w/]|-\d)"), 0.5),
-    (re.compile(r"(?<![\w\-])[A-Z]{3}\d{2}[A-Z]\d{6}(?!\w)"), 0.6),
-    (re.compile(r"(?<![\w\-])[A-Z]{1,2}\d{7,9}(?!\w)"), 0.55),
-    (re.compile(r"(?<![\w.,/\-])\d{3}-\d{2}-\d{4}(?![\w/]|-\d)"), 0.4),
+    (_begins(r"[A-Z]", r"\w", r"[A-Z]\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-Z](?!\w)"), 0.6),
+    (_begins(r"\d", r"[\w.,]", r"\d{2}\s\d{3}\s\d{3}\s\d{2}(?!\w|[\s.,]\d)"), 0.5),
+    (_begins(r"\d", r"[\w.,/\-]", r"\d{5}[-+]\d{4}(?![\w/]|-\d)"), 0.5),
+    (_begins(r"\d", r"[\w.,/\-]", r"\d{3}-\d{4}-\d{2}(?![\w/]|-\d)"), 0.5),
+    (_begins(r"[A-Z]", r"[\w\-]", r"[A-Z]{2}\d{2}[A-Z]\d{6}(?!\w)"), 0.6),
+    (_begins(r"[A-Z]", r"[\w\-]", r"[A-Z]?\d{7,9}(?!\w)"), 0.55),
+    (_begins(r"\d", r"[\w.,/\-]", r"\d{2}-\d{2}-\d{4}(?![\w/]|-\d)"), 0.4),
 ]
 # forms with a check that decides
 _CHECKED = [
-    (re.compile(r"(?<![\w.,])[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}(?:\s?\d{2})?(?!\w)"), french_key, 0.55),
-    (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)"), iban, 0.85),
-    (re.compile(r"(?<![\w.,/+\-])\d{4}([\s\-]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/]|[.,\-]\d)"), card, 0.75),
-    (re.compile(r"(?<![\w.,/+\-])3\d{3}([\s\-]?)\d{6}\1\d{5}(?![\w/]|[.,\-]\d)"), card, 0.75),
+    (_begins(r"[12]", r"[\w.,]", r"\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}(?:\s?\d{2})?(?!\w)"), french_key, 0.55),
+    (_begins(r"[A-Z]", r"\w", r"[A-Z]\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?(?!\w)"), iban, 0.85),
+    (_begins(r"\d", r"[\w.,/+\-]", r"\d{3}([\s\-]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/]|[.,\-]\d)"), card, 0.75),
+    (_begins(r"3", r"[\w.,/+\-]", r"\d{3}([\s\-]?)\d{6}\1\d{5}(?![\w/]|[.,\-]\d)"), card, 0.75),
 ]
 _ID_NEAR = re.compile(
     r"insurance|identity|identification|\bIBAN\b|account|passport|claimant|social security|national number|licen[cs]e number"
@@ -139,7 +145,9 @@ _ADDRESSES = [
     (re.compile(rf"(?<!\w)(?:Straße|Platz|Weg|Allee|Ufer)\s+(?:der|des|am|zum)\s+{_CAP}\s+(?:Nr\.?\s*)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?!\w)"), 0.7),
     (re.compile(rf"(?<!\w)(?:Im|Am|Zum|Zur|(?:An|Auf|Hinter|In|Unter|Bei|Vor|Über|Neben)\s+(?:der|dem|den))\s+{_CAP}(?:\s+{_CAP})?\s+(?:Nr\.?\s*)?\d{{1,4}}(?:\s?[a-z](?!\w))?(?!\w|[,./]\d|\s?%)"), 0.55),
 ]
-_DE_NUMBERED = re.compile(r"(?:[^\W\d_]|[.'’])\s+(?:Nr\.?\s*)?\d{1,4}(?!\d)")
+_DE_NUMBERED = re.compile(rf"\s(?=\s*(?:Nr\.?\s*)?\d)(?i:{'|'.join(rf'(?<={k}\s)' for k in _DE_STREET.split('|'))})")
+_DE_SQUARE = re.compile(r"(?:Straße|Platz|Weg|Allee|Ufer)\s+(?:der|des|am|zum)\s")
+_DE_PLACE = re.compile(rf"(?:Im|Am|Zum|Zur|{'|'.join(rf'{k}\s+de[rmn]' for k in 'An Auf Hinter In Unter Bei Vor Über Neben'.split())})\s+{_UP}")
 _EN_NUMBERED = re.compile(rf"\d(?:\s?[A-Za-z])?,?\s+{_UP}")
 _FR_NUMBERED = re.compile(rf"\d(?:\s?(?:bis|ter|quater|[A-Z]))?,?\s+(?i:{_FR_STREET})\s")
 _ADDRESS_NEAR = re.compile(r"lives? (?:at|in)|visited|delivery|cellar|address|wohnt|keller|haus\s*$|anschrift|zustell|habite|cave|livraison|adresse|domicili|besucht|Sendung|Paket|refus", re.I)
@@ -176,6 +184,7 @@ _CUE_WORDS = frozenset(
     "habitant habitante citoyen citoyenne témoin veuve veuf voisin voisine patiente locataire retraité retraitée fille fils mère père frère sœur "
     "evidence letter heard spoke wrote stammt brief sprach schrieb lettre entendu écrit dr".split()
 )
+_CUE_PLACES = {w: re.compile(rf"[{w[0]}{w[0].upper()}{'ſ' if w[0] == 's' else ''}](?<!\w.)(?i:{w[1:]})\b") for w in _CUE_WORDS}
 _NO_NAMES = frozenset(
     "the this that these those and but for not when while if in on at as he she it we they you i mr mrs ms miss dr prof sir lord lady prime minister president speaker chair "
     "chairman secretary committee commission council house government state chamber parliament member members colleague honourable right "
@@ -215,8 +224,12 @@ class Finder:
         given = {v for g, _ in pairs for v in (unicodedata.normalize("NFC", g), unicodedata.normalize("NFD", g))}
         names = "|".join(sorted(map(re.escape, given), key=len, reverse=True)) or r"(?!)"
         first = rf"(?:{names})(?:-{_WORD})*"
+        by_letter: dict[str, list[str]] = {}
+        for v in sorted(given, key=len, reverse=True):
+            by_letter.setdefault(v[0], []).append(re.escape(v[1:]))
+        begun = "|".join(rf"{re.escape(c)}(?<![\w'’].)(?:{'|'.join(rests)})" for c, rests in by_letter.items()) or r"(?!)"
         initials = rf"(?:\s+{_UP}\.){{0,2}}"
-        self.given = re.compile(rf"(?<![\w'’])(?:{names})(?!\w)")
+        self.given = re.compile(rf"(?:{begun})(?!\w)")
         self.ahead = re.compile(rf"(?P<g>{first}){initials}\s+(?P<s>{_SURNAME})")
         self.listed = re.compile(rf"(?P<g>{first}){initials}(?![\w\-'’])")
         free = rf"{_WORD}(?:-{_WORD})*"
@@ -235,7 +248,7 @@ class Finder:
                 g = self.listed.match(text, m.start())
                 if g:
                     yield back.start("s"), g.end(), g["g"], back["s"]
-        for at in {m.start() for w in cues for m in re.finditer(rf"\b{w}\b", text, re.I)}:
+        for at in {m.start() for w in cues for m in _CUE_PLACES[w].finditer(text)}:
             m = self.cued.match(text, at)
             if not m or (m["role"] and not m["link"] and not _OWN.search(text, max(0, at - 14), at)):
                 continue
@@ -261,7 +274,9 @@ class Finder:
             if _HAS_PHONE.search(text):
                 found += self._phones(text)
             found += self._addresses(text)
-        words = low.translate(_APART).split()
+        for c in _APART:  # str.translate is slow on letters beyond ASCII
+            low = low.replace(c, " ")
+        words = low.split()
         if sum(map(_DIGIT_SET.__contains__, words)) >= 7:
             found += [Span(m.start(), m.end(), "phone", 0.8) for m in _PHONE_SPOKEN.finditer(text)]
         found += self._names(text, _CUE_WORDS.intersection(words))
@@ -303,7 +318,7 @@ class Finder:
                 yield Span(m.start(), m.end(), "phone", score)
 
     def _addresses(self, text: str) -> Iterator[Span]:
-        wanted = (_EN_NUMBERED.search(text), _FR_NUMBERED.search(text), *[_DE_NUMBERED.search(text)] * 3)
+        wanted = (_EN_NUMBERED.search(text), _FR_NUMBERED.search(text), _DE_NUMBERED.search(text), _DE_SQUARE.search(text), _DE_PLACE.search(text))
         for k, (pattern, base) in enumerate(_ADDRESSES):
             if not wanted[k]:
                 continue

@@ -1,6 +1,8 @@
 """Problems 6, 7 and 8 on made texts, with nulls, empty and very long texts, repeats and clashing columns."""
 
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -201,6 +203,27 @@ def test_personal_information(text, want):
         assert f"[{kind.upper()}]" in out and surface not in out
 
 
+def test_a_plain_text_costs_few_scans():
+    """Patterns are looked up by their first characters: all of them together cost less than 22 scans place by place (32 to 37 before, 12 to 14 now)."""
+    rng = random.Random(5)
+    words = [*WORDS, "Überseering", "œuvre", "patient", "and", "pour", "der", "Antrag", "2026.", "1,204", "31(5)", "—"]
+    text = " ".join(rng.choice(words) for _ in range(40_000))
+    finder, scan = pii.Finder(MEMBERS), re.compile(r"(?<!\w)(?:Straße|Platz|Ufer)\d")
+
+    def seconds(f):
+        at = time.process_time()
+        f(text)
+        return time.process_time() - at
+
+    assert min(seconds(finder.spans) for _ in range(3)) < 22 * min(seconds(scan.findall) for _ in range(3))
+
+
+def test_place_names_that_end_in_an_accent():
+    for name in ("Abbe\u0301", "Abbé"):
+        text = f"Zugestellt wurde Platz der {name} 12, wie immer."
+        assert [text[s.start : s.end] for s in pii.Finder(MEMBERS).spans(text)] == [f"Platz der {name} 12"]
+
+
 def test_only_spans_change(spark):
     texts = [(i, t) for i, (t, _) in enumerate(CASES)] + [(100, None), (None, "x@y.example"), (101, "lorem ipsum " * 40_000 + "x@y.example")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("kind", F.lit(1)).withColumn("id", F.lit(1))
