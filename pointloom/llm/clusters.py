@@ -44,47 +44,82 @@ def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
+def _sorted_keys(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of at most ``bits`` bits in order and the stable order itself: one sort of plain numbers where both fit into one."""
+    low = len(key).bit_length()
+    if bits + low < 64:
+        both = np.sort(key << low | np.arange(len(key)))
+        return both >> low, both & ((1 << low) - 1)
+    order = np.argsort(key, kind="stable")
+    return key[order], order
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    begins = np.empty(len(values), bool)
+    begins[:1] = True
+    np.not_equal(values[1:], values[:-1], out=begins[1:])
+    return begins.nonzero()[0]
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1 … of ``count`` each, one after the other."""
+    end = count.cumsum()
+    return np.arange(end[-1] if len(end) else 0) + (start - end + count).repeat(count)
+
+
 def communities(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, passes: int = 24, levels: int = 12) -> np.ndarray:
     """Communities of high modularity, until no node or community gains by a move; isolated nodes stay alone."""
     member = np.arange(n)
     loops = np.zeros(n)
     for _ in range(levels):
-        size = len(loops)
+        size, bits = len(loops), len(loops).bit_length()
         src, dst, ww = np.r_[i, j], np.r_[j, i], np.r_[w, w]
         strength = np.bincount(src, ww, size) + 2 * loops
         total = strength.sum()
         if total <= 0:
             break
+        order = _sorted_keys(src, bits)[1]
+        dst, ww = dst[order], ww[order]
+        degree = np.bincount(src, minlength=size)
+        ptr = np.cumsum(degree) - degree
+        half = (np.arange(size) * 2654435761 >> 7) % 2
         c = np.arange(size)
         live = np.ones(size, bool)
         for turn in range(passes):
             mass = np.bincount(c, strength, size)
-            at = np.flatnonzero(live[src])  # only where a neighbour moved can a node gain something new
-            key = src[at] * size + c[dst[at]]
-            order = np.argsort(key, kind="stable")
-            start = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]) if len(key) else np.zeros(0, int)
-            if not len(start):
+            at = live.nonzero()[0]  # only where a neighbour moved can a node gain something new
+            many = degree[at]
+            edge = _runs(ptr[at], many)
+            if not len(edge):
                 break
-            pull = np.add.reduceat(ww[at][order], start)
-            s, cc = key[order][start] // size, key[order][start] % size
-            home = cc == c[s]
-            gain = pull - strength[s] * (mass[cc] - home * strength[s]) / total
-            own = -strength * (mass[c] - strength) / total
-            own[s[home]] = gain[home]
-            first = np.flatnonzero(np.r_[True, np.diff(s) > 0])
+            key, order = _sorted_keys((at << bits).repeat(many) | c[dst[edge]], 2 * bits)
+            start = _starts(key)
+            pull = np.add.reduceat(ww[edge[order]], start)
+            key = key[start]
+            s, cc = key >> bits, key & ((1 << bits) - 1)
+            home, own = cc == c[s], strength[s]
+            gain = pull - own * (mass[cc] - home * own) / total
+            first = _starts(s)
+            node, own = s[first], own[first]
+            stay = -own * (mass[c[node]] - own) / total
             best = np.maximum.reduceat(gain, first)
-            top = gain == np.repeat(best, np.diff(np.r_[first, len(s)]))
-            target = np.full(size, size)
-            np.minimum.at(target, s[top], cc[top])
-            better = np.zeros(size, bool)
-            better[s[first]] = best > own[s[first]] + 1e-12
-            # half of the nodes move at a time, else neighbours swap places for ever
-            move = better & (target < size) & ((np.arange(size) * 2654435761 >> 7) % 2 == turn % 2)
-            if not better.any():
+            home = home.nonzero()[0]  # at most one place a node
+            stay[np.searchsorted(first, home, "right") - 1] = gain[home]
+            better = (best > stay + 1e-12).nonzero()[0]
+            if not len(better):
                 break
-            c[move] = target[move]
-            live = better & ~move
-            live[dst[move[src]]] = True
+            # half of the nodes move at a time, else neighbours swap places for ever
+            move = half[node[better]] == turn % 2
+            live = np.zeros(size, bool)
+            live[node[better[~move]]] = True
+            move = better[move]
+            went, lo, hi = node[move], first[move], np.append(first, len(s))[move + 1]
+            # the smallest of the best communities
+            run = _runs(lo, hi - lo)
+            run = run[gain[run] == best[move].repeat(hi - lo)]
+            c[went] = cc[run[_starts(s[run])]]
+            live[dst[_runs(ptr[went], degree[went])]] = True
         _, c = np.unique(c, return_inverse=True)
         if c.max() + 1 == size:
             break
@@ -126,12 +161,18 @@ def linked_pairs(x: np.ndarray, lab: np.ndarray, eps: float) -> tuple[np.ndarray
                 if not len(a):
                     continue
                 b = at[a]
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                large = count[a] * count[b] > CHUNK
+                for p, q in zip(a[large].tolist(), b[large].tolist(), strict=True):
                     u, v = order[start[p] : start[p] + count[p]], order[start[q] : start[q] + count[q]]
                     hit = _first_link(x, u, v, eps)
                     if hit:
                         i.append(np.array([hit[0]]))
                         j.append(np.array([hit[1]]))
+                a, b = a[~large], b[~large]
+                for lo in range(0, len(a), CHUNK):  # small cells by the thousand
+                    u, v = _first_links(x, order, start[a[lo : lo + CHUNK]], count[a[lo : lo + CHUNK]], start[b[lo : lo + CHUNK]], count[b[lo : lo + CHUNK]], eps)
+                    i.append(u)
+                    j.append(v)
     return np.concatenate(i), np.concatenate(j)
 
 
@@ -146,6 +187,17 @@ def _first_link(x: np.ndarray, u: np.ndarray, v: np.ndarray, eps: float) -> tupl
     return None
 
 
+def _first_links(x: np.ndarray, order: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, n: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_first_link`` of many pairs of cells: ``m`` places of ``order`` from ``p`` on with ``n`` from ``q`` on."""
+    u = _runs(p, m)
+    wide = np.repeat(n, m)
+    u, v = order[np.repeat(u, wide)], order[_runs(np.repeat(q, m), wide)]
+    d = x[u] - x[v]
+    k = np.flatnonzero((d * d).sum(axis=1) <= eps * eps)
+    k = k[_starts(np.repeat(np.arange(len(m)), m * n)[k])]
+    return u[k], v[k]
+
+
 def _side(eps: float) -> float:
     """Side of a cell whose points are all linked."""
     return eps / np.sqrt(3) * 0.9999

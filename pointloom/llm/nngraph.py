@@ -26,6 +26,7 @@ from pointloom.session import materialize, release
 
 DEGREE, BEAM, LANDMARKS = 8, 20, 16
 SETTLED, MOST_ROUNDS = 0.001, 12
+ROWS = 1024
 _IDX = np.uint64(16)
 _LOW = np.uint64(0xFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -41,12 +42,17 @@ def _best(keys: np.ndarray, k: int) -> np.ndarray:
     """The k smallest different keys of each row."""
     keys.sort(axis=1)
     same = keys[:, 1:] == keys[:, :-1]
-    keys[:, 1:][same] = _NONE
     if same.any():
+        _blank(keys[:, 1:], same)
         keys.sort(axis=1)
     return keys[:, :k]
 
 
+def _blank(keys: np.ndarray, where: np.ndarray) -> None:
+    """``keys[where] = _NONE``, without branches: all bits are set."""
+    keys |= np.negative(where.astype(np.uint64))
+
+
 def _spread(v: np.ndarray) -> np.ndarray:
     """Bits of whole numbers three apart."""
     for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
@@ -84,23 +90,34 @@ def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 12, width: int = 6,
         return np.full((n, k), -1, np.int32)
     x = x.astype(np.float32)
     me, rng = np.arange(n), np.random.default_rng(n)
-
-    def lengths(cand: np.ndarray) -> np.ndarray:
-        d2 = np.zeros(cand.shape, np.float32)
-        if x.shape[1] <= 4:
-            for c in range(x.shape[1]):
-                diff = x[cand, c] - x[:, c, None]
-                d2 += diff * diff
-        else:
-            for lo in range(0, n, 256):
-                diff = x[cand[lo : lo + 256]] - x[lo : lo + 256, None]
-                d2[lo : lo + 256] = np.einsum("ijk,ijk->ij", diff, diff)
+    columns = np.ascontiguousarray(x.T) if x.shape[1] <= 4 else None
+
+    def lengths(cand: np.ndarray, lo: int) -> np.ndarray:
+        hi = lo + len(cand)
+        if columns is None:
+            d2 = np.zeros(cand.shape, np.float32)
+            for at in range(0, len(cand), 256):
+                diff = x[cand[at : at + 256]] - x[lo + at : min(lo + at + 256, hi), None]
+                d2[at : at + 256] = np.einsum("ijk,ijk->ij", diff, diff)
+            return d2
+        d2 = None
+        for column in columns:
+            diff = column.take(cand, mode="clip")  # all are in range; the quicker mode
+            diff -= column[lo:hi, None]
+            diff *= diff
+            d2 = diff if d2 is None else np.add(d2, diff, out=d2)
         return d2
 
-    def as_keys(cand: np.ndarray) -> np.ndarray:
-        keys = _keys(lengths(cand), cand)
-        keys[cand == me[:, None]] = _NONE
-        return keys
+    def best(cand: Callable[[int, int], np.ndarray], lists: np.ndarray | None) -> np.ndarray:
+        """The k nearest of the lists and of the candidates of points lo … hi; so many points at once as stay in the cache."""
+        parts = []
+        for lo in range(0, n, ROWS):
+            hi = min(lo + ROWS, n)
+            new = cand(lo, hi)
+            keys = _keys(lengths(new, lo), new)
+            _blank(keys, new == me[lo:hi, None])
+            parts.append(_best(keys if lists is None else np.concatenate([lists[lo:hi], keys], axis=1), k))
+        return np.concatenate(parts)
 
     side = max(6, k // 2 + 1)
     reach = [*range(-side, 0), *range(1, side + 1), n // 3, n // 2]
@@ -110,7 +127,7 @@ def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 12, width: int = 6,
         place = np.empty(n, np.int64)
         place[order] = me
         first.append(order[(place[:, None] + np.array([*range(-4, 0), *range(1, 5)])) % n])
-    lists = _best(as_keys(np.concatenate(first, axis=1)), k)
+    lists = best(lambda lo, hi: np.concatenate([f[lo:hi] for f in first], axis=1), None)
     for _ in range(rounds):
         known = (lists & _LOW).astype(np.int64)
         known[lists == _NONE] = 0
@@ -120,9 +137,10 @@ def nn_descent(x: np.ndarray, k: int = DEGREE, rounds: int = 12, width: int = 6,
         for c in range(known.shape[1]):
             back[known[:, c], c] = me
         around = np.concatenate([known, back], axis=1)
-        through = around[:, rng.permutation(around.shape[1])[:width]]
-        onward = around[:, rng.permutation(around.shape[1])[:width]]
-        new = _best(np.concatenate([lists, as_keys(np.concatenate([onward[through].reshape(n, -1), back[:, :2]], axis=1))], axis=1), k)
+        through = np.ascontiguousarray(around[:, rng.permutation(around.shape[1])[:width]])
+        onward = np.ascontiguousarray(around[:, rng.permutation(around.shape[1])[:width]])
+        met = lambda lo, hi: np.concatenate([onward.take(through[lo:hi], axis=0, mode="clip").reshape(hi - lo, -1), back[lo:hi, :2]], axis=1)  # noqa: E731, B023
+        new = best(met, lists)
         changed = (new != lists).sum()
         lists = new
         if changed <= 0.01 * n * k:  # points in order of locality get there in two or three rounds

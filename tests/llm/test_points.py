@@ -201,3 +201,33 @@ def test_communities_of_two_cliques():
     i, j = map(np.array, zip(*pairs, strict=True))
     c = clusters.communities(13, i, j, np.ones(len(i)))
     assert len(set(c[:6])) == 1 and len(set(c[6:12])) == 1 and c[0] != c[6] and c[12] not in (c[0], c[6])
+
+
+def test_rounds_go_by_blocks_that_stay_in_the_cache(monkeypatch):
+    x = np.random.default_rng(5).standard_normal((3000, 3)).astype(np.float32)
+    rows, best = [], nngraph._best
+    monkeypatch.setattr(nngraph, "_best", lambda keys, k: rows.append(len(keys)) or best(keys, k))
+    nbr = nngraph.nn_descent(x, 10)
+    assert max(rows) <= 1024 and sum(rows) % 3000 == 0
+    monkeypatch.setattr(nngraph, "ROWS", 77)
+    assert (nngraph.nn_descent(x, 10) == nbr).all()
+
+
+def test_small_cells_are_tested_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.uniform(0, 6, (1500, 3)), rng.normal(3, 0.03, (600, 3))])
+    lab = np.arange(len(x))
+    i, j = np.nonzero(((x[:, None] - x[None]) ** 2).sum(axis=2) <= 0.25**2)
+    calls, one = [], clusters._first_link
+    monkeypatch.setattr(clusters, "_first_link", lambda x, u, v, eps: calls.append(len(u) * len(v)) or one(x, u, v, eps))
+    a, b = clusters.linked_pairs(x, lab, 0.25)
+    assert all(n > clusters.CHUNK for n in calls)
+    assert (((x[a] - x[b]) ** 2).sum(axis=1) <= 0.25**2).all() and len(set(lab[i])) - len(set(clusters.components(len(x), i, j))) > 100
+    assert (clusters.components(len(x), a, b) == clusters.components(len(x), i, j)).all()
+
+
+@pytest.mark.parametrize("bits", [30, 62])
+def test_sorted_keys_are_stable(bits):
+    key = np.random.default_rng(7).integers(0, 300, 5000) << (bits - 9)
+    got, order = clusters._sorted_keys(key, bits)
+    assert (order == np.argsort(key, kind="stable")).all() and (got == key[order]).all()
